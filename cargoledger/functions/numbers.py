@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargoledger import fixed_values as fv
@@ -18,13 +18,11 @@ MONEY = "decimal(28,6)"
 
 def parse_float(c: Column) -> Column:
     """Double value of a decimal text, null when it is not one."""
-    text = strip(c)
-    return F.when(text.rlike(FLOAT_TEXT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    return _value_of(strip(c), "float")
 
 
 def parse_int(c: Column) -> Column:
-    text = strip(c)
-    return F.when(text.rlike(INT_TEXT), F.replace(text, F.lit("_"), F.lit("")).try_cast("bigint"))
+    return _value_of(strip(c), "int")
 
 
 def drop_text(c: Column, *parts: str) -> Column:
@@ -47,24 +45,61 @@ def or_zero(c: Column) -> Column:
     return F.coalesce(F.nanvl(c.cast("double"), F.lit(None).cast("double")), F.lit(0.0))
 
 
-def parse_number(c: Column, kind: str = "float") -> Column:
-    """Number of a text in either European or English notation; failure gives 0.
+def _digits_and_marks(stripped: Column) -> Column:
+    return F.regexp_replace(stripped, r"[^0-9.,\-]", "")
 
-    With both marks present the dot groups thousands and the comma is decimal.
-    One comma before at most two digits is decimal too. Several commas are
-    decimal only in the last place, again before at most two digits.
-    """
-    cleaned = F.regexp_replace(strip(c), r"[^0-9.,\-]", "")
+
+def _english_notation(cleaned: Column) -> Column:
     comma, dot = cleaned.contains(","), cleaned.contains(".")
     last_is_decimal = cleaned.rlike(",[^,]{0,2}$")
-    plain = (
+    return (
         F.when(comma & dot, F.translate(cleaned, ",.", "."))
         .when(comma & last_is_decimal, drop_text(F.regexp_replace(cleaned, ",([^,]*)$", ".$1"), ","))
         .when(comma, drop_text(cleaned, ","))
         .otherwise(cleaned)
     )
-    value = parse_float(plain) if kind == "float" else parse_int(plain)
-    return F.when(is_missing_text(c), F.lit(None)).otherwise(value)
+
+
+def _value_of(text: Column, kind: str) -> Column:
+    if kind == "int":
+        return F.when(text.rlike(INT_TEXT), F.replace(text, F.lit("_"), F.lit("")).try_cast("bigint"))
+    return F.when(text.rlike(FLOAT_TEXT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+
+
+def parse_number(c: Column, kind: str = "float") -> Column:
+    """Number of a text in either European or English notation; null when it has none.
+
+    With both marks present the dot groups thousands and the comma is decimal.
+    One comma before at most two digits is decimal too. Several commas are
+    decimal only in the last place, again before at most two digits.
+    """
+    plain = _english_notation(_digits_and_marks(strip(c)))
+    return F.when(~is_missing_text(c), _value_of(plain, kind))
+
+
+def with_parsed_numbers(df: DataFrame, stripped: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add parsed numbers, 0 on failure: new column -> (column of stripped text, kind).
+
+    Same result as ``parse_number_or_zero`` column by column, but each step is its own projection,
+    so a text is cleaned once per row although the next step tests it several times.
+    """
+    df = df.withColumns({out: _digits_and_marks(F.col(source)) for out, (source, _) in stripped.items()})
+    df = df.withColumns({out: _english_notation(F.col(out)) for out in stripped})
+    return df.withColumns(
+        {
+            out: F.coalesce(
+                F.when(~F.col(source).isin(fv.MISSING_TEXTS), _value_of(F.col(out), kind)),
+                F.lit(0.0) if kind == "float" else F.lit(0).cast("bigint"),
+            )
+            for out, (source, kind) in stripped.items()
+        }
+    )
+
+
+def with_loose_numbers(df: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """Add numbers of texts whose commas and dollar signs are decoration: new column -> text column."""
+    df = df.withColumns({out: strip(drop_text(F.col(source), ",", "$")) for out, source in texts.items()})
+    return df.withColumns({out: _value_of(F.col(out), "float") for out in texts})
 
 
 def parse_number_or_zero(c: Column, kind: str = "float") -> Column:

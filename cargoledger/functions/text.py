@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from cargoledger import fixed_values as fv
 
-# All Unicode white space, spelled so that Java and RE2 read it alike.
+# All Unicode white space: as a character class that Java and RE2 read alike, and as plain text.
 SPACE = r"\s\x0B\x1c-\x1f\x85\p{Z}"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -54,9 +57,13 @@ def is_absent(c: Column) -> Column:
     return c.isNull() | c.isin("", fv.NOT_DETECTED)
 
 
-def is_missing_text(c: Column) -> Column:
+def is_missing_stripped(c: Column) -> Column:
     """True when a stripped text carries no value at all."""
-    return c.isNull() | strip(c).isin(fv.MISSING_TEXTS)
+    return c.isNull() | c.isin(fv.MISSING_TEXTS)
+
+
+def is_missing_text(c: Column) -> Column:
+    return is_missing_stripped(strip(c))
 
 
 def clean_translation(c: Column) -> Column:

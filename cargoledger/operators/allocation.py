@@ -60,14 +60,19 @@ def _with_shares(joined: DataFrame, live: Column) -> DataFrame:
 
 
 def allocate_by_shipment(
-    items: DataFrame, bl: DataFrame, invoices: DataFrame | None = None, slice_rows: int = SLICE_ROWS
+    items: DataFrame,
+    bl: DataFrame,
+    invoices: DataFrame | None = None,
+    base: DataFrame | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Share each shipment's freight over its items by FOB value and derive insurance and CIF.
 
     A failed BL has no items to report. One failed invoice leaves the derived columns of its
-    whole shipment empty; that check is skipped when ``invoices`` is not given.
+    whole shipment empty; that check is skipped when ``invoices`` is not given. Totals are taken
+    from ``base`` where ``items`` is the same table with more columns.
     """
-    totals = fob_totals(items)
+    totals = fob_totals(items if base is None else base)
     header = bl.where(~has_error(F.col("error"))) if "error" in bl.columns else bl
     shipments = totals.drop("_rows").join(header.select("shipment_id", "freight_cost"), "shipment_id")
     live = F.lit(True)

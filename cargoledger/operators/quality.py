@@ -1,162 +1,203 @@
 """Quality analysis of flat documents: error records, metrics and recommendations.
 
-Every rule adds zero or more error structs to an array built in one projection per document. The
-roll-ups read those arrays in a single aggregation that yields one row, so the only shuffle moves
-one partial row per task; the error list itself is an explode without any shuffle.
+A rule is a condition with the error it stands for. The error list collects the errors of a
+document into an array and explodes it, without a shuffle; the roll-ups only count conditions, in
+one aggregation that yields one row, so their shuffle moves one partial row per task.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargoledger import fixed_values as fv
-from cargoledger.functions.numbers import drop_text, parse_float, python_fixed
+from cargoledger.functions.numbers import python_fixed, with_loose_numbers
 from cargoledger.functions.text import display_name, is_absent
-from cargoledger.operators.rules import FIELDS, NAMES, check_document
-from cargoledger.schemas import ERROR_FIELDS
+from cargoledger.operators.rules import FIELDS, NAMES, message_names, with_messages
 
 CATEGORIES = [c[0] for c in fv.ERROR_CATEGORIES]
 SEVERITIES = [s[0] for s in fv.ERROR_SEVERITIES]
 
 
-def _error(kind: str, *parts: Column, field: str | Column | None = None) -> Column:
-    category, severity, message, default_field, action, impact = fv.ERROR_TEXTS[kind]
-    text = F.format_string(message, *parts) if parts else F.lit(message)
-    where = field if isinstance(field, Column) else F.lit(field or default_field)
-    values = [F.lit(category), F.lit(severity), text, where, F.lit(action), F.lit(impact)]
-    return F.struct(*[v.alias(n) for v, n in zip(values, ERROR_FIELDS)])
+KINDS = list(fv.ERROR_TEXTS)
+ERROR = "struct<kind:string,detail:string,field:string>"
 
 
-def _some(*candidates: Column) -> Column:
-    """Array of the candidates that apply."""
-    return F.array_compact(F.array(*candidates))
+@dataclass
+class Rule:
+    """One possible error: what kind it is, when it applies, and what it says."""
 
+    kind: str
+    applies: Column
+    detail: Column | None = None
+    field: str | None = None
 
-def _listed(fields: list[str], test, names: dict[str, str] | None = None) -> Column:
-    """Array of the (display) names of the fields that pass a test."""
-    return F.array_compact(
-        F.array(*[F.when(test(F.col(f)), F.lit(names[f] if names else f)) for f in fields])
-    )
+    def record(self) -> Column:
+        """Compact error; its texts are filled in from the fixed table when it is listed."""
+        detail = F.lit(None).cast("string") if self.detail is None else self.detail
+        where = self.field or fv.ERROR_TEXTS[self.kind][3]
+        return F.struct(F.lit(self.kind).alias("kind"), detail.alias("detail"), F.lit(where).alias("field"))
 
 
-def _joined(names: Column) -> Column:
-    return F.array_join(names, ", ")
+def _listed(fields: list[str], names: dict[str, str] | None = None) -> Column:
+    """The absent ones among some fields, by (display) name, joined by commas."""
+    return F.concat_ws(", ", *[F.when(is_absent(F.col(f)), F.lit(names[f] if names else f)) for f in fields])
 
 
-def ocr_errors() -> Column:
-    """Fallback processing, OCR complaints among ``errores``, and several critical fields missing."""
-    complaint = "|".join(fv.OCR_KEYWORDS)
-    complaints = F.transform(
-        F.filter(F.coalesce("errores", F.array().cast("array<string>")), lambda m: F.lower(m).rlike(complaint)),
-        lambda m: _error("ocr_text", m),
-    )
-    missing = _listed(fv.CRITICAL_FIELDS, is_absent)
-    return F.concat(
-        _some(F.when(F.col("metodo_procesamiento") == "fallback", _error("fallback"))),
-        complaints,
-        _some(F.when(F.size(missing) >= 2, _error("many_critical", _joined(missing)))),
-    )
+def _absent_count(fields: list[str]) -> Column:
+    return sum((is_absent(F.col(f)).cast("int") for f in fields), F.lit(0))
 
 
-def validation_errors() -> Column:
-    """One error per message of the field rules, read from the ``checks`` column."""
-    return F.flatten(
-        F.transform(
-            "checks",
-            lambda c: F.transform(
-                c["messages"],
-                lambda m: F.when(
-                    c["required"], _error("field_required", F.concat(c["name"], F.lit(": "), m), field=c["field"])
-                ).otherwise(_error("field_optional", F.concat(c["name"], F.lit(": "), m), field=c["field"])),
-            ),
-        )
-    )
+def detected_count(fields: list[str]) -> Column:
+    return F.lit(len(fields)) - _absent_count(fields)
+
+
+def ocr_rules() -> list[Rule]:
+    """Fallback processing and several critical fields missing; complaints are kept apart."""
+    return [
+        Rule("fallback", F.col("metodo_procesamiento") == "fallback"),
+        Rule("many_critical", _absent_count(fv.CRITICAL_FIELDS) >= 2, _listed(fv.CRITICAL_FIELDS)),
+    ]
+
+
+def validation_rules() -> list[Rule]:
+    """One rule per possible message of the field checks."""
+    out = []
+    for rule in fv.FIELD_RULES:
+        kind = "field_required" if rule[3] else "field_optional"
+        for name in message_names(rule):
+            message = F.col(name)
+            out.append(Rule(kind, message.isNotNull(), F.concat(F.lit(f"{rule[1]}: "), message), rule[0]))
+    return out
 
 
-def structure_errors() -> Column:
+def structure_rules() -> list[Rule]:
     kind = F.col("tipo_documento")
     typical = ["numero_bl", "numero_contenedor", "valor_factura", "incoterm"]
-    nothing = F.lit(True)
-    for field in typical:
-        nothing = nothing & is_absent(F.col(field))
     no_fob = F.col("valor_fob").isNull() | (F.col("valor_fob") == fv.NOT_DETECTED)
-    return _some(
-        F.when(kind.isNull() | kind.isin("", "PDF_SIN_TEXTO"), _error("no_type")),
-        F.when(nothing, _error("no_typical_fields")),
-        F.when((F.col("incoterm") == "FOB") & no_fob, _error("fob_without_value")),
-    )
+    return [
+        Rule("no_type", kind.isNull() | kind.isin("", "PDF_SIN_TEXTO")),
+        Rule("no_typical_fields", _absent_count(typical) == len(typical)),
+        Rule("fob_without_value", (F.col("incoterm") == "FOB") & no_fob),
+    ]
 
 
-def completeness_errors() -> Column:
-    critical = _listed(fv.CRITICAL_FIELDS, is_absent, NAMES)
-    important = _listed(fv.IMPORTANT_FIELDS, is_absent, NAMES)
+def completeness_rules() -> list[Rule]:
     watched = fv.CRITICAL_FIELDS + fv.IMPORTANT_FIELDS + fv.OPTIONAL_FIELDS
     share = detected_count(watched) / len(watched) * 100
-    return _some(
-        F.when(F.size(critical) > 0, _error("critical_missing", _joined(critical))),
-        F.when(F.size(important) > len(fv.IMPORTANT_FIELDS) / 2, _error("important_missing", _joined(important))),
-        F.when(share < 50, _error("low_completeness", python_fixed(share, 1))),
-    )
-
-
-def _loose_number(c: Column) -> Column:
-    return parse_float(drop_text(c, ",", "$"))
+    half = len(fv.IMPORTANT_FIELDS) / 2
+    return [
+        Rule("critical_missing", _absent_count(fv.CRITICAL_FIELDS) > 0, _listed(fv.CRITICAL_FIELDS, NAMES)),
+        Rule("important_missing", _absent_count(fv.IMPORTANT_FIELDS) > half, _listed(fv.IMPORTANT_FIELDS, NAMES)),
+        Rule("low_completeness", share < 50, python_fixed(share, 1)),
+    ]
 
 
-def calculation_errors() -> Column:
+def calculation_rules() -> list[Rule]:
     """Implausible FOB to CIF conversions, and numeric fields that are negative or not numbers."""
-    tried = F.coalesce("conversion_fob_cif", F.lit(False))
-    fob, cif = _loose_number(F.col("valor_fob")), _loose_number(F.col("valor_cif"))
-    unreadable = fob.isNull() | cif.isNull()
+    tried = F.col("conversion_fob_cif")
+    fob, cif = F.col("_x_valor_fob"), F.col("_x_valor_cif")
     ratio = F.when(fob > 0, cif / fob).otherwise(F.lit(0.0))
-    per_field = []
+    out = [
+        Rule("cif_not_above_fob", tried & (cif <= fob)),
+        Rule("ratio_high", tried & cif.isNotNull() & (ratio > 1.5), python_fixed(ratio, 2)),
+        Rule("conversion_not_numeric", tried & (fob.isNull() | cif.isNull())),
+    ]
     for field in fv.NUMERIC_FIELDS:
-        c = F.col(field)
-        number = _loose_number(c)
-        per_field.append(
-            F.when(~is_absent(c) & (number < 0), _error("negative", F.lit(NAMES[field]), field=field)).when(
-                ~is_absent(c) & number.isNull(), _error("not_numeric", F.lit(NAMES[field]), field=field)
-            )
-        )
-    return _some(
-        F.when(tried & ~unreadable & (cif <= fob), _error("cif_not_above_fob")),
-        F.when(tried & ~unreadable & (ratio > 1.5), _error("ratio_high", python_fixed(ratio, 2))),
-        F.when(tried & unreadable, _error("conversion_not_numeric")),
-        *per_field,
-    )
+        given, number, name = ~is_absent(F.col(field)), F.col(f"_x_{field}"), F.lit(NAMES[field])
+        out.append(Rule("negative", given & (number < 0), name, field))
+        out.append(Rule("not_numeric", given & number.isNull(), name, field))
+    return out
 
 
 ANALYZERS = {
-    "ocr_quality": ocr_errors,
-    "field_validation": validation_errors,
-    "document_structure": structure_errors,
-    "data_completeness": completeness_errors,
-    "calculation_errors": calculation_errors,
+    "ocr_quality": ocr_rules,
+    "field_validation": validation_rules,
+    "document_structure": structure_rules,
+    "data_completeness": completeness_rules,
+    "calculation_errors": calculation_rules,
 }
 
 
-def detected_count(fields: list[str]) -> Column:
-    return sum((F.when(is_absent(F.col(f)), 0).otherwise(1) for f in fields), F.lit(0))
+def _with_inputs(docs: DataFrame, analyzers: list[str]) -> DataFrame:
+    """Documents with the working columns that the rules of some analyzers read."""
+    read = docs
+    if "field_validation" in analyzers:
+        read = with_messages(read, fv.FIELD_RULES)
+    if "calculation_errors" in analyzers:
+        read = with_loose_numbers(read, {f"_x_{f}": f for f in fv.NUMERIC_FIELDS})
+    if "ocr_quality" in analyzers:
+        words = "|".join(fv.OCR_KEYWORDS)
+        complaints = F.filter("errores", lambda m: F.lower(m).rlike(words))
+        read = read.withColumn("_complaints", F.when(F.size("errores") > 0, complaints))
+    return read
 
 
 def with_errors(docs: DataFrame, analyzers: list[str] | None = None) -> DataFrame:
-    """Documents with the array of all their error structs, in rule order."""
-    parts = [ANALYZERS[a]() for a in (analyzers or ANALYZERS)]
-    return check_document(docs).withColumn("errors", F.concat(*parts)).drop("checks")
+    """Documents with the array of all their error records, in rule order."""
+    wanted = list(analyzers or ANALYZERS)
+    none = F.array().cast(f"array<{ERROR}>")
+    read = _with_inputs(docs, wanted)
+    rules = [rule for a in wanted for rule in ANALYZERS[a]()]
+    parts = [F.when(r.applies, F.array(r.record())).otherwise(none) for r in rules]
+    if "ocr_quality" in wanted:
+        said = F.transform("_complaints", lambda m: Rule("ocr_text", F.lit(True), m).record())
+        read = read.withColumn("_said", F.coalesce(said, none))
+        at = next(i for i, r in enumerate(rules) if r.kind == "fallback") + 1
+        parts.insert(at, F.col("_said"))
+    return read.select(*docs.columns, F.concat(*parts).alias("errors"))
+
+
+def with_error_counts(docs: DataFrame) -> DataFrame:
+    """Documents with the number of their errors of every kind, without building the errors."""
+    read = _with_inputs(docs, list(ANALYZERS))
+    counts = {kind: F.lit(0) for kind in KINDS}
+    for analyzer in ANALYZERS.values():
+        for rule in analyzer():
+            counts[rule.kind] = counts[rule.kind] + F.coalesce(rule.applies, F.lit(False)).cast("int")
+    counts["ocr_text"] = F.coalesce(F.size("_complaints"), F.lit(0))
+    return read.select(*docs.columns, *[c.alias(f"kind_{kind}") for kind, c in counts.items()])
+
+
+def error_texts(spark: SparkSession) -> DataFrame:
+    """The fixed texts of every error kind."""
+    rows = [(kind, *(t.replace("%%", "%") if t else t for t in texts)) for kind, texts in fv.ERROR_TEXTS.items()]
+    return spark.createDataFrame(
+        rows,
+        "kind string, category string, severity string, pattern string, default_field string, "
+        "suggested_action string, impact string",
+    )
 
 
 def error_list(docs: DataFrame, analyzers: list[str] | None = None) -> DataFrame:
-    """Long form: one row per document and error, numbered from 1 inside the document."""
-    return (
+    """Long form: one row per document and error, numbered from 1 inside the document.
+
+    The outer generator is deliberate: for an inner one Spark derives a filter on the array's size
+    and evaluates every rule a second time to test it.
+    """
+    listed = (
         with_errors(docs, analyzers)
-        .select("doc_id", F.posexplode("errors").alias("at", "e"))
+        .select("doc_id", F.posexplode_outer("errors").alias("at", "e"))
+        .where(F.col("at").isNotNull())
         .select("doc_id", (F.col("at") + 1).alias("seq"), "e.*")
     )
+    return listed.join(F.broadcast(error_texts(docs.sparkSession)), "kind").select(
+        "doc_id",
+        "seq",
+        "category",
+        "severity",
+        F.replace("pattern", F.lit("%s"), F.coalesce("detail", F.lit(""))).alias("message"),
+        "field",
+        "suggested_action",
+        "impact",
+    )
 
 
-def _count_in(part: str, code: str) -> Column:
-    return F.coalesce(F.sum(F.size(F.filter("errors", lambda e: e[part] == code))), F.lit(0))
+def _total(part: int, code: str) -> Column:
+    """Errors of one category (part 0) or severity (part 1)."""
+    return sum((F.col(f"kind_{k}") for k in KINDS if fv.ERROR_TEXTS[k][part] == code), F.lit(0).cast("bigint"))
 
 
 def quality_metrics(docs: DataFrame) -> DataFrame:
@@ -164,15 +205,18 @@ def quality_metrics(docs: DataFrame) -> DataFrame:
 
     Counts per category and severity keep their zeros. Rates are null when there is no document.
     """
-    seen = with_errors(docs)
+    seen = with_error_counts(docs)
+    n_errors = sum((F.col(f"kind_{k}") for k in KINDS), F.lit(0))
     counted = seen.agg(
         F.count(F.lit(1)).alias("total_documents"),
-        F.count_if(F.size("errors") > 0).alias("documents_with_errors"),
-        F.coalesce(F.sum(F.size("errors")), F.lit(0)).alias("total_errors"),
-        *[_count_in("category", c).alias(f"category_{c}") for c in CATEGORIES],
-        *[_count_in("severity", s).alias(f"severity_{s}") for s in SEVERITIES],
+        F.count_if(n_errors > 0).alias("documents_with_errors"),
+        F.coalesce(F.sum(n_errors), F.lit(0)).alias("total_errors"),
+        *[F.coalesce(F.sum(f"kind_{k}"), F.lit(0)).alias(f"kind_{k}") for k in KINDS],
         *[F.count_if(~is_absent(F.col(f))).alias(f"detected_{f}") for f in FIELDS],
     )
+    counted = counted.withColumns(
+        {f"category_{c}": _total(0, c) for c in CATEGORIES} | {f"severity_{s}": _total(1, s) for s in SEVERITIES}
+    )
     docs_n = F.nullif(F.col("total_documents"), F.lit(0))
     detected = sum((F.col(f"detected_{f}") for f in FIELDS), F.lit(0))
     error_rate = F.col("documents_with_errors") / docs_n * 100
@@ -241,7 +285,7 @@ def recommendations(metrics: DataFrame) -> DataFrame:
         "error_rate": (F.col("error_rate") > 50, []),
         "ocr": (F.col("category_ocr_quality") > 0, [F.col("category_ocr_quality").cast("string")]),
         "completeness": (completeness < 70, [python_fixed(completeness, 1)]),
-        "low_fields": (F.size(low_fields) > 0, [_joined(low_fields)]),
+        "low_fields": (F.size(low_fields) > 0, [F.array_join(low_fields, ", ")]),
     }
     advice = []
     for rule, (condition, parts) in fires.items():
@@ -297,8 +341,15 @@ def processing_statistics(docs: DataFrame) -> DataFrame:
 
 
 def errors_by_document(docs: DataFrame) -> DataFrame:
-    """Documents that have errors, with their number; no shuffle, as errors sit in their document."""
-    return with_errors(docs).select("doc_id", F.size("errors").alias("n_errors")).where("n_errors > 0")
+    """Documents that have errors, with their number; no shuffle, as a document's errors sit in its row.
+
+    Zero counts are dropped behind an outer generator, where the condition cannot be pushed down
+    into a second evaluation of all rules.
+    """
+    n_errors = sum((F.col(f"kind_{k}") for k in KINDS), F.lit(0))
+    counted = with_error_counts(docs).select("doc_id", n_errors.alias("n"))
+    some = F.when(F.col("n") > 0, F.array("n"))
+    return counted.select("doc_id", F.explode_outer(some).alias("n_errors")).where(F.col("n_errors").isNotNull())
 
 
 def dimensions(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

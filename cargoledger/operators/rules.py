@@ -10,114 +10,177 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargoledger import fixed_values as fv
-from cargoledger.functions.numbers import parse_number_or_zero
-from cargoledger.functions.text import is_missing_text, strip
+from cargoledger.functions.numbers import with_parsed_numbers
+from cargoledger.functions.text import is_missing_stripped, strip
 
 FIELDS = [rule[0] for rule in fv.FIELD_RULES]
 NAMES = {rule[0]: rule[1] for rule in fv.FIELD_RULES}
 
 
-def _messages(rule: tuple, value: Column) -> Column:
-    """The messages a present value earns; an empty array means it is valid."""
-    _, _, kind, _, limits, description = rule
-    text = strip(value)
+def _text(field: str) -> Column:
+    return F.col(f"_t_{field}")
+
+
+def _number(field: str) -> Column:
+    return F.col(f"_n_{field}")
+
+
+def with_field_values(docs: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Working columns of a check: the stripped text of every field, the number of numeric ones."""
+    docs = docs.withColumns({f"_t_{rule[0]}": strip(F.col(rule[0])) for rule in rules})
+    kinds = {"integer": "int", "decimal": "float", "currency": "float"}
+    numeric = {f"_n_{r[0]}": (f"_t_{r[0]}", kinds[r[2]]) for r in rules if r[2] in kinds}
+    return with_parsed_numbers(docs, numeric) if numeric else docs
+
+
+def _broken_limits(rule: tuple) -> list[Column]:
+    """One message or null per limit of a rule, for a value that is present."""
+    field, _, _, _, limits, description = rule
+    text = _text(field)
     broken: list[Column] = []
     if "min_length" in limits:
         broken.append(F.when(F.length(text) < limits["min_length"], fv.MIN_LENGTH_MESSAGE % limits["min_length"]))
     if "pattern" in limits:
         broken.append(F.when(~text.rlike(limits["pattern"]), fv.PATTERN_MESSAGE % description))
     if "min_value" in limits:
-        number = parse_number_or_zero(value, "int" if kind == "integer" else "float")
-        broken.append(F.when(number < limits["min_value"], fv.MIN_VALUE_MESSAGE % limits["min_value"]))
+        broken.append(F.when(_number(field) < limits["min_value"], fv.MIN_VALUE_MESSAGE % limits["min_value"]))
     if "options" in limits:
         broken.append(F.when(~text.isin(limits["options"]), fv.OPTION_MESSAGE % ", ".join(limits["options"])))
-    return F.array_compact(F.array(*broken))
+    return broken or [F.lit(None).cast("string")]
+
+
+def message_names(rule: tuple) -> list[str]:
+    """Working columns that hold a rule's messages, one per limit and null where it is kept."""
+    return [f"_m_{rule[0]}_{i}" for i in range(max(1, len(rule[4])))]
+
+
+def with_messages(docs: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Documents with the working columns of ``with_field_values`` and ``message_names``.
+
+    Messages stay plain columns: conditions on them compile, where a filter over an array would
+    be interpreted for every document.
+    """
+    messages = {}
+    for rule in rules:
+        missing = is_missing_stripped(_text(rule[0]))
+        wanted = F.lit(fv.REQUIRED_MESSAGE % rule[1]) if rule[3] else F.lit(None).cast("string")
+        first, *rest = _broken_limits(rule)
+        found = [F.when(missing, wanted).otherwise(first), *[F.when(~missing, c) for c in rest]]
+        messages |= dict(zip(message_names(rule), found))
+    return with_field_values(docs, rules).withColumns(messages)
+
+
+def present_only(values: list[Column], kind: str) -> Column:
+    """Array of the values that are not null."""
+    none = F.array().cast(f"array<{kind}>")
+    return F.concat(none, *[F.when(v.isNotNull(), F.array(v)).otherwise(none) for v in values])
 
 
-def _value(rule: tuple, value: Column) -> Column:
-    kind = rule[2]
-    if kind in ("currency", "decimal"):
-        return parse_number_or_zero(value).cast("string")
-    if kind == "integer":
-        return parse_number_or_zero(value, "int").cast("string")
-    return strip(value) if kind == "text" else value
+def is_valid(rule: tuple) -> Column:
+    valid = F.lit(True)
+    for name in message_names(rule):
+        valid = valid & F.col(name).isNull()
+    return valid
 
 
-def check_field(rule: tuple, value: Column) -> Column:
-    """struct(field, name, required, valid, detected, value, messages) of one field."""
+def is_detected(rule: tuple) -> Column:
+    return ~is_missing_stripped(_text(rule[0]))
+
+
+def _value(rule: tuple) -> Column:
+    field, kind = rule[0], rule[2]
+    if kind in ("currency", "decimal", "integer"):
+        return _number(field).cast("string")
+    return _text(field) if kind == "text" else F.col(field)
+
+
+def check_field(rule: tuple) -> Column:
+    """struct(field, name, required, valid, detected, value, messages) from the working columns."""
     field, name, _, required, _, _ = rule
-    missing = is_missing_text(value)
-    no_value = F.array(F.lit(fv.REQUIRED_MESSAGE % name)) if required else F.array().cast("array<string>")
-    messages = F.when(missing, no_value).otherwise(_messages(rule, value))
     return F.struct(
         F.lit(field).alias("field"),
         F.lit(name).alias("name"),
         F.lit(required).alias("required"),
-        (F.size(messages) == 0).alias("valid"),
-        (~missing).alias("detected"),
-        F.when(missing, fv.NOT_DETECTED).otherwise(_value(rule, value)).alias("value"),
-        messages.alias("messages"),
+        is_valid(rule).alias("valid"),
+        is_detected(rule).alias("detected"),
+        F.when(is_detected(rule), _value(rule)).otherwise(fv.NOT_DETECTED).alias("value"),
+        present_only([F.col(m) for m in message_names(rule)], "string").alias("messages"),
     )
 
 
 def check_document(docs: DataFrame, rules: list[tuple] | None = None, name: str = "checks") -> DataFrame:
     """Documents with an array of one result struct per rule."""
     rules = rules or fv.FIELD_RULES
-    return docs.withColumn(name, F.array(*[check_field(rule, F.col(rule[0])) for rule in rules]))
+    return with_messages(docs, rules).select(*docs.columns, F.array(*[check_field(r) for r in rules]).alias(name))
 
 
 def field_results(docs: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
     """Long form: one row per document and field."""
-    return check_document(docs, rules).select("doc_id", F.posexplode("checks").alias("rule_no", "c")).select(
+    return check_document(docs, rules).select("doc_id", F.posexplode_outer("checks").alias("rule_no", "c")).select(
         "doc_id", "rule_no", "c.*"
     )
 
 
-def error_messages(checks: Column) -> Column:
-    """All messages of a document as ``name: message``, in rule order."""
-    return F.flatten(
-        F.transform(checks, lambda c: F.transform(c["messages"], lambda m: F.concat(c["name"], F.lit(": "), m)))
-    )
+def named_messages(rules: list[tuple]) -> list[Column]:
+    """Every possible message as ``name: message``, null where it does not apply, in rule order."""
+    return [F.concat(F.lit(f"{r[1]}: "), F.col(m)) for r in rules for m in message_names(r)]
 
 
-def document_summary(docs: DataFrame) -> DataFrame:
+def document_summary(docs: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
     """Per document: field counts, completion rate and messages."""
-    checks = F.col("checks")
-    total = F.size(checks)
-    valid = F.size(F.filter(checks, lambda c: c["valid"]))
-    return check_document(docs).select(
+    rules = rules or fv.FIELD_RULES
+    total = F.lit(len(rules))
+    valid = F.col("valid_fields")
+    counted = with_messages(docs, rules).select(
+        "doc_id",
+        sum((is_valid(r).cast("int") for r in rules), F.lit(0)).alias("valid_fields"),
+        present_only(named_messages(rules), "string").alias("error_messages"),
+    )
+    return counted.select(
         "doc_id",
         (total == valid).alias("valid"),
         total.alias("total_fields"),
-        valid.alias("valid_fields"),
+        "valid_fields",
         (total - valid).alias("invalid_fields"),
         (valid / total * 100).alias("completion_rate"),
-        error_messages(checks).alias("error_messages"),
+        "error_messages",
     )
 
 
-def validation_report(docs: DataFrame) -> DataFrame:
-    """One row per field: documents seen, valid values, detected values; plus the document rate."""
-    checked = check_document(docs).select(
-        "checks", F.forall("checks", lambda c: c["valid"]).alias("doc_valid"), F.posexplode("checks").alias("rule_no", "c")
+def validation_report(docs: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
+    """One row per field: documents seen, valid values, detected values; plus the document rate.
+
+    All counts come from one aggregation into a single row, which is then turned into rows.
+    """
+    rules = rules or fv.FIELD_RULES
+    all_valid = F.lit(True)
+    for rule in rules:
+        all_valid = all_valid & is_valid(rule)
+    counts = with_messages(docs, rules).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(all_valid).alias("valid_documents"),
+        *[F.count_if(is_valid(r)).alias(f"valid_{r[0]}") for r in rules],
+        *[F.count_if(is_detected(r)).alias(f"detected_{r[0]}") for r in rules],
     )
-    rate = F.col("valid_documents") / F.col("total") * 100
-    return (
-        checked.groupBy("rule_no", F.col("c.field").alias("field"))
-        .agg(
-            F.count(F.lit(1)).alias("total"),
-            F.count_if(F.col("c.valid")).alias("valid"),
-            F.count_if(F.col("c.detected")).alias("detected"),
-            F.count_if("doc_valid").alias("valid_documents"),
+    rows = [
+        F.struct(
+            F.lit(i).alias("rule_no"),
+            F.lit(r[0]).alias("field"),
+            F.col(f"valid_{r[0]}").alias("valid"),
+            F.col(f"detected_{r[0]}").alias("detected"),
         )
-        .withColumn("document_validity_rate", rate)
-    )
+        for i, r in enumerate(rules)
+    ]
+    rate = F.coalesce(F.col("valid_documents") / F.nullif(F.col("total"), F.lit(0)) * 100, F.lit(0.0))
+    return counts.select("total", "valid_documents", F.inline(F.array(*rows))).withColumn("document_validity_rate", rate)
 
 
-def common_errors(docs: DataFrame) -> DataFrame:
+def common_errors(docs: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
     """Frequency of every message, most frequent first, then by first appearance."""
-    said = check_document(docs).select("doc_id", F.posexplode(error_messages(F.col("checks"))).alias("at", "message"))
-    counted = said.groupBy("message").agg(
+    rules = rules or fv.FIELD_RULES
+    messages = present_only(named_messages(rules), "string")
+    said = with_messages(docs, rules).select("doc_id", F.posexplode_outer(messages).alias("at", "message"))
+    counted = said.where(F.col("message").isNotNull()).groupBy("message").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("first_seen")
     )
     return counted.orderBy(F.desc("n"), "first_seen")
@@ -132,16 +195,19 @@ def recalculate_cif(docs: DataFrame, only: Column | None = None) -> DataFrame:
 
     valor_cif_num holds the recalculated number. ``only`` restricts the documents touched.
     """
-    fob = F.when(_present(F.col("valor_fob")), parse_number_or_zero(F.col("valor_fob")))
-    converts = F.coalesce((F.col("incoterm") == "FOB") & (fob > 0), F.lit(False))
+    read = docs.withColumn("_t_valor_fob", strip(F.col("valor_fob")))
+    read = with_parsed_numbers(read, {"_n_valor_fob": ("_t_valor_fob", "float")})
+    fob = _number("valor_fob")
+    converts = (F.col("incoterm") == "FOB") & _present(F.col("valor_fob")) & (fob > 0)
     if only is not None:
         converts = converts & only
     flag = F.col("conversion_fob_cif") if "conversion_fob_cif" in docs.columns else F.lit(False)
     text = F.format_string("%.2f", "valor_cif_num")
     return (
-        docs.withColumn("valor_cif_num", F.when(converts, fob * fv.CIF_MARKUP))
+        read.withColumn("valor_cif_num", F.when(converts, fob * fv.CIF_MARKUP))
         .withColumn("valor_cif", F.when(F.col("valor_cif_num").isNotNull(), text).otherwise(F.col("valor_cif")))
         .withColumn("conversion_fob_cif", F.col("valor_cif_num").isNotNull() | F.coalesce(flag, F.lit(False)))
+        .drop("_t_valor_fob", "_n_valor_fob")
     )
 
 
@@ -156,10 +222,11 @@ def auto_fix(docs: DataFrame) -> DataFrame:
         "incoterm": F.when(_present(term) & tidy_term.isin(fv.INCOTERMS), tidy_term).otherwise(term),
     }
     for field in fv.MONEY_FIELDS:
-        raw = F.col(field)
-        number = parse_number_or_zero(raw)
+        raw, number = F.col(field), _number(field)
         fixed[field] = F.when(_present(raw) & (number > 0), number.cast("string")).otherwise(raw)
-    return recalculate_cif(docs.withColumns(fixed))
+    money = [rule for rule in fv.FIELD_RULES if rule[0] in fv.MONEY_FIELDS]
+    out = with_field_values(docs, money).withColumns(fixed).select(*docs.columns)
+    return recalculate_cif(out)
 
 
 def overlay_edits(docs: DataFrame, edits: DataFrame, fields: list[str] | None = None) -> DataFrame:

@@ -122,26 +122,70 @@ def tariff_codes(
     return coded.withColumnRenamed("code", name).drop("desc_key")
 
 
-def translate_items(
-    items: DataFrame, glossary: DataFrame, row_key: list[str], slice_rows: int = SLICE_ROWS
-) -> DataFrame:
-    """Items with description_original, description_es and the description to use.
+def translations(descriptions: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Spanish text of every distinct description: ``description, description_es, description_used``.
 
     ``glossary(key, text_es)`` has one row per description key. A miss keeps the original text.
     """
-    keyed = items.withColumn("_key", description_key(F.col("description")))
-    entries = glossary.select(F.col("key").alias("_key"), "text_es")
-    joined = balanced_join(keyed, entries, ["_key"], row_key, slice_rows=slice_rows)
+    keyed = descriptions.select("description", description_key(F.col("description")).alias("key"))
+    joined = keyed.join(glossary.select("key", "text_es"), "key", "left")
     original = F.coalesce(F.col("description"), F.lit(""))
     found = F.when(~skips_translation(F.col("description")), clean_translation(F.col("text_es")))
+    return joined.select("description", F.coalesce(found, original).alias("description_es")).withColumn(
+        "description_used", choose_description(original, F.col("description_es"))
+    )
+
+
+def _count_descriptions(items: DataFrame) -> DataFrame:
+    return items.groupBy("description").agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def _attach(
+    items: DataFrame, table: DataFrame, row_key: list[str], weights: DataFrame, slice_rows: int
+) -> DataFrame:
+    """Items with the columns of the description table; a null description reads as ''."""
+    joined = balanced_join(items, table, ["description"], row_key, weights=weights, slice_rows=slice_rows)
+    original = F.coalesce(F.col("description"), F.lit(""))
     return (
         joined.withColumn("description_original", original)
-        .withColumn("description_es", F.coalesce(found, original))
-        .withColumn("description", choose_description(original, F.col("description_es")))
-        .drop("_key", "text_es")
+        .withColumn("description_es", F.coalesce("description_es", original))
+        .withColumn("description", F.coalesce("description_used", original))
+        .drop("description_used")
     )
 
 
+def translate_items(
+    items: DataFrame, glossary: DataFrame, row_key: list[str], slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Items with description_original, description_es and the description to use.
+
+    Every distinct description is translated once.
+    """
+    counts = _count_descriptions(items)
+    return _attach(items, translations(counts, glossary), row_key, counts, slice_rows)
+
+
+def classify_items(
+    items: DataFrame,
+    base: DataFrame,
+    glossary: DataFrame,
+    catalog: DataFrame,
+    row_key: list[str],
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """``translate_items`` and ``tariff_codes`` in one join: both depend on the description only.
+
+    Descriptions are counted on ``base``, the table that ``items`` was derived from, so that work
+    already in the plan of ``items`` is not planned again.
+    """
+    counts = _count_descriptions(base)
+    texts = translations(counts, glossary).withColumn("desc_key", description_key(F.col("description_es")))
+    codes = lookup_codes(texts.select("desc_key").distinct(), catalog)
+    table = texts.join(codes, "desc_key").drop("desc_key").withColumnRenamed("code", "tariff_code")
+    out = _attach(items, table, row_key, counts, slice_rows)
+    return out.withColumn("tariff_code", F.coalesce("tariff_code", F.lit(fv.PENDING_CODE)))
+
+
 def match_headers(headers: DataFrame, targets: dict[str, list[str]] | None = None) -> DataFrame:
     """For every file and target, the best header: ``headers(file_id, col_pos, col_name)``.
 

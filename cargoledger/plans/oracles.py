@@ -221,8 +221,8 @@ def codes(source: str, column: str) -> str:
 
 
 oracle("p3_catalog_filter", "SELECT * FROM entries", ENTRIES)
-for _name in ("j3_catalog_merge", "s5_catalog_csv"):
-    oracle(_name, "SELECT pos, key, code FROM catalog", ENTRIES, CATALOG)
+oracle("j3_catalog_merge", "SELECT pos, key, code FROM catalog", ENTRIES, CATALOG)
+oracle("s5_catalog_csv", "SELECT min(pos) AS pos, key, arg_max(code, pos) AS code FROM entries GROUP BY key", ENTRIES)
 oracle(
     "k5_catalog",
     'SELECT pos, key AS "Descripción Producto (Español)", code AS "Posicion_Arancelaria" FROM catalog', ENTRIES, CATALOG,
@@ -263,11 +263,11 @@ SELECT file_id, target, CASE WHEN score >= 10 THEN col_name END AS col_name, sco
 oracle(
     "k1_aforo",
     f"""SELECT a.shipment_id, row_number() OVER (PARTITION BY a.shipment_id ORDER BY a.invoice_idx, a.item_idx) AS "Item",
-  a.quantity AS "Bultos", t.description_es AS "Contenido", 'S/M' AS "Marca", fob_value AS "Fob", freight_proportional AS "Flete",
+  a.quantity AS "Bultos", a.description_es AS "Contenido", 'S/M' AS "Marca", fob_value AS "Fob", freight_proportional AS "Flete",
   fob_value * 0.015 AS "Seg", coalesce(fob_value, 0) + coalesce(freight_proportional, 0) + coalesce(fob_value * 0.015, 0) AS "CIF",
   '' AS "Peso", '' AS "Aduana", code AS "Posicion Arancelaria", '20%' AS "DAI", '0%' AS "SELECTIVO", '18%' AS "ISV"
-  FROM alloc a JOIN tr t USING (shipment_id, invoice_idx, item_idx) JOIN codes ON d = {desc_key('t.description_es')}""",
-    FOB, TOTALS, ALLOC, TRANSLATED, ENTRIES, CATALOG, codes("tr", "description_es"),
+  FROM alloc a JOIN codes ON d = {desc_key('a.description_es')}""",
+    TRANSLATED, FOB.replace("{v_item}", "tr"), TOTALS, ALLOC, ENTRIES, CATALOG, codes("tr", "description_es"),
 )
 oracle(
     "k2_deva",
@@ -457,9 +457,11 @@ def _row(kind: str, order: str, message: str | None = None, field: str | None =
 
 
 def _names_if(fields: list[str], names: bool) -> str:
-    return "list_filter([" + ", ".join(
-        f"CASE WHEN {absent(f)} THEN {q(NAMES[f] if names else f)} END" for f in fields
-    ) + "], x -> x IS NOT NULL)"
+    return "concat_ws(', ', " + ", ".join(f"CASE WHEN {absent(f)} THEN {q(NAMES[f] if names else f)} END" for f in fields) + ")"
+
+
+def _count_if(fields: list[str]) -> str:
+    return "(" + " + ".join(f"CASE WHEN {absent(f)} THEN 1 ELSE 0 END" for f in fields) + ")"
 
 
 def _with(kind: str, value: str) -> str:
@@ -479,8 +481,8 @@ RULE_BRANCHES = {
         _row("ocr_text", "2", _with("ocr_text", "m"), part="i")
         + " FROM (SELECT doc_id, unnest(string_split(errores_txt, '|')) AS m, generate_subscripts(string_split(errores_txt, '|'), 1) AS i"
         + " FROM {v_doc}) WHERE " + " OR ".join(f"contains(lower(m), {q(k)})" for k in fv.OCR_KEYWORDS),
-        _row("many_critical", "3", _with("many_critical", f"array_to_string({_names_if(fv.CRITICAL_FIELDS, False)}, ', ')"))
-        + f" FROM {{v_doc}} WHERE len({_names_if(fv.CRITICAL_FIELDS, False)}) >= 2",
+        _row("many_critical", "3", _with("many_critical", _names_if(fv.CRITICAL_FIELDS, False)))
+        + f" FROM {{v_doc}} WHERE {_count_if(fv.CRITICAL_FIELDS)} >= 2",
     ],
     "field_validation": [
         _row("field_required", "4", "message", "field", "rule_no * 10 + part") + " FROM msgs WHERE required",
@@ -494,10 +496,10 @@ RULE_BRANCHES = {
         + " FROM {v_doc} WHERE incoterm = 'FOB' AND coalesce(valor_fob, 'No detectado') = 'No detectado'",
     ],
     "data_completeness": [
-        _row("critical_missing", "8", _with("critical_missing", f"array_to_string({_names_if(fv.CRITICAL_FIELDS, True)}, ', ')"))
-        + f" FROM {{v_doc}} WHERE len({_names_if(fv.CRITICAL_FIELDS, True)}) > 0",
-        _row("important_missing", "9", _with("important_missing", f"array_to_string({_names_if(fv.IMPORTANT_FIELDS, True)}, ', ')"))
-        + f" FROM {{v_doc}} WHERE len({_names_if(fv.IMPORTANT_FIELDS, True)}) >= 3",
+        _row("critical_missing", "8", _with("critical_missing", _names_if(fv.CRITICAL_FIELDS, True)))
+        + f" FROM {{v_doc}} WHERE {_count_if(fv.CRITICAL_FIELDS)} > 0",
+        _row("important_missing", "9", _with("important_missing", _names_if(fv.IMPORTANT_FIELDS, True)))
+        + f" FROM {{v_doc}} WHERE {_count_if(fv.IMPORTANT_FIELDS)} >= 3",
         _row("low_completeness", "10", _with("low_completeness", f"printf('%.1f', {SHARE})")) + f" FROM {{v_doc}} WHERE {SHARE} < 50",
     ],
     "calculation_errors": [
@@ -643,7 +645,7 @@ oracle(
     """SELECT CAST(no AS INTEGER) AS rec_no, CAST(i - 1 AS INTEGER) AS line_no, line FROM (SELECT no, unnest(lines) AS line,
     generate_subscripts(lines, 1) AS i FROM (SELECT no, list_concat([CAST(no AS VARCHAR) || '. ' || title,
       'Prioridad: ' || upper(priority), description, 'Acciones recomendadas:'],
-      list_transform(string_split(actions, '|'), a -> '• ' || a)) AS lines
+      string_split('• ' || replace(actions, '|', '|• '), '|')) AS lines
     FROM (SELECT *, ord + 1 AS no FROM (SELECT * REPLACE (row_number() OVER (ORDER BY ord) - 1 AS ord) FROM advice))))""",
     *ADVICE,
 )

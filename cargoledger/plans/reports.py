@@ -8,25 +8,36 @@ from pyspark.sql import functions as F
 from cargoledger import fixed_values as fv
 from cargoledger.functions.numbers import or_zero, parse_float, sum_money
 from cargoledger.operators import quality
-from cargoledger.operators.allocation import ITEM_KEY, shipment_totals
+from cargoledger.operators.allocation import ITEM_KEY, allocate_by_shipment, shipment_totals
 from cargoledger.operators.distribution import SPAN, number_rows
 from cargoledger.operators.parties import first_invoices
-from cargoledger.operators.tariff import tariff_codes
-
-
-def aforo(items: DataFrame, catalog: DataFrame, invoice_span: int = SPAN, item_span: int = SPAN) -> DataFrame:
+from cargoledger.operators.tariff import classify_items
+
+
+def aforo(
+    items: DataFrame,
+    bl: DataFrame,
+    invoices: DataFrame,
+    glossary: DataFrame,
+    catalog: DataFrame,
+    invoice_span: int = SPAN,
+    item_span: int = SPAN,
+) -> DataFrame:
     """Customs declaration: one row per item, numbered through all invoices of a shipment.
 
-    ``items`` are translated and allocated.
+    Three joins bring item numbers, shipment shares, and texts with tariff codes to the items. Each
+    takes its key counts from the item table itself, so no join re-plans an earlier one.
     """
-    coded = tariff_codes(items, catalog, ["shipment_id", *ITEM_KEY])
+    key = ["shipment_id", *ITEM_KEY]
     numbered = number_rows(
-        coded, "shipment_id", "invoice_idx", "item_idx", name="Item", outer_span=invoice_span, inner_span=item_span
+        items, "shipment_id", "invoice_idx", "item_idx", name="Item", outer_span=invoice_span, inner_span=item_span
     )
+    shared = allocate_by_shipment(numbered, bl, invoices, base=items)
+    coded = classify_items(shared, items, glossary, catalog, key)
     fob, freight = F.col("fob_value"), F.col("freight_proportional")
     insurance = fob * fv.INSURANCE_RATE
     duty, selective, tax = fv.DUTY_RATES
-    return numbered.select(
+    return coded.select(
         "shipment_id",
         "Item",
         F.col("quantity").alias("Bultos"),

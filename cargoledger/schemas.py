@@ -25,5 +25,3 @@ INVOICE = T.StructType(
     _fields("invoice_number:s invoice_date:s incoterm:s currency:s total_value:d shipping_cost_invoice:d")
     + [T.StructField("exporter", PARTY), T.StructField("items", T.ArrayType(ITEM))]
 )
-
-ERROR_FIELDS = ["category", "severity", "message", "field", "suggested_action", "impact"]
