@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ def query(fn: Callable) -> Callable:
     """Register ``fn(load, spark)``; ``load(view)`` reads a sample view of the given folder."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(cache(lambda name: samples.load(spark, sf_dir, name)), spark)
+        return fn(samples.loader(spark, sf_dir), spark)
 
     QUERIES[fn.__name__] = run
     return fn

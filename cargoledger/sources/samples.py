@@ -8,13 +8,27 @@ group are the tables' own keys rather than computed ranks, so no view gathers a
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
-    "conversations"
-).split()
+# Declared, so that reading a table starts no job to infer it.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 # Widths that match the sparse positions below: items number up to 7 lines of 10**9 part keys.
 ITEM_SPAN = 10**9
@@ -238,16 +252,34 @@ def needs(sql: str) -> list[str]:
     return list(dict.fromkeys(_NAME.findall(sql)))
 
 
+# Tables whose rows cost much to work on, and the key that spreads them.
+SPREAD_KEYS = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_partkey", "l_linenumber"], "documents": ["doc_id"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table, spread over the cores when its files give fewer tasks than there are cores.
+
+    One small file is one task, however many cores wait. Tables of a size that matters come in more
+    splits than cores and are read as they are.
+    """
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, *SPREAD_KEYS[name])
+    return df
+
+
+def loader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
+    """``load(name)`` for the base tables and views of a folder; asking twice gives the same frame."""
 
+    @cache
+    def load(name: str) -> DataFrame:
+        if name not in VIEWS:
+            return table(spark, sf_dir, name)
+        sql = VIEWS[name]
+        return spark.sql(sql, **{n: load(n) for n in needs(sql)})
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table, or a view over base tables."""
-    if name not in VIEWS:
-        return table(spark, sf_dir, name)
-    sql = VIEWS[name]
-    return spark.sql(sql, **{n: load(spark, sf_dir, n) for n in needs(sql)})
+    return load
 
 
 def with_views(names: list[str]) -> str:
