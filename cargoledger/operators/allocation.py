@@ -74,7 +74,7 @@ def allocate_by_shipment(
     """
     totals = fob_totals(items if base is None else base)
     header = bl.where(~has_error(F.col("error"))) if "error" in bl.columns else bl
-    shipments = totals.drop("_rows").join(header.select("shipment_id", "freight_cost"), "shipment_id")
+    shipments = totals.join(header.select("shipment_id", "freight_cost"), "shipment_id")
     live = F.lit(True)
     if invoices is not None:
         shipments = shipments.join(failed_shipments(invoices), "shipment_id", "left")
@@ -97,13 +97,13 @@ def allocate_by_invoice(items: DataFrame, bl: DataFrame, slice_rows: int = SLICE
     )
     weights = totals.groupBy("shipment_id").agg(F.count(F.lit(1)).alias("_rows"))
     priced = balanced_join(
-        totals.drop("_rows"),
+        totals.withColumnRenamed("_rows", "_items"),
         bl.select("shipment_id", or_zero(F.col("freight_cost")).alias("_freight")),
         ["shipment_id"],
         ["invoice_idx"],
         weights=weights,
         slice_rows=slice_rows,
-    )
+    ).withColumnRenamed("_items", "_rows")
     joined = balanced_join(items, priced, keys, ["item_idx"], weights=totals, slice_rows=slice_rows)
     fob = or_zero(F.col("total_price"))
     share = fob / F.col("_invoice_fob") * F.coalesce(F.col("_freight"), F.lit(0.0))

@@ -44,12 +44,13 @@ def balanced_join(
     rows: str = "_rows",
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Join ``facts`` to ``lookup``, which has at most one row per key.
+    """Join ``facts`` to ``lookup``, which has at most one row per key; ``how`` keeps facts only.
 
     ``weights`` holds one row per key with its row count in column ``rows``; callers that have
-    aggregated by the key already pass that result and save the pass over ``facts``. Facts of a
-    heavy key are dealt to slices by a hash of ``row_key`` and the one lookup row is repeated per
-    slice. Facts without a key match nothing and are dealt out the same way.
+    aggregated by the key already pass that result. Facts of a heavy key are dealt to slices by a
+    hash of ``row_key`` and the one lookup row is repeated per slice. Facts without a key match
+    nothing and are dealt out the same way. A ``lookup`` that carries the row counts itself is
+    repeated by those, which spares its side the list of heavy keys.
     """
     keys = list(keys)
     if weights is None:
@@ -64,12 +65,13 @@ def balanced_join(
         .withColumn("_slice", F.pmod(F.xxhash64(*row_key), slices).cast("int"))
         .drop("_slices")
     )
-    repeated = (
-        lookup.join(sliced, keys, "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
-        .drop("_slices")
-    )
-    return dealt.join(repeated, [*keys, "_slice"], how).drop("_slice")
+    if rows in lookup.columns:
+        # A key that fell off the end of the list is dealt to slice 0 only, which is always there.
+        repeated = lookup.withColumn("_slices", F.greatest(F.ceil(F.col(rows) / slice_rows), F.lit(1)).cast("int"))
+    else:
+        repeated = lookup.join(sliced, keys, "left").withColumn("_slices", F.coalesce("_slices", F.lit(1)))
+    repeated = repeated.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+    return dealt.join(repeated.drop("_slices", rows), [*keys, "_slice"], how).drop("_slice")
 
 
 def number_rows(

@@ -9,7 +9,7 @@ from cargoledger import fixed_values as fv
 from cargoledger.functions.numbers import or_zero
 from cargoledger.functions.text import blank_to_null, safe_str, strip
 from cargoledger.operators.allocation import complete_fob_cif, has_error
-from cargoledger.operators.distribution import SLICE_ROWS, balanced_join
+from cargoledger.operators.distribution import SLICE_ROWS, SPAN, balanced_join, nest_rows
 
 
 def merge_party(bl: Column, invoice: Column) -> Column:
@@ -135,3 +135,20 @@ def editable_invoices(invoices: DataFrame) -> DataFrame:
         safe_str(F.col("currency")).alias("inv_curr"),
         or_zero(F.col("total_value")).alias("total_val"),
     )
+
+
+def assemble_shipments(
+    bl: DataFrame, invoices: DataFrame, items: DataFrame, invoice_span: int = SPAN, item_span: int = SPAN
+) -> DataFrame:
+    """Nested shipments: ``bl_data`` and ``all_invoices_data``, each invoice with its items, in order.
+
+    A shipment whose invoices do not fit one span continues in further parts (part_no), and an
+    invoice whose items do not fit repeats with the next items_part. Without invoices part_no is null.
+    """
+    key = ["shipment_id", "invoice_idx"]
+    held = nest_rows(items, key, "item_idx", [c for c in items.columns if c not in key], "items", item_span)
+    full = invoices.join(held.withColumnRenamed("part_no", "items_part"), key, "left")
+    fields = [c for c in full.columns if c not in (*key, "items_part")]
+    nested = nest_rows(full, ["shipment_id"], "invoice_idx", ["items_part", *fields], "all_invoices_data", invoice_span)
+    bl_data = F.struct(*[c for c in bl.columns if c != "shipment_id"]).alias("bl_data")
+    return bl.select("shipment_id", bl_data).join(nested, "shipment_id", "left")

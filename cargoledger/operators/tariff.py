@@ -123,16 +123,18 @@ def tariff_codes(
 
 
 def translations(descriptions: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Spanish text of every distinct description: ``description, description_es, description_used``.
+    """Adds description_es and description_used to a table of distinct descriptions.
 
     ``glossary(key, text_es)`` has one row per description key. A miss keeps the original text.
     """
-    keyed = descriptions.select("description", description_key(F.col("description")).alias("key"))
+    keyed = descriptions.withColumn("key", description_key(F.col("description")))
     joined = keyed.join(glossary.select("key", "text_es"), "key", "left")
     original = F.coalesce(F.col("description"), F.lit(""))
     found = F.when(~skips_translation(F.col("description")), clean_translation(F.col("text_es")))
-    return joined.select("description", F.coalesce(found, original).alias("description_es")).withColumn(
-        "description_used", choose_description(original, F.col("description_es"))
+    return (
+        joined.withColumn("description_es", F.coalesce(found, original))
+        .withColumn("description_used", choose_description(original, F.col("description_es")))
+        .drop("key", "text_es")
     )
 
 
@@ -161,7 +163,14 @@ def translate_items(
 
     Every distinct description is translated once.
     """
-    counts = _count_descriptions(items)
+    return attach_translations(items, items, glossary, row_key, slice_rows)
+
+
+def attach_translations(
+    items: DataFrame, base: DataFrame, glossary: DataFrame, row_key: list[str], slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """``translate_items`` with the descriptions counted on ``base``, the table that ``items`` came from."""
+    counts = _count_descriptions(base)
     return _attach(items, translations(counts, glossary), row_key, counts, slice_rows)
 
 
@@ -186,6 +195,28 @@ def classify_items(
     return out.withColumn("tariff_code", F.coalesce("tariff_code", F.lit(fv.PENDING_CODE)))
 
 
+def mapped_entries(cells: DataFrame, headers: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Entries of catalog files whose columns are found by their headers.
+
+    ``cells(file_id, row_no, pos, cells map<string,string>)`` holds the rows as column to text. A
+    file without both columns defines nothing.
+    """
+    desc_target, code_target = fv.CATALOG_HEADER_KEYWORDS
+    found = match_headers(headers).groupBy("file_id").agg(
+        F.max(F.when(F.col("target") == desc_target, F.col("col_name"))).alias("_desc_col"),
+        F.max(F.when(F.col("target") == code_target, F.col("col_name"))).alias("_code_col"),
+    )
+    usable = found.where(F.col("_desc_col").isNotNull() & F.col("_code_col").isNotNull())
+    joined = balanced_join(cells, usable, ["file_id"], ["row_no"], how="inner", slice_rows=slice_rows)
+    return usable_entries(
+        joined.select(
+            "pos",
+            F.try_element_at("cells", F.col("_desc_col")).alias("desc"),
+            F.try_element_at("cells", F.col("_code_col")).alias("arancel"),
+        )
+    )
+
+
 def match_headers(headers: DataFrame, targets: dict[str, list[str]] | None = None) -> DataFrame:
     """For every file and target, the best header: ``headers(file_id, col_pos, col_name)``.
 

@@ -77,7 +77,7 @@ TOTALS = f"""tot AS (SELECT shipment_id, CASE WHEN s1 = 0 THEN s2 ELSE s1 END AS
 ALLOC = """alloc AS (SELECT f.*, CASE WHEN live THEN f END AS fob_value, CASE WHEN live THEN f * 0.015 END AS insurance_calculated,
   CASE WHEN live THEN coalesce(b.freight_cost, 0) * (CASE WHEN total_fob > 0 THEN f / total_fob ELSE 0 END) END
     AS freight_proportional,
-  fob_value + freight_proportional + insurance_calculated AS cif_value_corrected
+  fob_value + freight_proportional + insurance_calculated AS cif_value_corrected, live
   FROM fob f JOIN {v_bl} b USING (shipment_id) JOIN tot USING (shipment_id)
   LEFT JOIN (SELECT shipment_id, NOT bool_or(error IS NOT NULL) AS live FROM {v_invoice} GROUP BY shipment_id) g
     USING (shipment_id) WHERE b.error IS NULL)"""
@@ -176,11 +176,12 @@ oracle(
   FROM {v_invoice}""",
 )
 oracle(
-    "f14_nested_invoices",
-    """SELECT shipment_id, CAST(0 AS BIGINT) AS part_no, count(*) AS n_invoices,
-  string_agg(CAST(invoice_idx AS VARCHAR) || ':' || items, ';' ORDER BY invoice_idx) AS invoices
-  FROM (SELECT shipment_id, invoice_idx, string_agg(CAST(item_idx AS VARCHAR), ',' ORDER BY item_idx) AS items FROM {v_item}
-    GROUP BY 1, 2) GROUP BY shipment_id""",
+    "f14_assembled_shipments",
+    """SELECT shipment_id, bl_number, CASE WHEN n IS NOT NULL THEN 0::BIGINT END AS part_no, CAST(coalesce(n, 0) AS INTEGER) AS n_invoices,
+  coalesce(invoices, '') AS invoices FROM {v_bl} LEFT JOIN (SELECT shipment_id, count(*) AS n,
+    string_agg(CAST(invoice_idx AS VARCHAR) || '/' || coalesce(currency, '') || ':' || items, ';' ORDER BY invoice_idx) AS invoices
+    FROM (SELECT shipment_id, invoice_idx, string_agg(CAST(item_idx AS VARCHAR), ',' ORDER BY item_idx) AS items FROM {v_item}
+      GROUP BY 1, 2) JOIN {v_invoice} USING (shipment_id, invoice_idx) GROUP BY shipment_id) USING (shipment_id)""",
 )
 oracle(
     "n1_item_numbers",
@@ -196,7 +197,7 @@ def desc_key(x: str) -> str:
     return f"coalesce(trim(regexp_replace(lower({x}), '\\s+', ' ', 'g')), '')"
 
 
-TRANSLATED = f"""tr AS (SELECT i.* EXCLUDE (description), description_original, es AS description_es,
+TRANSLATED = f"""tr AS (SELECT i.* EXCLUDE (description), i.description AS raw, description_original, es AS description_es,
   CASE WHEN es <> '' AND NOT starts_with(es, 'ERROR_TRADUCCION') THEN es ELSE description_original END AS description
   FROM (SELECT i.*, coalesce(i.description, '') AS description_original,
     CASE WHEN i.description IS NULL OR i.description = '' OR lower(i.description) IN ({listed(fv.UNTRANSLATED_TEXTS)})
@@ -263,9 +264,9 @@ SELECT file_id, target, CASE WHEN score >= 10 THEN col_name END AS col_name, sco
 oracle(
     "k1_aforo",
     f"""SELECT a.shipment_id, row_number() OVER (PARTITION BY a.shipment_id ORDER BY a.invoice_idx, a.item_idx) AS "Item",
-  a.quantity AS "Bultos", a.description_es AS "Contenido", 'S/M' AS "Marca", fob_value AS "Fob", freight_proportional AS "Flete",
+  a.quantity AS "Bultos", coalesce(CASE WHEN live THEN a.description_es ELSE raw END, 'No Desc') AS "Contenido", 'S/M' AS "Marca", fob_value AS "Fob", freight_proportional AS "Flete",
   fob_value * 0.015 AS "Seg", coalesce(fob_value, 0) + coalesce(freight_proportional, 0) + coalesce(fob_value * 0.015, 0) AS "CIF",
-  '' AS "Peso", '' AS "Aduana", code AS "Posicion Arancelaria", '20%' AS "DAI", '0%' AS "SELECTIVO", '18%' AS "ISV"
+  '' AS "Peso", '' AS "Aduana", CASE WHEN live THEN code ELSE 'PENDIENTE' END AS "Posicion Arancelaria", '20%' AS "DAI", '0%' AS "SELECTIVO", '18%' AS "ISV"
   FROM alloc a JOIN codes ON d = {desc_key('a.description_es')}""",
     TRANSLATED, FOB.replace("{v_item}", "tr"), TOTALS, ALLOC, ENTRIES, CATALOG, codes("tr", "description_es"),
 )
@@ -335,6 +336,14 @@ oracle(
     *CONS,
 )
 
+oracle(
+    "process_documents",
+    """SELECT shipment_id, invoice_idx, part_number, CASE WHEN live THEN description_original END AS description_original,
+  CASE WHEN live THEN description_es END AS description_es, CASE WHEN live THEN description ELSE raw END AS description,
+  fob_value, freight_proportional, insurance_calculated, cif_value_corrected FROM alloc""",
+    TRANSLATED, FOB.replace("{v_item}", "tr"), TOTALS, ALLOC,
+)
+
 # --- validation ---------------------------------------------------------------------------------------------
 
 NUMBER_FIELDS = [r[0] for r in fv.FIELD_RULES if r[2] in ("integer", "decimal", "currency")]

@@ -12,7 +12,7 @@ from cargoledger.functions import files as file_fn
 from cargoledger.functions import numbers as num
 from cargoledger.functions import text as txt
 from cargoledger.operators import allocation, batch, distribution, parties, quality, rules, services, sessions, tariff
-from cargoledger.plans import reports
+from cargoledger.plans import reports, shipment
 from cargoledger.sources import answers, files, samples
 from cargoledger.sources.scratch import scratch_folder
 
@@ -156,24 +156,26 @@ def f13_editable_invoices(load, spark):
 
 
 @query
-def f14_nested_invoices(load, spark):
-    """Items under their invoice, then invoices under their shipment."""
-    items = distribution.nest_rows(
-        load("v_item"), ["shipment_id", "invoice_idx"], "item_idx", ["quantity"], "items", samples.ITEM_SPAN * 10
-    )
-    out = distribution.nest_rows(
-        items, ["shipment_id"], "invoice_idx", ["items"], "invoices", distribution.SPAN
+def f14_assembled_shipments(load, spark):
+    out = parties.assemble_shipments(
+        load("v_bl"), load("v_invoice"), load("v_item"), distribution.SPAN, samples.ITEM_SPAN * 10
     )
     shown = F.transform(
-        "invoices",
+        "all_invoices_data",
         lambda v: F.concat(
             v["invoice_idx"].cast("string"),
+            F.lit("/"),
+            F.coalesce(v["currency"], F.lit("")),
             F.lit(":"),
             F.array_join(F.transform(v["items"], lambda i: i["item_idx"].cast("string")), ","),
         ),
     )
     return out.select(
-        "shipment_id", "part_no", F.size("invoices").alias("n_invoices"), F.array_join(shown, ";").alias("invoices")
+        "shipment_id",
+        F.col("bl_data.bl_number").alias("bl_number"),
+        "part_no",
+        F.coalesce(F.size("all_invoices_data"), F.lit(0)).alias("n_invoices"),
+        F.coalesce(F.array_join(shown, ";"), F.lit("")).alias("invoices"),
     )
 
 
@@ -307,6 +309,15 @@ def k7_template_summary(load, spark):
     return reports.template_summary(_consolidated(load))
 
 
+@query
+def process_documents(load, spark):
+    """Translated, allocated and gated items, as the report and the editor receive them."""
+    invoices = load("v_invoice").select("shipment_id", "invoice_idx", "error")
+    out = shipment.price_items(load("v_item"), load("v_bl"), invoices, glossary_of(load))
+    return out.select("shipment_id", "invoice_idx", "part_number", "description_original", "description_es",
+                      "description", *allocation.DERIVED)
+
+
 # --- validation ------------------------------------------------------------------------------------
 
 
@@ -749,7 +760,7 @@ def e12_selection_preview(load, spark):
     totals = lines.groupBy("invoice_id").agg(
         num.sum_money(F.col("total")).alias("estimate"), F.count(F.lit(1)).alias("_rows")
     )
-    out = distribution.balanced_join(lines, totals.drop("_rows"), ["invoice_id"], ["line_no"], weights=totals)
+    out = distribution.balanced_join(lines, totals, ["invoice_id"], ["line_no"], weights=totals)
     return out.select("invoice_id", "line_no", "descripcion", "cantidad", "total", "estimate")
 
 

@@ -11,7 +11,7 @@ from cargoledger.operators import quality
 from cargoledger.operators.allocation import ITEM_KEY, allocate_by_shipment, shipment_totals
 from cargoledger.operators.distribution import SPAN, number_rows
 from cargoledger.operators.parties import first_invoices
-from cargoledger.operators.tariff import classify_items
+from cargoledger.operators.tariff import catalog_report, classify_items, translate_items
 
 
 def aforo(
@@ -32,16 +32,19 @@ def aforo(
     numbered = number_rows(
         items, "shipment_id", "invoice_idx", "item_idx", name="Item", outer_span=invoice_span, inner_span=item_span
     )
-    shared = allocate_by_shipment(numbered, bl, invoices, base=items)
+    shared = allocate_by_shipment(numbered, bl, invoices, base=items).withColumn("_raw", F.col("description"))
     coded = classify_items(shared, items, glossary, catalog, key)
     fob, freight = F.col("fob_value"), F.col("freight_proportional")
+    # A shipment with a failed invoice is neither allocated nor translated.
+    live = fob.isNotNull()
+    text = F.when(live, F.col("description_es")).otherwise(F.col("_raw"))
     insurance = fob * fv.INSURANCE_RATE
     duty, selective, tax = fv.DUTY_RATES
     return coded.select(
         "shipment_id",
         "Item",
         F.col("quantity").alias("Bultos"),
-        F.coalesce("description_es", "description", F.lit(fv.NO_DESCRIPTION)).alias("Contenido"),
+        F.coalesce(text, F.lit(fv.NO_DESCRIPTION)).alias("Contenido"),
         F.lit(fv.NO_BRAND).alias("Marca"),
         fob.alias("Fob"),
         freight.alias("Flete"),
@@ -49,7 +52,7 @@ def aforo(
         (or_zero(fob) + or_zero(freight) + or_zero(insurance)).alias("CIF"),
         F.lit("").alias("Peso"),
         F.lit("").alias("Aduana"),
-        F.col("tariff_code").alias("Posicion Arancelaria"),
+        F.when(live, F.col("tariff_code")).otherwise(fv.PENDING_CODE).alias("Posicion Arancelaria"),
         F.lit(duty).alias("DAI"),
         F.lit(selective).alias("SELECTIVO"),
         F.lit(tax).alias("ISV"),
@@ -234,3 +237,53 @@ def recommendation_lines(metrics: DataFrame) -> DataFrame:
         F.transform("actions", lambda a: F.concat(F.lit("• "), a)),
     )
     return advice.select((F.col("at") + 1).alias("rec_no"), F.posexplode(lines).alias("line_no", "line"))
+
+
+def final_report(
+    items: DataFrame,
+    bl: DataFrame,
+    invoices: DataFrame,
+    glossary: DataFrame,
+    catalog: DataFrame,
+    invoice_span: int = SPAN,
+    item_span: int = SPAN,
+) -> dict[str, DataFrame]:
+    """The five relations of the customs report. ``bl`` carries exporter_details."""
+    translated = translate_items(items, glossary, ["shipment_id", *ITEM_KEY])
+    allocated = allocate_by_shipment(items, bl, invoices)
+    return {
+        "aforo": aforo(items, bl, invoices, glossary, catalog, invoice_span, item_span),
+        "listado_deva": deva(translated),
+        "traduccion": translation(translated),
+        "resumen_factura": invoice_summary_rows(invoice_summary(allocated, bl, invoices)),
+        "catalogo": catalog_report(catalog),
+    }
+
+
+def template_report(docs: DataFrame, template_id: str) -> dict[str, DataFrame]:
+    """Data and summary of a template, and the notice that stands in for empty data."""
+    return {
+        "datos": template_data(docs, template_id),
+        "resumen": template_summary(docs),
+        "aviso": template_notice(docs),
+    }
+
+
+def quality_report(docs: DataFrame) -> dict[str, DataFrame]:
+    """The four relations of the quality report."""
+    metrics = quality.quality_metrics(docs)
+    return {
+        "resumen_ejecutivo": quality_overview(metrics),
+        "errores_detallados": quality_errors(docs),
+        "metricas_de_calidad": quality_sheet(metrics),
+        "recomendaciones": recommendation_lines(metrics),
+    }
+
+
+def write_report(report: dict[str, DataFrame], folder: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+    """Write every relation of a report below a folder, in parallel files."""
+    for name, relation in report.items():
+        writer = relation.write.mode(mode).format(fmt)
+        if fmt == "csv":
+            writer = writer.option("header", True).option("escape", '"')
+        writer.save(f"{folder.rstrip('/')}/{name}")

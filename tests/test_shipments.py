@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargoledger.operators import allocation, batch, parties, services, sessions, tariff
-from cargoledger.plans import reports
+from cargoledger.plans import reports, shipment
 from cargoledger.schemas import BL, INVOICE
 from cargoledger.sources import answers, files
 
@@ -250,3 +250,47 @@ def test_session_statistics(spark):
     assert (none["total_documents_processed"], none["error_rate"], none["last_session_date"]) == (0, 0.0, None)
     names = {r["processing_status"]: r["name"] for r in sessions.status_distribution(df).collect()}
     assert names == {"completed": "Completado", "otro": "otro"}
+
+
+def test_mapped_entries(spark):
+    headers = spark.createDataFrame([(1, 0, "Producto"), (1, 1, "Partida"), (2, 0, "x"), (2, 1, "Partida")],
+                                    "file_id int, col_pos int, col_name string")
+    cells = spark.createDataFrame(
+        [(1, 0, 10, {"Producto": "Zapato", "Partida": "64"}), (1, 1, 11, {"Producto": "Blusa", "Partida": None}),
+         (2, 0, 20, {"x": "Gorra", "Partida": "65"})],
+        "file_id int, row_no int, pos long, cells map<string,string>")
+    assert [tuple(r) for r in tariff.mapped_entries(cells, headers).collect()] == [(10, "zapato", "64")]
+
+
+def test_process_documents(spark, tmp_path):
+    """Answers in, priced items and reports out."""
+    fence = "```json\n%s\n```"
+    bl = [(1, '{"bl_number": "B1", "freight_cost": 10, "exporter": {"name": "E", "address": "far away"}}'),
+          (2, '{"bl_number": "B2", "freight_cost": 10}'), (3, "nada")]
+    good = '{"invoice_number": "I", "exporter": {"name": "X"}, "items": [{"description": "Red Ring", "total_price": 100, ' \
+           '"quantity": 1, "unit_price": 100}]}'
+    invoices = [(1, 0, fence % good), (2, 0, fence % good), (2, 1, "nada"), (3, 0, fence % good)]
+    glossary = spark.createDataFrame([("red ring", ' "anillo rojo" ')], "key string, text_es string")
+    out = shipment.process_documents(
+        spark.createDataFrame([(i, t if t == "nada" else fence % t) for i, t in bl], "shipment_id long, text string"),
+        spark.createDataFrame(invoices, "shipment_id long, invoice_idx long, text string"),
+        glossary,
+    )
+    items = {r["shipment_id"]: r for r in out.items.collect()}
+    assert set(items) == {1, 2}
+    assert (items[1]["description"], items[1]["description_original"], items[1]["cif_value_corrected"]) == (
+        "anillo rojo", "Red Ring", 111.5)
+    assert (items[2]["description"], items[2]["description_es"], items[2]["fob_value"]) == ("Red Ring", None, None)
+    parties_of = {r["shipment_id"]: r["exporter_details"] for r in out.bl.collect()}
+    assert tuple(parties_of[1]) == ("X", "far away", "No detectado") and parties_of[2] is None
+    catalog = spark.createDataFrame([(0, "anillo", "7113")], "pos long, key string, code string")
+    typed = answers.invoice_items(answers.typed_invoices(
+        spark.createDataFrame(invoices, "shipment_id long, invoice_idx long, text string")))
+    report = reports.final_report(typed, out.bl, out.invoices.select("shipment_id", "invoice_idx", "invoice_number",
+                                                                  "invoice_date", "error"), glossary, catalog)
+    reports.write_report(report, str(tmp_path / "book"))
+    aforo = {r["shipment_id"]: r for r in spark.read.parquet(str(tmp_path / "book" / "aforo")).collect()}
+    assert (aforo[1]["Posicion Arancelaria"], aforo[1]["Contenido"], aforo[1]["CIF"]) == ("7113", "anillo rojo", 111.5)
+    assert (aforo[2]["Posicion Arancelaria"], aforo[2]["Contenido"], aforo[2]["Fob"]) == ("PENDIENTE", "Red Ring", None)
+    summary = spark.read.parquet(str(tmp_path / "book" / "resumen_factura")).where("shipment_id = 1")
+    assert [r["value"] for r in summary.orderBy("pos").collect()][-4:] == ["100.0", "10.0", "1.5", "111.5"]
