@@ -52,11 +52,6 @@ def clean_extracted(c: Column) -> Column:
     return F.when(gone, fv.NOT_DETECTED).otherwise(collapsed)
 
 
-def is_absent(c: Column) -> Column:
-    """True for null, '' and the sentinel."""
-    return c.isNull() | c.isin("", fv.NOT_DETECTED)
-
-
 def is_missing_stripped(c: Column) -> Column:
     """True when a stripped text carries no value at all."""
     return c.isNull() | c.isin(fv.MISSING_TEXTS)

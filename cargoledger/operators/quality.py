@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cargoledger import fixed_values as fv
 from cargoledger.functions.numbers import python_fixed, with_loose_numbers
-from cargoledger.functions.text import display_name, is_absent
+from cargoledger.functions.text import display_name
 from cargoledger.operators.rules import FIELDS, NAMES, message_names, with_messages
 
 CATEGORIES = [c[0] for c in fv.ERROR_CATEGORIES]
@@ -43,11 +43,17 @@ class Rule:
 
 def _listed(fields: list[str], names: dict[str, str] | None = None) -> Column:
     """The absent ones among some fields, by (display) name, joined by commas."""
-    return F.concat_ws(", ", *[F.when(is_absent(F.col(f)), F.lit(names[f] if names else f)) for f in fields])
+    return F.concat_ws(", ", *[F.when(F.col(f"_a_{f}"), F.lit(names[f] if names else f)) for f in fields])
 
 
 def _absent_count(fields: list[str]) -> Column:
-    return sum((is_absent(F.col(f)).cast("int") for f in fields), F.lit(0))
+    return F.expr(" + ".join(f"int(_a_{f})" for f in fields))
+
+
+def with_absence(docs: DataFrame) -> DataFrame:
+    """Documents with ``_a_<field>``: whether a field is null, '' or the sentinel."""
+    gone = {f"_a_{f}": F.expr(f"coalesce({f} IN ('', '{fv.NOT_DETECTED}'), true)") for f in FIELDS}
+    return docs.withColumns(gone)
 
 
 def detected_count(fields: list[str]) -> Column:
@@ -106,7 +112,7 @@ def calculation_rules() -> list[Rule]:
         Rule("conversion_not_numeric", tried & (fob.isNull() | cif.isNull())),
     ]
     for field in fv.NUMERIC_FIELDS:
-        given, number, name = ~is_absent(F.col(field)), F.col(f"_x_{field}"), F.lit(NAMES[field])
+        given, number, name = ~F.col(f"_a_{field}"), F.col(f"_x_{field}"), F.lit(NAMES[field])
         out.append(Rule("negative", given & (number < 0), name, field))
         out.append(Rule("not_numeric", given & number.isNull(), name, field))
     return out
@@ -123,7 +129,7 @@ ANALYZERS = {
 
 def _with_inputs(docs: DataFrame, analyzers: list[str]) -> DataFrame:
     """Documents with the working columns that the rules of some analyzers read."""
-    read = docs
+    read = with_absence(docs)
     if "field_validation" in analyzers:
         read = with_messages(read, fv.FIELD_RULES)
     if "calculation_errors" in analyzers:
@@ -153,12 +159,14 @@ def with_errors(docs: DataFrame, analyzers: list[str] | None = None) -> DataFram
 def with_error_counts(docs: DataFrame) -> DataFrame:
     """Documents with the number of their errors of every kind, without building the errors."""
     read = _with_inputs(docs, list(ANALYZERS))
-    counts = {kind: F.lit(0) for kind in KINDS}
-    for analyzer in ANALYZERS.values():
-        for rule in analyzer():
-            counts[rule.kind] = counts[rule.kind] + F.coalesce(rule.applies, F.lit(False)).cast("int")
-    counts["ocr_text"] = F.coalesce(F.size("_complaints"), F.lit(0))
-    return read.select(*docs.columns, *[c.alias(f"kind_{kind}") for kind, c in counts.items()])
+    rules = [rule for analyzer in ANALYZERS.values() for rule in analyzer()]
+    flags = {f"_r_{i}": rule.applies for i, rule in enumerate(rules)}
+    counts = {}
+    for kind in KINDS:
+        own = [f"int(coalesce(_r_{i}, false))" for i, rule in enumerate(rules) if rule.kind == kind]
+        counts[f"kind_{kind}"] = F.expr(" + ".join(own or ["coalesce(size(_complaints), 0)"]))
+    kept = [*docs.columns, *[f"_a_{f}" for f in FIELDS]]
+    return read.withColumns(flags).select(*kept, *[c.alias(name) for name, c in counts.items()])
 
 
 def error_texts(spark: SparkSession) -> DataFrame:
@@ -197,7 +205,7 @@ def error_list(docs: DataFrame, analyzers: list[str] | None = None) -> DataFrame
 
 def _total(part: int, code: str) -> Column:
     """Errors of one category (part 0) or severity (part 1)."""
-    return sum((F.col(f"kind_{k}") for k in KINDS if fv.ERROR_TEXTS[k][part] == code), F.lit(0).cast("bigint"))
+    return F.expr(" + ".join(f"kind_{k}" for k in KINDS if fv.ERROR_TEXTS[k][part] == code))
 
 
 def quality_metrics(docs: DataFrame) -> DataFrame:
@@ -206,19 +214,19 @@ def quality_metrics(docs: DataFrame) -> DataFrame:
     Counts per category and severity keep their zeros. Rates are null when there is no document.
     """
     seen = with_error_counts(docs)
-    n_errors = sum((F.col(f"kind_{k}") for k in KINDS), F.lit(0))
+    n_errors = F.expr(" + ".join(f"kind_{k}" for k in KINDS))
     counted = seen.agg(
         F.count(F.lit(1)).alias("total_documents"),
         F.count_if(n_errors > 0).alias("documents_with_errors"),
         F.coalesce(F.sum(n_errors), F.lit(0)).alias("total_errors"),
-        *[F.coalesce(F.sum(f"kind_{k}"), F.lit(0)).alias(f"kind_{k}") for k in KINDS],
-        *[F.count_if(~is_absent(F.col(f))).alias(f"detected_{f}") for f in FIELDS],
+        *[F.expr(f"coalesce(sum(kind_{k}), 0)").alias(f"kind_{k}") for k in KINDS],
+        *[F.expr(f"count_if(NOT _a_{f})").alias(f"detected_{f}") for f in FIELDS],
     )
     counted = counted.withColumns(
         {f"category_{c}": _total(0, c) for c in CATEGORIES} | {f"severity_{s}": _total(1, s) for s in SEVERITIES}
     )
     docs_n = F.nullif(F.col("total_documents"), F.lit(0))
-    detected = sum((F.col(f"detected_{f}") for f in FIELDS), F.lit(0))
+    detected = F.expr(" + ".join(f"detected_{f}" for f in FIELDS))
     error_rate = F.col("documents_with_errors") / docs_n * 100
     success = F.lit(100.0) - error_rate
     completeness = detected * 100.0 / (docs_n * len(FIELDS))
@@ -229,7 +237,7 @@ def quality_metrics(docs: DataFrame) -> DataFrame:
         F.round(success, 2).alias("success_rate"),
         F.round(completeness, 2).alias("average_completeness"),
         F.round((success + completeness) / 2, 2).alias("quality_score"),
-        *[F.round(F.col(f"detected_{f}") / docs_n * 100, 1).alias(f"rate_{f}") for f in FIELDS],
+        *[F.expr(f"round(detected_{f} / nullif(total_documents, 0) * 100, 1)").alias(f"rate_{f}") for f in FIELDS],
         *[
             F.coalesce(F.round(F.col(f"severity_{s}") / errors_n * 100, 1), F.lit(0.0)).alias(f"share_{s}")
             for s in SEVERITIES
@@ -346,7 +354,7 @@ def errors_by_document(docs: DataFrame) -> DataFrame:
     Zero counts are dropped behind an outer generator, where the condition cannot be pushed down
     into a second evaluation of all rules.
     """
-    n_errors = sum((F.col(f"kind_{k}") for k in KINDS), F.lit(0))
+    n_errors = F.expr(" + ".join(f"kind_{k}" for k in KINDS))
     counted = with_error_counts(docs).select("doc_id", n_errors.alias("n"))
     some = F.when(F.col("n") > 0, F.array("n"))
     return counted.select("doc_id", F.explode_outer(some).alias("n_errors")).where(F.col("n_errors").isNotNull())

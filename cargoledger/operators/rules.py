@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cargoledger import fixed_values as fv
 from cargoledger.functions.numbers import with_parsed_numbers
-from cargoledger.functions.text import is_missing_stripped, strip
+from cargoledger.functions.text import strip
 
 FIELDS = [rule[0] for rule in fv.FIELD_RULES]
 NAMES = {rule[0]: rule[1] for rule in fv.FIELD_RULES}
@@ -25,9 +25,17 @@ def _number(field: str) -> Column:
     return F.col(f"_n_{field}")
 
 
+def _given(field: str) -> Column:
+    return F.col(f"_g_{field}")
+
+
 def with_field_values(docs: DataFrame, rules: list[tuple]) -> DataFrame:
-    """Working columns of a check: the stripped text of every field, the number of numeric ones."""
+    """Working columns of a check, per field: stripped text, whether it is given, and its number."""
     docs = docs.withColumns({f"_t_{rule[0]}": strip(F.col(rule[0])) for rule in rules})
+    markers = ", ".join(f"'{m}'" for m in fv.MISSING_TEXTS)
+    docs = docs.withColumns(
+        {f"_g_{rule[0]}": F.expr(f"coalesce(_t_{rule[0]} NOT IN ({markers}), false)") for rule in rules}
+    )
     kinds = {"integer": "int", "decimal": "float", "currency": "float"}
     numeric = {f"_n_{r[0]}": (f"_t_{r[0]}", kinds[r[2]]) for r in rules if r[2] in kinds}
     return with_parsed_numbers(docs, numeric) if numeric else docs
@@ -62,10 +70,10 @@ def with_messages(docs: DataFrame, rules: list[tuple]) -> DataFrame:
     """
     messages = {}
     for rule in rules:
-        missing = is_missing_stripped(_text(rule[0]))
         wanted = F.lit(fv.REQUIRED_MESSAGE % rule[1]) if rule[3] else F.lit(None).cast("string")
         first, *rest = _broken_limits(rule)
-        found = [F.when(missing, wanted).otherwise(first), *[F.when(~missing, c) for c in rest]]
+        given = _given(rule[0])
+        found = [F.when(given, first).otherwise(wanted), *[F.when(given, c) for c in rest]]
         messages |= dict(zip(message_names(rule), found))
     return with_field_values(docs, rules).withColumns(messages)
 
@@ -77,14 +85,7 @@ def present_only(values: list[Column], kind: str) -> Column:
 
 
 def is_valid(rule: tuple) -> Column:
-    valid = F.lit(True)
-    for name in message_names(rule):
-        valid = valid & F.col(name).isNull()
-    return valid
-
-
-def is_detected(rule: tuple) -> Column:
-    return ~is_missing_stripped(_text(rule[0]))
+    return F.expr(" AND ".join(f"{name} IS NULL" for name in message_names(rule)))
 
 
 def _value(rule: tuple) -> Column:
@@ -102,8 +103,8 @@ def check_field(rule: tuple) -> Column:
         F.lit(name).alias("name"),
         F.lit(required).alias("required"),
         is_valid(rule).alias("valid"),
-        is_detected(rule).alias("detected"),
-        F.when(is_detected(rule), _value(rule)).otherwise(fv.NOT_DETECTED).alias("value"),
+        _given(field).alias("detected"),
+        F.when(_given(field), _value(rule)).otherwise(fv.NOT_DETECTED).alias("value"),
         present_only([F.col(m) for m in message_names(rule)], "string").alias("messages"),
     )
 
@@ -160,7 +161,7 @@ def validation_report(docs: DataFrame, rules: list[tuple] | None = None) -> Data
         F.count(F.lit(1)).alias("total"),
         F.count_if(all_valid).alias("valid_documents"),
         *[F.count_if(is_valid(r)).alias(f"valid_{r[0]}") for r in rules],
-        *[F.count_if(is_detected(r)).alias(f"detected_{r[0]}") for r in rules],
+        *[F.count_if(_given(r[0])).alias(f"detected_{r[0]}") for r in rules],
     )
     rows = [
         F.struct(

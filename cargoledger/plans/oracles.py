@@ -614,7 +614,7 @@ def _advice() -> str:
         pieces = description.replace("%%", "%").split("%s")
         text = f" || {fill} || ".join(q(p) for p in pieces) if fill else q(pieces[0])
         parts.append(
-            f"SELECT {i} AS ord, {fv.PRIORITY_ORDER.index(priority)} AS rank, {q(priority)} AS priority, {q(category)} AS category, "
+            f"SELECT {i} AS ord, {fv.PRIORITY_ORDER.index(priority)}::BIGINT AS rank, {q(priority)} AS priority, {q(category)} AS category, "
             f"{q(title)} AS title, {text} AS description, {q('|'.join(actions))} AS actions WHERE {condition}"
         )
     return "advice AS (" + " UNION ALL ".join(parts) + ")"

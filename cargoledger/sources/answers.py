@@ -11,18 +11,23 @@ from pyspark.sql import types as T
 
 from cargoledger import fixed_values as fv
 from cargoledger.functions.numbers import parse_float
-from cargoledger.operators.allocation import has_error
 from cargoledger.schemas import BL, INVOICE
 
 CORRUPT = "_corrupt_record"
 SHOWN_CHARS = 500
 
 
-def json_part(c: Column) -> Column:
-    """The JSON text inside an answer: a fenced object first, else from the first brace to the next closing one."""
-    fenced = F.regexp_extract(c, fv.FENCED_JSON_PATTERN, 1)
-    bare = F.regexp_extract(c, fv.BARE_JSON_PATTERN, 1)
-    return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(bare, F.lit("")))
+def with_json_part(answers: DataFrame, text: str, name: str) -> DataFrame:
+    """Answers with the JSON text inside them: a fenced object first, else from the first brace to the
+    next closing one, else null. Each pattern runs once, the second only where the first failed.
+    """
+    fenced, bare = F.col("_fenced"), F.col("_bare")
+    return (
+        answers.withColumn("_fenced", F.regexp_extract(text, fv.FENCED_JSON_PATTERN, 1))
+        .withColumn("_bare", F.when(fenced == "", F.regexp_extract(text, fv.BARE_JSON_PATTERN, 1)))
+        .withColumn(name, F.when(fenced != "", fenced).when(bare != "", bare))
+        .drop("_fenced", "_bare")
+    )
 
 
 def _as_text(kind: T.DataType) -> T.DataType:
@@ -47,35 +52,47 @@ def _typed(c: Column, kind: T.DataType) -> Column:
     return c
 
 
-def parse_answers(answers: DataFrame, schema: T.StructType, text: str = "text") -> DataFrame:
-    """Answers with ``record`` typed by ``schema`` and ``error`` where there is no sound JSON object."""
+def _read(answers: DataFrame, schema: T.StructType, text: str) -> DataFrame:
+    """Answers with ``_read``, the record with text leaves, and ``error``."""
     guarded = T.StructType([*_as_text(schema).fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     said = F.coalesce(text, F.lit(""))
     no_json = F.format_string(fv.NO_JSON_ERROR, F.substring(said, 1, SHOWN_CHARS))
-    read = answers.withColumn("_json", json_part(said)).withColumn(
-        "_read", F.from_json("_json", guarded, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    )
     broken = F.col(f"_read.{CORRUPT}").isNotNull()
     error = F.when(F.col("_json").isNull(), no_json).when(broken, fv.BAD_JSON_ERROR)
-    record = F.struct(*[_typed(F.col(f"_read.{f.name}"), f.dataType).alias(f.name) for f in schema.fields])
-    return read.withColumn("error", error).withColumn("record", F.when(F.col("error").isNull(), record)).drop(
-        "_json", "_read"
-    )
+    found = with_json_part(answers, text, "_json")
+    return found.withColumn("_read", F.from_json("_json", guarded, options)).withColumn("error", error).drop("_json")
+
+
+def _fields(schema: T.StructType) -> list[Column]:
+    """The typed fields of ``_read``; all null beside an error."""
+    sound = F.col("error").isNull()
+    return [F.when(sound, _typed(F.col(f"_read.{f.name}"), f.dataType)).alias(f.name) for f in schema.fields]
+
+
+def parse_answers(answers: DataFrame, schema: T.StructType, text: str = "text") -> DataFrame:
+    """Answers with ``record`` typed by ``schema`` and ``error`` where there is no sound JSON object."""
+    record = F.when(F.col("error").isNull(), F.struct(*_fields(schema)))
+    return _read(answers, schema, text).withColumn("record", record).drop("_read")
 
 
 def typed_bl(answers: DataFrame) -> DataFrame:
     """BL rows of ``answers(shipment_id, text)``."""
-    return parse_answers(answers, BL).select("shipment_id", "record.*", "error")
+    return _read(answers, BL, "text").select("shipment_id", *_fields(BL), "error")
 
 
 def typed_invoices(answers: DataFrame) -> DataFrame:
     """Invoice rows of ``answers(shipment_id, invoice_idx, text)``."""
-    return parse_answers(answers, INVOICE).select("shipment_id", "invoice_idx", "record.*", "error")
+    return _read(answers, INVOICE, "text").select("shipment_id", "invoice_idx", *_fields(INVOICE), "error")
 
 
 def invoice_items(invoices: DataFrame) -> DataFrame:
-    """Items of sound invoices, with their position in the invoice."""
-    sound = invoices.where(~has_error(F.coalesce("error", F.lit(""))))
-    return sound.select("shipment_id", "invoice_idx", F.posexplode("items").alias("pos", "i")).select(
+    """Items of sound invoices, with their position in the invoice.
+
+    The outer generator keeps Spark from parsing every answer once more to test the array's size;
+    failed invoices have no items and drop out with the empty ones.
+    """
+    listed = invoices.select("shipment_id", "invoice_idx", F.posexplode_outer("items").alias("pos", "i"))
+    return listed.where(F.col("pos").isNotNull()).select(
         "shipment_id", "invoice_idx", F.col("pos").cast("bigint").alias("item_idx"), "i.*"
     )
