@@ -182,9 +182,9 @@ def common_errors(docs: DataFrame, rules: list[tuple] | None = None) -> DataFram
     messages = present_only(named_messages(rules), "string")
     said = with_messages(docs, rules).select("doc_id", F.posexplode_outer(messages).alias("at", "message"))
     counted = said.where(F.col("message").isNotNull()).groupBy("message").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("first_seen")
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.min_by("at", "doc_id").alias("first_at")
     )
-    return counted.orderBy(F.desc("n"), "first_seen")
+    return counted.orderBy(F.desc("n"), "first_doc", "first_at")
 
 
 def _present(c: Column) -> Column:

@@ -340,7 +340,7 @@ def e14_validation_report(load, spark):
 
 @query
 def e15_common_errors(load, spark):
-    return rules.common_errors(load("v_doc")).select("message", "n", F.col("first_seen.doc_id").alias("first_doc"))
+    return rules.common_errors(load("v_doc")).select("message", "n", "first_doc")
 
 
 FIXED = ["numero_bl", "numero_contenedor", "incoterm", *rules.fv.MONEY_FIELDS]
