@@ -83,21 +83,32 @@ def number_rows(
     name: str = "item_number",
     outer_span: int = SPAN,
     inner_span: int = SPAN,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Number rows 1..n per ``group`` in the order ``outer``, ``inner``, ``ties``.
 
-    Ranks are taken inside runs of ``inner_span`` positions of one ``outer`` value; a run's start
-    is the running sum of pre-aggregated counts, first over runs inside a block of ``outer_span``
-    outer values, then over blocks. No window sees a whole group of rows.
+    An ordinary group is ranked by one window. A heavy one is ranked inside short runs, each
+    ``inner_span`` positions of one ``outer`` value; a run starts at the running sum of the counts
+    before it, first over the runs in a block of ``outer_span`` outer values, then over blocks. So
+    no window ever takes the rows of a heavy group.
     """
-    cut = rows.withColumn("_run", F.floor(F.col(inner) / inner_span))
+    weights = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = F.broadcast(large_keys(weights, [group], "_rows", slice_rows).withColumnRenamed("_slices", "_heavy"))
+    is_heavy = F.col("_heavy").isNotNull()
+    cut = (
+        rows.join(heavy, group, "left")
+        .withColumn("_outer", F.when(is_heavy, F.col(outer)))
+        .withColumn("_run", F.when(is_heavy, F.floor(F.col(inner) / inner_span)))
+        .drop("_heavy")
+    )
     runs = (
-        cut.groupBy(group, outer, "_run")
+        rows.join(heavy, group)
+        .groupBy(group, F.col(outer).alias("_outer"), F.floor(F.col(inner) / inner_span).alias("_run"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_block", F.floor(F.col(outer) / outer_span))
+        .withColumn("_block", F.floor(F.col("_outer") / outer_span))
     )
     blocks = runs.groupBy(group, "_block").agg(F.sum("_n").alias("_n"))
-    earlier_runs = W.partitionBy(group, "_block").orderBy(outer, "_run").rowsBetween(W.unboundedPreceding, -1)
+    earlier_runs = W.partitionBy(group, "_block").orderBy("_outer", "_run").rowsBetween(W.unboundedPreceding, -1)
     earlier_blocks = W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     block_starts = blocks.select(
         group, "_block", F.coalesce(F.sum("_n").over(earlier_blocks), F.lit(0)).alias("_block_start")
@@ -105,14 +116,14 @@ def number_rows(
     run_starts = (
         runs.withColumn("_in_block", F.coalesce(F.sum("_n").over(earlier_runs), F.lit(0)))
         .join(block_starts, [group, "_block"])
-        .select(group, outer, "_run", (F.col("_block_start") + F.col("_in_block")).alias("_start"))
+        .select(group, "_outer", "_run", (F.col("_block_start") + F.col("_in_block")).alias("_start"))
     )
-    in_run = W.partitionBy(group, outer, "_run").orderBy(inner, *ties)
+    in_run = W.partitionBy(group, "_outer", "_run").orderBy(outer, inner, *ties)
     return (
         cut.withColumn("_rank", F.row_number().over(in_run))
-        .join(run_starts, [group, outer, "_run"])
-        .withColumn(name, (F.col("_start") + F.col("_rank")).cast("bigint"))
-        .drop("_run", "_rank", "_start")
+        .join(run_starts, [group, "_outer", "_run"], "left")
+        .withColumn(name, (F.coalesce("_start", F.lit(0)) + F.col("_rank")).cast("bigint"))
+        .drop("_outer", "_run", "_rank", "_start")
     )
 
 

@@ -48,12 +48,14 @@ def test_number_rows_equals_a_running_count(spark):
     rng = random.Random(7)
     rows = [("hot" if rng.random() < 0.5 else f"s{rng.randrange(9)}", rng.randrange(40), i) for i in range(800)]
     df = spark.createDataFrame(rows, "g string, o int, p int")
-    got = distribution.number_rows(df, "g", "o", "p", outer_span=7, inner_span=50).collect()
     expected = {}
     for g in {r[0] for r in rows}:
         for n, r in enumerate(sorted((o, p) for k, o, p in rows if k == g), 1):
             expected[(g, *r)] = n
-    assert {(r["g"], r["o"], r["p"]): r["item_number"] for r in got} == expected
+    # Every group in runs, the heavy one only, and none.
+    for slice_rows in (1, 100, 10_000):
+        got = distribution.number_rows(df, "g", "o", "p", outer_span=7, inner_span=50, slice_rows=slice_rows)
+        assert {(r["g"], r["o"], r["p"]): r["item_number"] for r in got.collect()} == expected
 
 
 def test_nest_rows_continues_in_parts(spark):
