@@ -320,7 +320,7 @@ def amount(x: str) -> str:
     return f"(CASE WHEN {x} IS NULL OR {x} = '' THEN 0.0 ELSE {as_double(x)} END)"
 
 
-# One operand that is no number makes the whole calculation 0, whatever the rule uses of it.
+# An operand of the rule that is no number makes the result 0.
 oracle(
     "k6_template_texts",
     f"""SELECT doc_id, coalesce({amount('valor_cif')} - {amount('valor_fob')}, 0.0) AS "Costo Total Flete/Seguro"
