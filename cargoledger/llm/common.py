@@ -127,3 +127,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         ends[row_ends] = inside[row_ends]
     starts = np.flatnonzero(begins)
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def spread_join(facts: DataFrame, lookup: DataFrame, on: str, row_key: list[str], how: str = "left", slots: int = 64) -> DataFrame:
+    """Join ``facts`` to a ``lookup`` with one row per key, which any number of facts may share.
+
+    Facts are dealt to slots by a hash of ``row_key`` and the lookup row is repeated for the slots
+    that occur, so no task takes more than a slot's share of a key.
+    """
+    dealt = facts.withColumn("_slot", F.pmod(F.xxhash64(*row_key), F.lit(slots)).cast("int"))
+    repeated = dealt.select(on, "_slot").distinct().join(lookup, on)
+    return dealt.join(repeated, [on, "_slot"], how).drop("_slot")
+
+
+def tree_parents(members: np.ndarray, fan_out: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (child, parent) of a shallow tree over sorted ``members``; no member has many edges."""
+    return members[1:], members[(np.arange(1, len(members)) - 1) // fan_out]

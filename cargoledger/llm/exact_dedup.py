@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargoledger.llm.common import ascii_lower, shuffle_partitions
+from cargoledger.llm.common import ascii_lower, shuffle_partitions, written
 
 # What two entries must share to count as one text: the digest, and two checks that verify it.
 TEXT_KEY = ["digest", "size", "check"]
@@ -81,12 +81,13 @@ def exact_groups(
     another is the same document and comes out once. Documents without an id are documents like any
     other (all null ids of one text are one document); they are kept only if no equal text has an
     id. An empty table gives no rows; other columns are not read. ``runs`` defaults to the power of
-    two above the shuffle width.
+    two above the shuffle width. The digests are computed once, into the shared folder, and every
+    round reads them from there.
     """
     if runs is None:
         runs = 1 << max(6, (shuffle_partitions(docs.sparkSession) - 1).bit_length())
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    entries = with_text_key(rows, F.col("text")).select("doc_id", *TEXT_KEY).distinct()
+    entries = written(with_text_key(rows, F.col("text")).select("doc_id", *TEXT_KEY).distinct(), "digests")
     return merge_tree(entries, TEXT_KEY, "doc_id", keep, runs, fan_in_bits).select(
         "doc_id",
         "keep_id",

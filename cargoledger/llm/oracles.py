@@ -37,4 +37,22 @@ runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORD
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM runs GROUP BY doc_id""",
+    "op10_suffix_array_dedup": """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS bytes FROM documents),
+at AS (SELECT doc_id, bytes, unnest(range(0, length(bytes) // 2)) AS pos FROM b),
+strings AS (
+  SELECT doc_id, pos, md5(substr(bytes, 2 * pos + 1, 400)) AS digest FROM at WHERE 2 * pos + 400 <= length(bytes)),
+repeated AS (SELECT doc_id, pos FROM strings QUALIFY count(*) OVER (PARTITION BY digest) > 1),
+flagged AS (
+  SELECT at.doc_id, at.pos, substr(bytes, 2 * at.pos + 1, 2) AS byte,
+    coalesce(at.pos - max(r.pos) OVER (PARTITION BY at.doc_id ORDER BY at.pos) < 200, false) AS gone
+  FROM at LEFT JOIN repeated r ON r.doc_id = at.doc_id AND r.pos = at.pos),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM flagged),
+kept AS (
+  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+    coalesce(string_agg(byte, '' ORDER BY pos) FILTER (WHERE NOT gone), '') AS rest
+  FROM runs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+FROM b LEFT JOIN kept USING (doc_id)""",
 }

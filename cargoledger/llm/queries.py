@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoledger.llm import exact_dedup, line_dedup, packing, preference
+from cargoledger.llm import exact_dedup, language, line_dedup, packing, preference, suffix_dedup
 from cargoledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_rows(*preference.swapped_replies(table(spark, sf_dir, "conversations")))
 
@@ -31,9 +35,15 @@ def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_string_kernel_language": op6_string_kernel_language,
     "op7_preference_formatting": op7_preference_formatting,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_windows": op9_line_windows,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
