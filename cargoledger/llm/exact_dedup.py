@@ -47,7 +47,7 @@ def merge_tree(entries: DataFrame, key: list[str], id_column: str, keep: str, ru
     levels = [
         entries.select(run.alias("run"), *key, F.col(id_column).alias("best"))
         .groupBy("run", *key)
-        .agg(_preferred(keep).alias("best"), F.count(F.lit(1)).alias("n"))
+        .agg(_preferred(keep).alias("best"), F.count(F.lit(1)).alias("members"))
     ]
     left = runs
     while left > 1:
@@ -55,11 +55,11 @@ def merge_tree(entries: DataFrame, key: list[str], id_column: str, keep: str, ru
         shorter = F.shiftright("run", fan_in_bits).alias("run")
         levels.append(
             levels[-1]
-            .select(shorter, *key, "best", "n")
+            .select(shorter, *key, "best", "members")
             .groupBy("run", *key)
-            .agg(_preferred(keep).alias("best"), F.sum("n").alias("n"))
+            .agg(_preferred(keep).alias("best"), F.sum("members").alias("members"))
         )
-    decided = levels[-1].select("run", *key, F.col("best").alias("keep_id"), F.col("n").alias("group_size"))
+    decided = levels[-1].select("run", *key, F.col("best").alias("keep_id"), F.col("members").alias("group_size"))
     for level in reversed(levels[:-1]):
         children = level.select("run", *key, F.shiftright("run", fan_in_bits).alias("parent"))
         decided = children.join(decided.withColumnRenamed("run", "parent"), ["parent", *key]).drop("parent")

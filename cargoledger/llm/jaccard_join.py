@@ -211,7 +211,7 @@ def sharing_groups(rows: DataFrame, buckets: int) -> DataFrame:
                     names=["bucket", "ids", "entries"],
                 )
 
-    def meet(_, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners = [], []
         for batch in batches:
             lists = batch.column("ids")
@@ -267,7 +267,7 @@ def search(n: int, near) -> list[np.ndarray]:
 def family_edges(groups: DataFrame, sketches: DataFrame, buckets: int) -> DataFrame:
     """Edges ``a, b`` of trees over members of a group that their parity bits do not tell apart."""
 
-    def compare(_, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches))
         rows = rows.take(pa.compute.sort_indices(rows, [("gid", "ascending"), ("doc_id", "ascending")]))
         gid = np.asarray(rows["gid"])
@@ -361,7 +361,7 @@ def verified_components(rows: DataFrame, families: DataFrame, buckets: int, bloc
         "shingles",
     )
 
-    def link(_, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _family_groups(batches):
             ids, family = np.asarray(group["doc_id"]), np.asarray(group["family"])
             ends, flat, size = _unpacked(group)
@@ -394,7 +394,7 @@ def _across_blocks(dealt: DataFrame, found: DataFrame, buckets: int) -> DataFram
         .select("doc_id", "family", "block", "label", "shingles", "task", F.lit(True).alias("visits"))
     )
 
-    def visit(_, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _family_groups(batches):
             visits, label = np.asarray(group["visits"], dtype=bool), np.asarray(group["label"])
             near = _near_sets(*_unpacked(group))

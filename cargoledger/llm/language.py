@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_column: str = "te
     are scored as often as they occur; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model and (model.languages, model.weights, model.sharpness))
     text = F.col(text_column).cast("string")
     inputs = docs.select(F.struct(*[F.col(c) for c in carried]).alias("carried"), F.lower(text).alias("text"), has_letters(text).alias("letters"))
 
@@ -152,7 +152,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_column: str = "te
                 letters = np.zeros(n, bool)
             else:
                 slots, sizes = presence(batch.column("text"))
-                margins = np.zeros((n, len(fitted.languages)))
+                languages, weights, sharpness = fitted
+                margins = np.zeros((n, len(languages)))
                 full = np.flatnonzero(sizes)
                 if len(full):
                     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -160,11 +161,11 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_column: str = "te
                     for i in range(0, len(full), 256):
                         rows = full[i : i + 256]
                         begin, end = starts[rows[0]], starts[rows[-1]] + sizes[rows[-1]]
-                        margins[rows] = np.add.reduceat(fitted.weights[slots[begin:end]], starts[rows] - begin, axis=0, dtype=np.float64)
+                        margins[rows] = np.add.reduceat(weights[slots[begin:end]], starts[rows] - begin, axis=0, dtype=np.float64)
                     margins[full] /= np.sqrt(sizes[full])[:, None]
-                weight = np.exp(fitted.sharpness * (margins - margins.max(axis=1, keepdims=True)))
+                weight = np.exp(sharpness * (margins - margins.max(axis=1, keepdims=True)))
                 best, share = margins.argmax(axis=1), weight.max(axis=1) / weight.sum(axis=1)
-            names = [fitted.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+            names = [languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("carried"), pa.array(names, pa.string()), pa.array(np.where(letters, share, 0.0))],
                 names=["carried", "lang_pred", "score"],

@@ -10,6 +10,22 @@ WITH t AS (SELECT doc_id, {FOLDED} AS folded FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(folded) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY folded)""",
+    "op4_jaccard_join": f"""
+WITH RECURSIVE
+w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({FOLDED}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * shared >= 75 * (na.n_shingles + nb.n_shingles - shared)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(any_value(n.n_shingles), 0) AS n_shingles, min(r.other) AS component_id
+FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op7_preference_formatting": """
 WITH replies AS (
   SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS reply FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
@@ -38,21 +54,23 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, c
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM runs GROUP BY doc_id""",
     "op10_suffix_array_dedup": """
-WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS bytes FROM documents),
-at AS (SELECT doc_id, bytes, unnest(range(0, length(bytes) // 2)) AS pos FROM b),
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS bytes, strlen(coalesce(text, '')) AS n FROM documents),
 strings AS (
-  SELECT doc_id, pos, md5(substr(bytes, 2 * pos + 1, 400)) AS digest FROM at WHERE 2 * pos + 400 <= length(bytes)),
+  SELECT doc_id, unnest(range(0, n - 199)) AS pos,
+    unnest(list_transform(range(0, n - 199), lambda i: md5(substr(bytes, 2 * i + 1, 400)))) AS digest
+  FROM b WHERE n >= 200),
 repeated AS (SELECT doc_id, pos FROM strings QUALIFY count(*) OVER (PARTITION BY digest) > 1),
-flagged AS (
-  SELECT at.doc_id, at.pos, substr(bytes, 2 * at.pos + 1, 2) AS byte,
-    coalesce(at.pos - max(r.pos) OVER (PARTITION BY at.doc_id ORDER BY at.pos) < 200, false) AS gone
-  FROM at LEFT JOIN repeated r ON r.doc_id = at.doc_id AND r.pos = at.pos),
-runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM flagged),
-kept AS (
-  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
-    coalesce(string_agg(byte, '' ORDER BY pos) FILTER (WHERE NOT gone), '') AS rest
-  FROM runs GROUP BY doc_id)
-SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(coalesce(rest, ''))) AS kept_sha256
-FROM b LEFT JOIN kept USING (doc_id)""",
+opens AS (
+  SELECT doc_id, pos, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > 200, true) AS fresh FROM repeated),
+runs AS (SELECT doc_id, pos, sum(fresh::int) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM opens),
+spans AS (SELECT doc_id, run, min(pos) AS first, max(pos) + 200 AS last FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, first, last, lag(last, 1, 0) OVER (PARTITION BY doc_id ORDER BY first) AS before FROM spans),
+parts AS (
+  SELECT g.doc_id, count(*) AS n_spans, sum(last - first) AS n_removed, max(last) AS last,
+    string_agg(substr(bytes, 2 * before + 1, 2 * (first - before)), '' ORDER BY first) AS head
+  FROM gaps g JOIN b ON b.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(bytes, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN parts ON parts.doc_id = b.doc_id""",
 }

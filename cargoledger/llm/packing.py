@@ -11,6 +11,7 @@ length nor a hot source is gathered in one task.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -23,10 +24,14 @@ from pyspark.sql import functions as F
 
 from cargoledger.llm.common import CODES, WORD_SPACE, run_hashes, shuffle_partitions, slices, text_buffer, written
 
-# White space outside ASCII (and the separators 0x1C-0x1F): texts that hold any are encoded whole.
-ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-# Encoded chunks that a Python worker remembers at most.
-REMEMBERED = 400_000
+# White space outside ASCII, and special tokens: rows that hold any are encoded whole.
+ODD_TEXT = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
+# Bytes without which a text cannot match.
+SUSPECT = np.zeros(256, dtype=bool)
+SUSPECT[[0x1C, 0x1D, 0x1E, 0x1F, 0x7C, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+# Distinct chunks that a Python worker remembers at most, and bytes of chunks that are encoded as one text.
+REMEMBERED = 1_000_000
+JOINED_BYTES = 1 << 14
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -106,46 +111,97 @@ def plan_best_fit(histogram: dict[int, int], size: int) -> np.ndarray:
     return np.array(steps, dtype=np.int64).reshape(-1, 6)
 
 
-def _encode_texts(tokenizer, column: pa.Array, remembered: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, token ids) for every row, each distinct chunk of a slice being encoded once.
-
-    A chunk is a run of ASCII white space with the run of other characters after it. The
-    tokenizer's pattern never joins a character to white space after it, so chunks are encoded apart.
+class ChunkCodes:
+    """Token ids of distinct chunks of text, found by the chunks' hashes."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        vocabulary = tokenizer.get_vocab()
+        # In a byte-level vocabulary every character of a token stands for one byte.
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.begins = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.ones(len(hashes), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] != hashes
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> None:
+        """Encode chunks, which follow one another in ``data``, joined to texts of some length."""
+        ends = np.cumsum(lengths)
+        groups = np.flatnonzero(np.diff(ends // JOINED_BYTES, prepend=-1)) if len(ends) else ends
+        bounds = np.append((ends - lengths)[groups], len(data)).tolist()
+        raw = data.tobytes()
+        codes = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in zip(bounds[:-1], bounds[1:], strict=True)], add_special_tokens=False)
+        ids = np.concatenate([np.array(c.ids, dtype=np.uint32) for c in codes]) if codes else np.zeros(0, np.uint32)
+        token_ends = np.cumsum(self.token_bytes[ids])
+        last = np.searchsorted(token_ends, ends)
+        if len(ends) and not np.array_equal(token_ends[np.minimum(last, len(ids) - 1)], ends):
+            raise ValueError("the tokenizer joins a character to the white space after it")
+        sizes = np.diff(last + 1, prepend=0)
+        begins = len(self.ids) + last + 1 - sizes
+        self.ids = np.concatenate((self.ids, ids))
+        merged = np.concatenate((self.hashes, hashes))
+        order = np.argsort(merged, kind="stable")
+        self.hashes = merged[order]
+        self.begins, self.sizes = np.concatenate((self.begins, begins))[order], np.concatenate((self.sizes, sizes))[order]
+
+    def encode(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks ``data[starts:starts + lengths]`` in sequence, and their number per chunk."""
+        hashes, at, inverse = np.unique(run_hashes(data, starts, starts + lengths, CODES), return_index=True, return_inverse=True)
+        new = self.missing(hashes)
+        if len(self.hashes) + new.sum() > REMEMBERED:
+            self.clear()
+            new[:] = True
+        at, size = starts[at[new]], lengths[at[new]]
+        self.add(hashes[new], data[np.repeat(at - np.cumsum(size) + size, size) + np.arange(int(size.sum()))], size)
+        known = np.searchsorted(self.hashes, hashes)[inverse]
+        counts = self.sizes[known]
+        ends = np.cumsum(counts)
+        return self.ids[np.repeat(self.begins[known] - ends + counts, counts) + np.arange(int(counts.sum()))], counts
+
+
+def _encode_texts(codes: ChunkCodes, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, token ids) for every row, each distinct chunk being encoded once.
+
+    A chunk is a run of ASCII white space with the run of other characters after it. The tokenizer's
+    pattern never joins a character to white space after it, so chunks may be encoded apart or joined in
+    any order, if all begin with white space. A row's first chunk may not, and rows that hold other
+    white space or a special token are encoded whole.
     """
     data, offsets = text_buffer(column)
     for first, last in slices(offsets):
         bounds = offsets[first : last + 1] - offsets[first]
         part = data[offsets[first] : offsets[last]]
+        whole = np.unique(np.searchsorted(bounds, np.flatnonzero(SUSPECT[part]), side="right") - 1)
+        texts = {r: part[bounds[r] : bounds[r + 1]].tobytes().decode("utf-8") for r in whole.tolist()}
+        texts = {r: t for r, t in texts.items() if ODD_TEXT.search(t)}
         space = WORD_SPACE[part]
         cut = np.zeros(len(part), bool)
-        if len(part):
-            cut[1:] = space[1:] & ~space[:-1]
-            cut[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        cut[1:] = space[1:] & ~space[:-1]
+        heads = bounds[:-1][bounds[:-1] < len(part)]
+        cut[heads] = space[heads]
         starts = np.flatnonzero(cut)
-        ends = np.concatenate((starts[1:], [len(part)])).astype(np.int64) if len(starts) else starts
-        hashes, at, inverse = np.unique(run_hashes(part, starts, ends, CODES), return_index=True, return_inverse=True)
-        missing = [i for i, h in enumerate(hashes.tolist()) if h not in remembered]
-        if missing:
-            if len(remembered) > REMEMBERED:
-                remembered.clear()
-                missing = list(range(len(hashes)))
-            raw = part.tobytes()
-            # A cut never falls inside a character: it stands before an ASCII byte or at a row's start.
-            texts = [raw[starts[at[i]] : ends[at[i]]].decode("utf-8") for i in missing]
-            for i, code in zip(missing, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                remembered[int(hashes[i])] = np.array(code.ids, dtype=np.uint32)
-        known = [remembered[h] for h in hashes.tolist()]
-        sizes = np.array([len(k) for k in known], dtype=np.int64)
-        base = np.concatenate(([0], np.cumsum(sizes)))
-        flat = np.concatenate(known) if known else np.zeros(0, np.uint32)
-        lengths = sizes[inverse] if len(inverse) else np.zeros(0, np.int64)
-        ends_of = np.cumsum(lengths)
-        begins = ends_of - lengths
-        ids = flat[np.repeat(base[:-1][inverse] - begins, lengths) + np.arange(int(lengths.sum()))] if len(inverse) else flat
-        token_at = np.concatenate(([0], ends_of)).astype(np.int64)
-        row_bounds = token_at[np.searchsorted(starts, bounds)]
-        for row in range(first, last):
-            yield row, ids[row_bounds[row - first] : row_bounds[row - first + 1]]
+        row = np.searchsorted(bounds, starts, side="right") - 1
+        ends = np.minimum(np.append(starts[1:], len(part)), bounds[row + 1]) if len(starts) else starts
+        ids, counts = codes.encode(part, starts, ends - starts)
+        token = np.concatenate(([0], np.cumsum(counts)))
+        of_row = token[np.searchsorted(starts, bounds)]
+        lead_ends = np.minimum(np.append(starts, len(part))[np.searchsorted(starts, bounds[:-1])], bounds[1:])
+        lead = [part[a:b].tobytes().decode("utf-8") for a, b in zip(bounds[:-1].tolist(), lead_ends.tolist(), strict=True)]
+        leads = codes.tokenizer.encode_batch_fast(lead, add_special_tokens=False)
+        for r in range(last - first):
+            if r in texts:
+                yield first + r, np.array(codes.tokenizer.encode(texts[r], add_special_tokens=False).ids, dtype=np.uint32)
+            else:
+                yield first + r, np.concatenate((np.array(leads[r].ids, dtype=np.uint32), ids[of_row[r] : of_row[r + 1]]))
 
 
 def piece_table(
@@ -164,16 +220,11 @@ def piece_table(
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        remembered: dict[int, np.ndarray] = {}
+        codes = ChunkCodes(Tokenizer.from_file(tokenizer_path))
         for batch in batches:
             out: list[tuple] = []
             ids_of = batch.column(0).to_pylist()
-            whole = set(np.flatnonzero(np.asarray(batch.column(2), dtype=bool)).tolist())
-            for row, ids in _encode_texts(tokenizer, batch.column(1), remembered):
-                if row in whole:
-                    text = batch.column(1)[row].as_py()
-                    ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            for row, ids in _encode_texts(codes, batch.column(1)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 start, piece = 0, 0
                 end = (len(ids) - 1) % size + 1 if len(ids) > size else len(ids)
@@ -186,8 +237,7 @@ def piece_table(
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
 
     text = F.col(text_column).cast("string")
-    odd = F.coalesce(text.rlike(ODD_SPACE) | text.contains("<|endoftext|>"), F.lit(False))
-    return docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text.alias("text"), odd.alias("odd")).mapInArrow(encode, PIECES)
+    return docs.select(F.col(id_column).cast("bigint").alias("doc_id"), text.alias("text")).mapInArrow(encode, PIECES)
 
 
 def ranked(pieces: DataFrame) -> DataFrame:

@@ -8,16 +8,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoledger.llm import exact_dedup, language, line_dedup, packing, preference, suffix_dedup
+from cargoledger.llm import exact_dedup, jaccard_join, language, line_dedup, neighbours, packing, preference, subword, suffix_dedup
 from cargoledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = subword.encode(table(spark, sf_dir, "documents"), model, carried=("doc_id", "text"))
+    decoded = subword.decode(encoded, model, carried=("doc_id", "text", "ids")).toDF("doc_id", "original", "ids", "text")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+        F.col("original").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
+def op2_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0").select("vec_id"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents")).drop("class_id")
+
+
 def op6_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -40,7 +62,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sampled_pieces": op1_sampled_pieces,
+    "op2_projected_neighbours": op2_projected_neighbours,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_string_kernel_language": op6_string_kernel_language,
     "op7_preference_formatting": op7_preference_formatting,
     "op8_best_fit_packing": op8_best_fit_packing,

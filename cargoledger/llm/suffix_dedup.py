@@ -224,7 +224,7 @@ def anchor_counts(rows: DataFrame, width: int, buckets: int) -> DataFrame:
                     names=["bucket", "ids", "tags", "entries"],
                 )
 
-    def find(_, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners, parts, ids, tags = [], [], [], []
         base = 0
         for batch in batches:
@@ -290,7 +290,7 @@ def context_marks(cut: DataFrame, width: int, buckets: int) -> DataFrame:
                     names=["bucket", "hash", "piece", "ids", "tags", "firsts"],
                 )
 
-    def mark(_, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged: dict[tuple[int, bytes], list] = {}
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("hash", "piece", "ids", "tags", "firsts")]
