@@ -31,6 +31,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
+def null_free(column: str) -> Column:
+    """An id as text that is never null, so that joins and groups on it share one shuffle; null gives a text no id has."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("\x00"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle width, which a deployment sets from the size of its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

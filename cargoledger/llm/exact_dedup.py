@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargoledger.llm.common import ascii_lower, shuffle_partitions, written
+from cargoledger.llm.common import ascii_lower, null_free, shuffle_partitions, written
 
 # What two entries must share to count as one text: the digest, and two checks that verify it.
 TEXT_KEY = ["digest", "size", "check"]
@@ -103,14 +103,14 @@ def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: s
     Of rows that repeat id and text, the one whose row hashes lowest stays.
     """
     tagged = with_text_key(
-        docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text")),
-        F.col("text").cast("string"),
+        docs.select(F.struct("*").alias("row"), null_free(id_column).alias("id"), F.col(text_column).cast("string").alias("text")),
+        F.col("text"),
     ).withColumn("text_sha256", F.lower(F.hex("digest")))
-    kept = exact_groups(docs, id_column, text_column, **options).where("kept").select("doc_id", "text_sha256")
+    kept = exact_groups(docs, id_column, text_column, **options).where("kept").select(null_free("doc_id").alias("id"), "text_sha256")
     plain = [F.col(f"row.`{f.name}`").cast("string") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    same = (F.col("id").eqNullSafe(F.col("doc_id"))) & (tagged["text_sha256"] == kept["text_sha256"])
     return (
-        tagged.join(kept, same, "left_semi")
+        tagged.select("id", "text_sha256", "row")
+        .join(kept, ["id", "text_sha256"], "left_semi")
         .groupBy("id", "text_sha256")
         .agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
         .select("row.*")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cargoledger.llm.common import null_free
+
 SLOTS = 64
 
 
@@ -19,7 +21,7 @@ def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Id, a hash that tells texts of one id apart, and the lines."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     return docs.select(F.col(id_column).alias("doc_id"), text.alias("text")).select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines")
+        "doc_id", null_free("doc_id").alias("key"), F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines")
     )
 
 
@@ -31,6 +33,7 @@ def _windows(documents: DataFrame, width: int) -> DataFrame:
     digest = lambda i: F.unhex(F.md5(F.array_join(F.slice("lines", i + 1, F.lit(width)), "\n")))
     return documents.select(
         "doc_id",
+        "key",
         "text_hash",
         F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SLOTS)).cast("int").alias("slot"),
         F.posexplode(F.transform(starts, digest)).alias("position", "digest"),
@@ -43,7 +46,7 @@ def _place() -> Column:
 
 
 def removed_runs(documents: DataFrame, width: int) -> DataFrame:
-    """Maximal runs of removed lines: ``doc_id, text_hash, first, last``."""
+    """Maximal runs of removed lines: ``key, text_hash, first, last``."""
     windows = _windows(documents, width)
     per_slot = windows.groupBy("digest", "slot").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
     repeated = (
@@ -54,13 +57,13 @@ def removed_runs(documents: DataFrame, width: int) -> DataFrame:
     )
     origins = per_slot.select("digest", "slot").join(repeated, "digest")
     later = windows.join(origins, ["digest", "slot"]).where(_place() > F.col("origin"))
-    document = W.partitionBy("doc_id", "text_hash").orderBy("position")
+    document = W.partitionBy("key", "text_hash").orderBy("position")
     return (
-        later.select("doc_id", "text_hash", "position")
+        later.select("key", "text_hash", "position")
         .distinct()
         .withColumn("opens", F.coalesce(F.col("position") - F.lag("position").over(document) > width, F.lit(True)))
         .withColumn("run", F.sum(F.col("opens").cast("int")).over(document))
-        .groupBy("doc_id", "text_hash", "run")
+        .groupBy("key", "text_hash", "run")
         .agg(F.min("position").alias("first"), (F.max("position") + width - 1).alias("last"))
         .drop("run")
     )
@@ -78,13 +81,12 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     documents = _documents(docs, id_column, text_column)
     runs = (
         removed_runs(documents, width)
-        .groupBy(F.col("doc_id").alias("run_id"), F.col("text_hash").alias("run_hash"))
+        .groupBy("key", "text_hash")
         .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
     )
-    key = F.col("doc_id").eqNullSafe(F.col("run_id")) & (F.col("text_hash") == F.col("run_hash"))
     joined = (
-        documents.dropDuplicates(["doc_id", "text_hash"])
-        .join(runs, key, "left")
+        documents.dropDuplicates(["key", "text_hash"])
+        .join(runs, ["key", "text_hash"], "left")
         .withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")))
     )
     begins = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["last"] + 1))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoledger.llm import exact_dedup, jaccard_join, language, line_dedup, neighbours, packing, preference, subword, suffix_dedup
+from cargoledger.llm import exact_dedup, jaccard_join, katz, language, line_dedup, neighbours, packing, preference, subword, suffix_dedup
 from cargoledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_components(table(spark, sf_dir, "documents")).drop("class_id")
 
 
+def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op2_projected_neighbours": op2_projected_neighbours,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_katz_scores": op5_katz_scores,
     "op6_string_kernel_language": op6_string_kernel_language,
     "op7_preference_formatting": op7_preference_formatting,
     "op8_best_fit_packing": op8_best_fit_packing,

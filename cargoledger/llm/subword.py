@@ -167,7 +167,7 @@ def sample(
     step = 0
     while len(active):
         number = node[position - 1]
-        draw = (mix(keys[active] + np.uint64(step + 1) * _STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        draw = (mix(keys[active] + np.uint64((step + 1) * int(_STEP) % (1 << 64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
         edge = np.clip(np.searchsorted(cumulated, number + draw, side="right"), first[number], last[number])
         steps.append((active, ids[edge]))
         counts[active] += 1
