@@ -128,11 +128,12 @@ def suffix_order(text: np.ndarray, n: int, depth: int) -> np.ndarray:
     next_change = np.minimum.accumulate(next_change[::-1])[::-1]
     at = np.minimum(next_change, n - 1)
     smaller = np.where(next_change < n, text[at] < text[at + 1], True)
-    smaller[n - 1] = True  # it has no successor among the sorted ones
     direct = _direct_sort(text, np.flatnonzero(smaller), depth)
     direct_byte = text[direct]
     bounds = np.searchsorted(direct_byte, np.arange(257))
     pending: list[list[np.ndarray]] = [[] for _ in range(256)]
+    if not smaller[n - 1]:  # it follows from the empty suffix, the smallest of all
+        pending[text[n - 1]].append(np.array([n - 1]))
     order = []
     for byte in range(256):
         induced = []
