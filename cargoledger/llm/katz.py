@@ -159,12 +159,14 @@ class Batch:
 
 
 def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """An order that sorts by bucket, then by hash, the buckets present, and their ranges in that order."""
+    """An order that sorts by bucket, then by hash, the buckets, and their ranges in that order.
+
+    Empty buckets are asked too: their answer brings the totals that every batch adds up.
+    """
     bucket = (hashes >> np.uint64(20)) % np.uint64(buckets)
     order = np.lexsort((hashes, bucket))
-    present, begins = np.unique(bucket[order], return_index=True)
-    edges = [*begins.tolist(), len(order)]
-    return order, present.astype(np.int32), list(zip(edges[:-1], edges[1:], strict=True))
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
+    return order, np.arange(buckets, dtype=np.int32), list(zip(edges[:-1], edges[1:], strict=True))
 
 
 def _requests(present: np.ndarray, batch: int, grams: list[bytes], groups: list[bytes], totals: list[int]) -> pa.Table:

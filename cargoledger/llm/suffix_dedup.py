@@ -86,38 +86,44 @@ def contexts(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return np.concatenate(rows), np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
 
 
-def _words_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes from each position on, as big-endian numbers."""
-    out = np.zeros(len(at), np.uint64)
+def eight_bytes(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a big-endian number; bytes past the end count as zero."""
+    out = np.zeros(len(text), np.uint64)
+    padded = np.concatenate((text, np.zeros(7, np.uint8)))
     for k in range(8):
-        out = (out << np.uint64(8)) | text[at + k]
+        out = (out << np.uint64(8)) | padded[k : k + len(text)]
     return out
 
 
-def _direct_sort(text: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
-    """``suffixes`` in the order of their first ``depth`` bytes, eight bytes a round, ties only going on."""
-    if len(suffixes) < 2:
-        return suffixes
-    out = suffixes.copy()
+def _direct_sort(eights: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
+    """``suffixes`` in the order of their first ``depth`` bytes, eight bytes a round.
+
+    Suffixes that are equal so far form a group; only groups of more than one go on, and only those in
+    which the next bytes differ are sorted.
+    """
+    out = suffixes[np.argsort(eights[suffixes], kind="stable")]
     slots, groups = np.arange(len(out)), np.zeros(len(out), np.int64)
     for done in range(0, depth, 8):
-        word = _words_at(text, out[slots] + done)
-        order = np.argsort(word, kind="stable")
-        order = order[np.argsort(groups[order], kind="stable")] if done else order
-        word, moved = word[order], groups[order]
-        out[slots] = out[slots][order]
-        fresh = np.ones(len(word), bool)
-        fresh[1:] = (word[1:] != word[:-1]) | (moved[1:] != moved[:-1])
-        group = np.cumsum(fresh)
+        word = eights[out[slots] + done]
+        joined = groups[1:] == groups[:-1]
+        if done:
+            mixed = np.zeros(int(groups[-1]) + 1, bool)
+            mixed[groups[1:][joined & (word[1:] != word[:-1])]] = True
+            at = np.flatnonzero(mixed[groups])
+            order = np.lexsort((word[at], groups[at]))
+            out[slots[at]] = out[slots[at[order]]]
+            word[at] = word[at[order]]
+        tie = joined & (word[1:] == word[:-1])
+        fresh = np.append(True, ~tie)
         tied = ~fresh
-        tied[:-1] |= ~fresh[1:]
-        if not tied.any():
+        tied[:-1] |= tie
+        slots, groups = slots[tied], (np.cumsum(fresh) - 1)[tied]
+        if not len(slots):
             break
-        slots, groups = slots[tied], group[tied]
     return out
 
 
-def suffix_order(text: np.ndarray, n: int, depth: int) -> np.ndarray:
+def suffix_order(text: np.ndarray, eights: np.ndarray, n: int, depth: int) -> np.ndarray:
     """The order of the suffixes at 0..n-1, compared over ``depth`` bytes; ``text`` has ``depth + 8`` more bytes."""
     if n == 0:
         return np.zeros(0, np.int64)
@@ -128,7 +134,8 @@ def suffix_order(text: np.ndarray, n: int, depth: int) -> np.ndarray:
     next_change = np.minimum.accumulate(next_change[::-1])[::-1]
     at = np.minimum(next_change, n - 1)
     smaller = np.where(next_change < n, text[at] < text[at + 1], True)
-    direct = _direct_sort(text, np.flatnonzero(smaller), depth)
+    direct = np.flatnonzero(smaller)
+    direct = _direct_sort(eights, direct, depth) if len(direct) else direct
     direct_byte = text[direct]
     bounds = np.searchsorted(direct_byte, np.arange(257))
     pending: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -155,18 +162,15 @@ def suffix_order(text: np.ndarray, n: int, depth: int) -> np.ndarray:
     return np.concatenate(order)
 
 
-def adjacent_equal(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def adjacent_equal(eights: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """For every suffix but the first in ``order``, whether it shares ``depth`` bytes with the one before."""
     same = np.ones(max(len(order) - 1, 0), bool)
     left = np.flatnonzero(same)
     for done in range(0, depth, 8):
-        if done + 8 <= depth:
-            a, b = _words_at(text, order[left] + done), _words_at(text, order[left + 1] + done)
-        else:
-            shift = np.uint64(8 * (8 - (depth - done)))
-            a, b = _words_at(text, order[left] + done) >> shift, _words_at(text, order[left + 1] + done) >> shift
-        same[left[a != b]] = False
-        left = left[a == b]
+        unread = np.uint64(8 * max(0, done + 8 - depth))
+        equal = eights[order[left] + done] >> unread == eights[order[left + 1] + done] >> unread
+        same[left[~equal]] = False
+        left = left[equal]
     return same
 
 
@@ -177,11 +181,12 @@ def repeated_windows(pieces: list[bytes], counts: list[int], width: int) -> list
     n = int(lengths.sum())
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    order = suffix_order(text, n, width)
+    eights = eight_bytes(text)
+    order = suffix_order(text, eights, n, width)
     piece = np.repeat(np.arange(len(pieces)), lengths)
     whole = (ends[piece] - np.arange(n)) >= width
     order = order[whole[order]]
-    same = adjacent_equal(text, order, width)
+    same = adjacent_equal(eights, order, width)
     again = np.zeros(n, bool)
     again[order[1:][same]] = True
     again[order[:-1][same]] = True

@@ -135,7 +135,7 @@ def test_suffix_order_is_sorted():
         n, depth = 500, 40
         text = np.concatenate((rng.integers(97, 97 + letters, n), np.zeros(depth + 8))).astype(np.uint8)
         raw = text.tobytes()
-        order = suffix_dedup.suffix_order(text, n, depth)
+        order = suffix_dedup.suffix_order(text, suffix_dedup.eight_bytes(text), n, depth)
         assert sorted(order.tolist()) == list(range(n))
         prefixes = [raw[i : i + depth] for i in order]
         assert prefixes == sorted(prefixes)

@@ -79,7 +79,7 @@ def test_decoding_is_lossless_and_repeatable(spark):
 
 
 def test_keys_and_seeds_draw_apart(spark):
-    docs = spark.createDataFrame([(i, "understanding the thing") for i in range(200)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, "ztonerin qheation wherundering") for i in range(200)], "doc_id long, text string")
     drawn = [tuple(r["ids"]) for r in subword.encode(docs, MODEL).collect()]
     assert len(set(drawn)) > 20
     other = [tuple(r["ids"]) for r in subword.encode(docs, MODEL, seed=1).collect()]
