@@ -80,9 +80,9 @@ def test_decoding_is_lossless_and_repeatable(spark):
 
 def test_keys_and_seeds_draw_apart(spark):
     docs = spark.createDataFrame([(i, "ztonerin qheation wherundering") for i in range(200)], "doc_id long, text string")
-    drawn = [tuple(r["ids"]) for r in subword.encode(docs, MODEL).collect()]
+    drawn = [tuple(r["ids"]) for r in subword.encode(docs, MODEL, theta=0.3).collect()]
     assert len(set(drawn)) > 20
-    other = [tuple(r["ids"]) for r in subword.encode(docs, MODEL, seed=1).collect()]
+    other = [tuple(r["ids"]) for r in subword.encode(docs, MODEL, seed=1, theta=0.3).collect()]
     assert other != drawn
 
 
