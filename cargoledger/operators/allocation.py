@@ -45,6 +45,19 @@ def failed_shipments(invoices: DataFrame) -> DataFrame:
     return invoices.groupBy("shipment_id").agg(F.max(has_error(F.col("error"))).alias("invoice_failed"))
 
 
+def admitted(bl: DataFrame, invoices: DataFrame | None = None) -> DataFrame:
+    """BLs of the shipments that go on to the form and the reports.
+
+    Those whose BL failed to extract stop there, and so do those whose first invoice failed; a
+    shipment without invoices goes on.
+    """
+    sound = bl.where(~has_error(F.col("error"))) if "error" in bl.columns else bl
+    if invoices is None:
+        return sound
+    first = invoices.groupBy("shipment_id").agg(F.min_by(has_error(F.col("error")), "invoice_idx").alias("_stops"))
+    return sound.join(first.where("_stops").select("shipment_id"), "shipment_id", "left_anti")
+
+
 def _with_shares(joined: DataFrame, live: Column) -> DataFrame:
     total = F.col("total_fob")
     fob = F.col("fob_value")
@@ -73,8 +86,7 @@ def allocate_by_shipment(
     from ``base`` where ``items`` is the same table with more columns.
     """
     totals = fob_totals(items if base is None else base)
-    header = bl.where(~has_error(F.col("error"))) if "error" in bl.columns else bl
-    shipments = totals.join(header.select("shipment_id", "freight_cost"), "shipment_id")
+    shipments = totals.join(admitted(bl).select("shipment_id", "freight_cost"), "shipment_id")
     live = F.lit(True)
     if invoices is not None:
         shipments = shipments.join(failed_shipments(invoices), "shipment_id", "left")
@@ -85,11 +97,13 @@ def allocate_by_shipment(
     return _with_shares(joined, live).drop("total_fob", "freight_cost", "invoice_failed")
 
 
-def allocate_by_invoice(items: DataFrame, bl: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def allocate_by_invoice(
+    items: DataFrame, bl: DataFrame, invoices: DataFrame | None = None, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """Share the whole freight of the shipment inside every invoice.
 
-    Overwrites fob_value and freight_proportional only; earlier insurance and CIF stay. With n
-    invoices the freight is charged n times.
+    Only items of admitted shipments come out. Overwrites fob_value and freight_proportional only;
+    earlier insurance and CIF stay. With n invoices the freight is charged n times.
     """
     keys = ["shipment_id", "invoice_idx"]
     totals = items.groupBy(*keys).agg(
@@ -98,15 +112,16 @@ def allocate_by_invoice(items: DataFrame, bl: DataFrame, slice_rows: int = SLICE
     weights = totals.groupBy("shipment_id").agg(F.count(F.lit(1)).alias("_rows"))
     priced = balanced_join(
         totals.withColumnRenamed("_rows", "_items"),
-        bl.select("shipment_id", or_zero(F.col("freight_cost")).alias("_freight")),
+        admitted(bl, invoices).select("shipment_id", or_zero(F.col("freight_cost")).alias("_freight")),
         ["shipment_id"],
         ["invoice_idx"],
+        how="inner",
         weights=weights,
         slice_rows=slice_rows,
     ).withColumnRenamed("_items", "_rows")
-    joined = balanced_join(items, priced, keys, ["item_idx"], weights=totals, slice_rows=slice_rows)
+    joined = balanced_join(items, priced, keys, ["item_idx"], how="inner", weights=totals, slice_rows=slice_rows)
     fob = or_zero(F.col("total_price"))
-    share = fob / F.col("_invoice_fob") * F.coalesce(F.col("_freight"), F.lit(0.0))
+    share = fob / F.col("_invoice_fob") * F.col("_freight")
     return (
         joined.withColumn("fob_value", fob)
         .withColumn("freight_proportional", F.when(F.col("_invoice_fob") > 0, share).otherwise(F.lit(0.0)))

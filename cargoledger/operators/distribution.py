@@ -16,21 +16,20 @@ from pyspark.sql import functions as F
 
 # Rows of one key that a single task may take.
 SLICE_ROWS = 1_000_000
-# At most this many keys are ever listed for slicing, which bounds the broadcast list. A key
-# below the list's end holds under 1/4096 of all rows, so it cannot dominate a task; it is
-# joined whole, by the ordinary shuffle.
-MAX_SLICED_KEYS = 4_096
+# A key is sliced if it also holds more than this fraction of all rows. So fewer than 65,536 keys are
+# ever listed, whatever the data, and a key that is not holds no more than an even share of 65,536 tasks.
+LISTED_SHARE = 1 / 65_536
+# Slices that rows without a key are dealt to.
+KEYLESS_SLICES = 4_096
 # Neighbouring positions that are numbered or nested together.
 SPAN = 10_000
 
 
 def large_keys(weights: DataFrame, keys: Sequence[str], rows: str, slice_rows: int) -> DataFrame:
-    """The heaviest keys and the number of slices each is cut into."""
-    return (
-        weights.where((F.col(rows) > slice_rows) & F.col(keys[0]).isNotNull())
-        .orderBy(F.desc(rows), *keys)
-        .limit(MAX_SLICED_KEYS)
-        .select(*keys, F.ceil(F.col(rows) / slice_rows).cast("int").alias("_slices"))
+    """The heavy keys and the number of slices each is cut into."""
+    share = weights.agg((F.sum(rows) * LISTED_SHARE).alias("_share")).scalar()
+    return weights.where((F.col(rows) > slice_rows) & (F.col(rows) > share) & F.col(keys[0]).isNotNull()).select(
+        *keys, F.ceil(F.col(rows) / slice_rows).cast("int").alias("_slices")
     )
 
 
@@ -59,14 +58,14 @@ def balanced_join(
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    slices = F.when(no_key, F.lit(MAX_SLICED_KEYS)).otherwise(F.coalesce("_slices", F.lit(1)))
+    slices = F.when(no_key, F.lit(KEYLESS_SLICES)).otherwise(F.coalesce("_slices", F.lit(1)))
     dealt = (
         facts.join(sliced, keys, "left")
         .withColumn("_slice", F.pmod(F.xxhash64(*row_key), slices).cast("int"))
         .drop("_slices")
     )
     if rows in lookup.columns:
-        # A key that fell off the end of the list is dealt to slice 0 only, which is always there.
+        # A heavy key that is not listed is dealt to slice 0 only, which is always there.
         repeated = lookup.withColumn("_slices", F.greatest(F.ceil(F.col(rows) / slice_rows), F.lit(1)).cast("int"))
     else:
         repeated = lookup.join(sliced, keys, "left").withColumn("_slices", F.coalesce("_slices", F.lit(1)))

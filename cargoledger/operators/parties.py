@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cargoledger import fixed_values as fv
 from cargoledger.functions.numbers import or_zero
 from cargoledger.functions.text import blank_to_null, safe_str, strip
-from cargoledger.operators.allocation import complete_fob_cif, has_error
+from cargoledger.operators.allocation import admitted, complete_fob_cif, has_error
 from cargoledger.operators.distribution import SLICE_ROWS, SPAN, balanced_join, nest_rows
 
 
@@ -41,7 +41,7 @@ def invoice_parties(bl: DataFrame, invoices: DataFrame, slice_rows: int = SLICE_
 
     Failed invoices carry no party details.
     """
-    header = bl.where(~has_error(F.col("error"))).select(
+    header = admitted(bl).select(
         "shipment_id", F.col("exporter").alias("_exporter"), F.col("consignee").alias("_consignee")
     )
     joined = balanced_join(
@@ -58,9 +58,9 @@ def invoice_parties(bl: DataFrame, invoices: DataFrame, slice_rows: int = SLICE_
 
 
 def bl_parties(bl: DataFrame, invoices: DataFrame) -> DataFrame:
-    """BL rows with exporter_details merged with the first invoice and consignee_details.
+    """Admitted BLs with exporter_details merged with the first invoice and consignee_details.
 
-    Both stay empty where a shipment has no invoice or any of its invoices failed.
+    Both stay empty where a shipment has no invoice or any of its later invoices failed.
     """
     read = invoices.groupBy("shipment_id").agg(
         F.min_by("exporter", "invoice_idx").alias("_exporter"),
@@ -68,7 +68,8 @@ def bl_parties(bl: DataFrame, invoices: DataFrame) -> DataFrame:
     )
     usable = ~F.coalesce(F.col("_failed"), F.lit(True))
     return (
-        bl.join(read, "shipment_id", "left")
+        admitted(bl, invoices)
+        .join(read, "shipment_id", "left")
         .withColumn("exporter_details", F.when(usable, merge_party(F.col("exporter"), F.col("_exporter"))))
         .withColumn("consignee_details", F.when(usable, F.col("consignee")))
         .drop("_exporter", "_failed")

@@ -84,7 +84,11 @@ ALLOC = """alloc AS (SELECT f.*, CASE WHEN live THEN f END AS fob_value, CASE WH
 BY_INVOICE = """byinv AS (SELECT i.*, coalesce(total_price, 0.0) AS fob_value, CASE WHEN t.s > 0
   THEN coalesce(total_price, 0.0) / t.s * coalesce(b.freight_cost, 0.0) ELSE 0.0 END AS freight_proportional
   FROM {v_item} i JOIN (SELECT shipment_id, invoice_idx, %s AS s FROM {v_item} GROUP BY 1, 2) t
-    USING (shipment_id, invoice_idx) LEFT JOIN {v_bl} b USING (shipment_id))""" % cents("total_price")
+    USING (shipment_id, invoice_idx) JOIN open b USING (shipment_id))""" % cents("total_price")
+# A failed BL ends the extraction without invoices; after that, a failed BL or first invoice stops the shipment.
+FIRST = """first AS (SELECT * FROM {v_invoice} QUALIFY row_number() OVER (PARTITION BY shipment_id ORDER BY invoice_idx) = 1),
+sound AS (SELECT shipment_id FROM {v_invoice} GROUP BY 1 HAVING count(error) = 0),
+open AS (SELECT b.* FROM {v_bl} b LEFT JOIN first f ON f.shipment_id = b.shipment_id WHERE b.error IS NULL AND f.error IS NULL)"""
 
 
 def report_totals(source: str) -> str:
@@ -108,9 +112,9 @@ oracle(
 )
 oracle(
     "e6_freight_invoice",
-    "SELECT shipment_id, invoice_idx, item_idx, fob_value, freight_proportional FROM byinv", BY_INVOICE,
+    "SELECT shipment_id, invoice_idx, item_idx, fob_value, freight_proportional FROM byinv", FIRST, BY_INVOICE,
 )
-oracle("e7_report_totals", report_totals("byinv"), BY_INVOICE)
+oracle("e7_report_totals", report_totals("byinv"), FIRST, BY_INVOICE)
 oracle(
     "j7_freight_on_items",
     "SELECT shipment_id, invoice_idx, item_idx, freight_cost FROM {v_item} LEFT JOIN {v_bl} USING (shipment_id)",
@@ -135,16 +139,14 @@ oracle(
   FROM (SELECT v.shipment_id, v.invoice_idx, v.error IS NULL AS ok, {merged('m')}, b.consignee_name, b.consignee_address,
     b.consignee_phone FROM {{v_invoice}} v JOIN {{v_bl}} b ON v.shipment_id = b.shipment_id WHERE b.error IS NULL)""",
 )
-FIRST = """first AS (SELECT * FROM {v_invoice} QUALIFY row_number() OVER (PARTITION BY shipment_id ORDER BY invoice_idx) = 1),
-sound AS (SELECT shipment_id FROM {v_invoice} GROUP BY 1 HAVING count(error) = 0)"""
 BL_PARTIES = f"""blp AS (SELECT b.*, CASE WHEN s.shipment_id IS NOT NULL THEN m_name END AS exporter_details_name,
   CASE WHEN s.shipment_id IS NOT NULL THEN m_address END AS exporter_details_address,
   CASE WHEN s.shipment_id IS NOT NULL THEN m_phone END AS exporter_details_phone,
   CASE WHEN s.shipment_id IS NOT NULL THEN b.consignee_name END AS consignee_details_name,
   CASE WHEN s.shipment_id IS NOT NULL THEN b.consignee_address END AS consignee_details_address,
   CASE WHEN s.shipment_id IS NOT NULL THEN b.consignee_phone END AS consignee_details_phone
-  FROM {{v_bl}} b LEFT JOIN sound s ON b.shipment_id = s.shipment_id LEFT JOIN (SELECT b.shipment_id AS k, {merged('m')}
-    FROM {{v_bl}} b JOIN first v ON b.shipment_id = v.shipment_id) m ON m.k = b.shipment_id)"""
+  FROM open b LEFT JOIN sound s ON b.shipment_id = s.shipment_id LEFT JOIN (SELECT b.shipment_id AS k, {merged('m')}
+    FROM open b JOIN first v ON b.shipment_id = v.shipment_id) m ON m.k = b.shipment_id)"""
 DETAILS = ", ".join(f"{p}_details_{c}" for p in ("exporter", "consignee") for c in ("name", "address", "phone"))
 oracle("j5_bl_parties", f"SELECT shipment_id, {DETAILS} FROM blp", FIRST, BL_PARTIES)
 

@@ -104,13 +104,13 @@ def p4_error_gate(load, spark):
 
 @query
 def e6_freight_invoice(load, spark):
-    out = allocation.allocate_by_invoice(load("v_item"), load("v_bl"))
+    out = allocation.allocate_by_invoice(load("v_item"), load("v_bl"), load("v_invoice"))
     return out.select(*ITEM_KEY, "fob_value", "freight_proportional")
 
 
 @query
 def e7_report_totals(load, spark):
-    return allocation.shipment_totals(allocation.allocate_by_invoice(load("v_item"), load("v_bl")))
+    return allocation.shipment_totals(allocation.allocate_by_invoice(load("v_item"), load("v_bl"), load("v_invoice")))
 
 
 @query
@@ -263,7 +263,7 @@ def k3_translation(load, spark):
 
 def _summary(load) -> DataFrame:
     invoices = invoices_of(load)
-    items = allocation.allocate_by_invoice(load("v_item"), load("v_bl"))
+    items = allocation.allocate_by_invoice(load("v_item"), load("v_bl"), load("v_invoice"))
     return reports.invoice_summary(items, parties.bl_parties(bl_of(load), invoices), invoices)
 
 

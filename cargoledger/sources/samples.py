@@ -252,21 +252,9 @@ def needs(sql: str) -> list[str]:
     return list(dict.fromkeys(_NAME.findall(sql)))
 
 
-# Tables whose rows cost much to work on, and the key that spreads them.
-SPREAD_KEYS = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_partkey", "l_linenumber"], "documents": ["doc_id"]}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table, spread over the cores when its files give fewer tasks than there are cores.
-
-    One small file is one task, however many cores wait. Tables of a size that matters come in more
-    splits than cores and are read as they are.
-    """
-    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, *SPREAD_KEYS[name])
-    return df
+    """A base table, read as its files are."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def loader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
