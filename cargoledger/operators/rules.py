@@ -203,7 +203,7 @@ def recalculate_cif(docs: DataFrame, only: Column | None = None) -> DataFrame:
     if only is not None:
         converts = converts & only
     flag = F.col("conversion_fob_cif") if "conversion_fob_cif" in docs.columns else F.lit(False)
-    text = F.format_string("%.2f", "valor_cif_num")
+    text = F.bround(F.col("valor_cif_num").cast("decimal(28,6)"), 2).cast("string")
     return (
         read.withColumn("valor_cif_num", F.when(converts, fob * fv.CIF_MARKUP))
         .withColumn("valor_cif", F.when(F.col("valor_cif_num").isNotNull(), text).otherwise(F.col("valor_cif")))

@@ -27,14 +27,17 @@ def build_sessions(
 ) -> tuple[DataFrame, DataFrame]:
     """The two frames to append when working sets are saved.
 
-    ``documents`` holds one row per document of a set: session_name, user_notes, document_index,
-    bl_number, error, original_data and edited_data (JSON). A set with any edit counts no errors;
-    otherwise it counts one if its first document failed.
+    ``documents`` holds one row per document of a set: set_id, session_name, user_notes, document_index,
+    bl_number, error, original_data and edited_data (JSON). Sets are told apart by set_id, so two of one
+    name are two sessions; ids hash it with the time of the save, so a later save of the same set is a
+    session of its own. A set with any edit counts no errors; otherwise it counts one if its first
+    document failed.
     """
     failed = F.col("error").isNotNull() & (F.col("error") != "")
     edited = F.col("edited_data").isNotNull()
     first_failed = F.coalesce(F.min_by(failed, "document_index"), F.lit(False))
-    sets = documents.groupBy("session_name").agg(
+    sets = documents.groupBy("set_id").agg(
+        F.max("session_name").alias("session_name"),
         F.count(F.lit(1)).alias("total_documents"),
         F.count_if(edited).alias("edited_count"),
         F.max("user_notes").alias("user_notes"),
@@ -53,8 +56,10 @@ def build_sessions(
             F.lit(True).alias("consolidated_flow"),
         )
     )
+    when = F.date_format(saved_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    session_id = _id(F.lit("session"), F.col("set_id"), when)
     sessions = sets.select(
-        _id(F.lit("session"), F.col("session_name")).alias("id"),
+        session_id.alias("id"),
         "session_name",
         saved_at.alias("created_at"),
         saved_at.alias("updated_at"),
@@ -64,17 +69,15 @@ def build_sessions(
         F.lit(status).alias("processing_status"),
         metadata.alias("session_data"),
     )
-    counts = sets.select("session_name", "documents_with_errors")
-    weights = sets.select("session_name", F.col("total_documents").alias("_rows"))
-    rows = balanced_join(
-        documents, counts, ["session_name"], ["document_index"], weights=weights, slice_rows=slice_rows
-    )
+    counts = sets.select("set_id", "documents_with_errors")
+    weights = sets.select("set_id", F.col("total_documents").alias("_rows"))
+    rows = balanced_join(documents, counts, ["set_id"], ["document_index"], weights=weights, slice_rows=slice_rows)
     name = F.coalesce(
         "bl_number", F.concat(F.lit("Documento_"), (F.col("document_index") + 1).cast("string"))
     )
     saved = rows.select(
-        _id(F.lit("document"), F.col("session_name"), F.col("document_index")).alias("id"),
-        _id(F.lit("session"), F.col("session_name")).alias("session_id"),
+        _id(F.lit("document"), F.col("set_id"), when, F.col("document_index")).alias("id"),
+        session_id.alias("session_id"),
         "document_index",
         name.alias("filename"),
         "original_data",
@@ -116,11 +119,14 @@ def recent_list(sessions: DataFrame, limit: int = fv.SESSION_LIST_LIMIT) -> Data
     return with_metadata(sessions.orderBy(F.desc("updated_at"), "id").limit(limit))
 
 
-def load_sessions(sessions: DataFrame, documents: DataFrame) -> DataFrame:
+def load_sessions(sessions: DataFrame, documents: DataFrame, ids: list[str] | None = None) -> DataFrame:
     """What a session reopens with: the edit of its first document, else its original wrapped.
 
-    Sessions without a document have no payload. Anything but a JSON object reads as empty.
+    ``ids`` restricts both tables before they are joined. Sessions without a document have no
+    payload. Anything but a JSON object reads as empty.
     """
+    if ids is not None:
+        sessions, documents = sessions.where(F.col("id").isin(ids)), documents.where(F.col("session_id").isin(ids))
     first = documents.groupBy("session_id").agg(
         F.min_by(F.struct("edited_data", "original_data"), "document_index").alias("d")
     )

@@ -1,7 +1,7 @@
 """Tariff catalog: upload filter, merge, and lookup of product descriptions.
 
 A catalog is (pos, key, code): ``key`` is a normalised description, unique, and ``pos`` the order
-in which keys were first stored.
+in which keys were first stored, a number or the (part, load, row) of a merged catalog.
 """
 
 from __future__ import annotations
@@ -29,14 +29,19 @@ def default_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pos long, key string, code string")
 
 
-def usable_entries(upload: DataFrame, desc: str = "desc", code: str = "arancel", pos: str = "pos") -> DataFrame:
+def usable_entries(
+    upload: DataFrame, desc: str = "desc", code: str = "arancel", pos: str = "pos", load: str | None = None
+) -> DataFrame:
     """Uploaded rows that define an entry: a description that is not blank and a settled code.
 
-    A missing column means the upload defines nothing.
+    A missing column means the upload defines nothing. ``load`` names the column with the order of
+    the uploads, if there are several; positions count within an upload.
     """
+    order = F.lit(0) if load is None else F.col(load)
     if desc not in upload.columns or code not in upload.columns:
-        upload = upload.limit(0).select(pos, F.lit("").alias(desc), F.lit("").alias(code))
+        upload = upload.limit(0).withColumns({desc: F.lit(""), code: F.lit("")})
     keyed = upload.select(
+        order.cast("bigint").alias("load"),
         F.col(pos).cast("bigint").alias("pos"),
         description_key(F.col(desc).cast("string")).alias("key"),
         F.col(code).cast("string").alias("code"),
@@ -45,13 +50,29 @@ def usable_entries(upload: DataFrame, desc: str = "desc", code: str = "arancel",
 
 
 def merge_catalog(*parts: DataFrame) -> DataFrame:
-    """Union of catalog parts: a later value replaces the code, the first position stays."""
-    union = parts[0]
-    for part in parts[1:]:
+    """The catalog after loading parts one after the other: ``pos, key, code``, one row per key.
+
+    The code of the last load that defines a key counts, and within a load that of its last row; its
+    place ``pos`` (part, load, row) is where it was first defined. Of rows that share a place the larger
+    code counts.
+    """
+    placed = [
+        part.select(
+            F.struct(
+                F.lit(i).alias("part"),
+                (F.col("load") if "load" in part.columns else F.lit(0)).cast("bigint").alias("load"),
+                F.col("pos").alias("row"),
+            ).alias("pos"),
+            "key",
+            "code",
+        )
+        for i, part in enumerate(parts)
+    ]
+    union = placed[0]
+    for part in placed[1:]:
         union = union.unionByName(part)
-    return union.groupBy("key").agg(F.min("pos").alias("first_pos"), F.max_by("code", "pos").alias("code")).select(
-        F.col("first_pos").alias("pos"), "key", "code"
-    )
+    first, code = F.min("pos").alias("first_pos"), F.max_by("code", F.struct("pos", "code")).alias("code")
+    return union.groupBy("key").agg(first, code).select(F.col("first_pos").alias("pos"), "key", "code")
 
 
 def _pieces(text: Column, sizes: Column) -> Column:
@@ -210,10 +231,12 @@ def mapped_entries(cells: DataFrame, headers: DataFrame, slice_rows: int = SLICE
     joined = balanced_join(cells, usable, ["file_id"], ["row_no"], how="inner", slice_rows=slice_rows)
     return usable_entries(
         joined.select(
+            "file_id",
             "pos",
             F.try_element_at("cells", F.col("_desc_col")).alias("desc"),
             F.try_element_at("cells", F.col("_code_col")).alias("arancel"),
-        )
+        ),
+        load="file_id",
     )
 
 

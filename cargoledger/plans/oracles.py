@@ -179,10 +179,12 @@ oracle(
 )
 oracle(
     "f14_assembled_shipments",
-    """SELECT shipment_id, bl_number, CASE WHEN n IS NOT NULL THEN 0::BIGINT END AS part_no, CAST(coalesce(n, 0) AS INTEGER) AS n_invoices,
+    """SELECT shipment_id, bl_number, container_no, port_of_loading, freight_cost, error, CASE WHEN n IS NOT NULL THEN 0::BIGINT END AS part_no, CAST(coalesce(n, 0) AS INTEGER) AS n_invoices,
   coalesce(invoices, '') AS invoices FROM {v_bl} LEFT JOIN (SELECT shipment_id, count(*) AS n,
-    string_agg(CAST(invoice_idx AS VARCHAR) || '/' || coalesce(currency, '') || ':' || items, ';' ORDER BY invoice_idx) AS invoices
-    FROM (SELECT shipment_id, invoice_idx, string_agg(CAST(item_idx AS VARCHAR), ',' ORDER BY item_idx) AS items FROM {v_item}
+    string_agg(invoice_idx || '/' || concat_ws('/', invoice_number, incoterm, currency, exporter_name, error) || ':' || items, ';'
+      ORDER BY invoice_idx) AS invoices
+    FROM (SELECT shipment_id, invoice_idx, string_agg(concat_ws('/', item_idx, part_number, description, quantity::DECIMAL(18,2)), ','
+      ORDER BY item_idx, quantity) AS items FROM {v_item}
       GROUP BY 1, 2) JOIN {v_invoice} USING (shipment_id, invoice_idx) GROUP BY shipment_id) USING (shipment_id)""",
 )
 oracle(
@@ -211,11 +213,13 @@ oracle(
     "SELECT shipment_id, invoice_idx, item_idx, description_original, description_es, description FROM tr",
     TRANSLATED,
 )
-ENTRIES = f"""entries AS (SELECT pos, {desc_key('descr')} AS key, arancel AS code FROM {{v_catalog_upload}}
+ENTRIES = f"""entries AS (SELECT CAST(file_id AS BIGINT) AS load, pos, {desc_key('descr')} AS key, arancel AS code FROM {{v_catalog_upload}}
   WHERE {desc_key('descr')} <> '' AND arancel IS NOT NULL AND arancel <> 'PENDIENTE')"""
-CATALOG = f"""catalog AS (SELECT min(pos) AS pos, key, arg_max(code, pos) AS code FROM (SELECT * FROM entries
-  UNION ALL SELECT * FROM (VALUES {', '.join(f"({i - 2}, {q(k)}, {q(c)})" for i, (k, c) in enumerate(fv.DEFAULT_CATALOG))}) t(pos, key, code))
-  GROUP BY key)"""
+# The built-in entries come first, then one file after the other.
+CATALOG = f"""stored AS (SELECT row(1, load, pos) AS pos, key, code FROM entries
+  UNION ALL SELECT row(0, 0, pos), key, code FROM (VALUES {', '.join(f"({i - 2}, {q(k)}, {q(c)})" for i, (k, c) in enumerate(fv.DEFAULT_CATALOG))}) t(pos, key, code)),
+catalog AS (SELECT min(pos) AS pos, key, arg_max(code, pos) AS code FROM stored GROUP BY key)"""
+PLACE = "CAST(struct_extract(pos, 1) AS INTEGER) AS part, CAST(struct_extract(pos, 2) AS BIGINT) AS load, CAST(struct_extract(pos, 3) AS BIGINT) AS row"
 
 
 def codes(source: str, column: str) -> str:
@@ -224,11 +228,15 @@ def codes(source: str, column: str) -> str:
 
 
 oracle("p3_catalog_filter", "SELECT * FROM entries", ENTRIES)
-oracle("j3_catalog_merge", "SELECT pos, key, code FROM catalog", ENTRIES, CATALOG)
-oracle("s5_catalog_csv", "SELECT min(pos) AS pos, key, arg_max(code, pos) AS code FROM entries GROUP BY key", ENTRIES)
+oracle("j3_catalog_merge", f"SELECT {PLACE}, key, code FROM catalog", ENTRIES, CATALOG)
+oracle(
+    "s5_catalog_csv",
+    f"SELECT {PLACE}, key, code FROM (SELECT min(row(0, load, pos)) AS pos, key, arg_max(code, row(0, load, pos)) AS code FROM entries GROUP BY key)",
+    ENTRIES,
+)
 oracle(
     "k5_catalog",
-    'SELECT pos, key AS "Descripción Producto (Español)", code AS "Posicion_Arancelaria" FROM catalog', ENTRIES, CATALOG,
+    f'SELECT {PLACE}, key AS "Descripción Producto (Español)", code AS "Posicion_Arancelaria" FROM catalog', ENTRIES, CATALOG,
 )
 oracle(
     "j1_tariff_lookup",
@@ -296,10 +304,15 @@ SUMMARY = (
 oracle("k4_invoice_summary", "SELECT * FROM summary", *SUMMARY)
 oracle(
     "k4_summary_rows",
-    """SELECT shipment_id, 'FACTURA No.' AS label, invoice_number AS value FROM summary
-  UNION ALL SELECT shipment_id, 'FECHA', invoice_date FROM summary
-  UNION ALL SELECT shipment_id, 'PROVEEDOR', supplier FROM summary
-  UNION ALL SELECT shipment_id, 'BULTOS', CAST(packages AS VARCHAR) FROM summary""",
+    """SELECT shipment_id, 0 AS pos, 'FACTURA No.' AS label, invoice_number AS text, CAST(NULL AS DOUBLE) AS amount FROM summary
+  UNION ALL SELECT shipment_id, 1, 'FECHA', invoice_date, NULL FROM summary
+  UNION ALL SELECT shipment_id, 2, 'PROVEEDOR', supplier, NULL FROM summary
+  UNION ALL SELECT shipment_id, 3, 'BULTOS', NULL, CAST(packages AS DOUBLE) FROM summary
+  UNION ALL SELECT shipment_id, 4, 'PESO', NULL, weight FROM summary
+  UNION ALL SELECT shipment_id, 5, 'VALOR FACTURA', NULL, fob FROM summary
+  UNION ALL SELECT shipment_id, 6, 'FLETE', NULL, freight FROM summary
+  UNION ALL SELECT shipment_id, 7, 'SEGURO', NULL, insurance FROM summary
+  UNION ALL SELECT shipment_id, 8, 'VALOR CIF', NULL, cif FROM summary""",
     *SUMMARY,
 )
 oracle(
@@ -430,18 +443,23 @@ fixed AS (SELECT d.* REPLACE (CASE WHEN {present('numero_bl')} THEN trim(upper(n
 cif AS (SELECT *, CASE WHEN incoterm = 'FOB' AND {present('valor_fob')} AND n_valor_fob > 0 THEN n_valor_fob * 1.15 END AS valor_cif_num
   FROM fixed)""",
 )
+# Two decimals, halves to even.
+TEXT_CIF = """(SELECT cents // 100 || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') FROM (SELECT m // 10000 + CASE
+    WHEN m % 10000 > 5000 OR (m % 10000 = 5000 AND m // 10000 % 2 = 1) THEN 1 ELSE 0 END AS cents
+    FROM (SELECT CAST(CAST(valor_cif_num AS DECIMAL(28,6)) * 1000000 AS HUGEINT) AS m)))"""
 oracle(
     "f15_auto_fix",
-    """SELECT doc_id, numero_bl, numero_contenedor, incoterm, valor_flete, valor_factura, valor_fob,
-  CASE WHEN valor_cif_num IS NULL THEN valor_cif END AS valor_cif, valor_cif_num,
+    f"""SELECT doc_id, numero_bl, numero_contenedor, incoterm, valor_flete, valor_factura, valor_fob,
+  CASE WHEN valor_cif_num IS NULL THEN valor_cif ELSE {TEXT_CIF} END AS valor_cif, valor_cif_num,
   conversion_fob_cif OR valor_cif_num IS NOT NULL AS conversion_fob_cif FROM cif""",
     *FIXES,
 )
 oracle(
     "f16_recalculate_cif",
-    f"""SELECT doc_id, CASE WHEN d.incoterm = 'FOB' AND {present('d.valor_fob')} AND n_valor_fob > 0 THEN n_valor_fob * 1.15 END
-    AS valor_cif_num, d.conversion_fob_cif OR coalesce(d.incoterm = 'FOB' AND {present('d.valor_fob')} AND n_valor_fob > 0, false)
-    AS conversion_fob_cif FROM {{v_doc}} d JOIN wide USING (doc_id)""",
+    f"""SELECT doc_id, CASE WHEN valor_cif_num IS NULL THEN valor_cif ELSE {TEXT_CIF} END AS valor_cif, valor_cif_num,
+  conversion_fob_cif OR valor_cif_num IS NOT NULL AS conversion_fob_cif FROM (SELECT d.*,
+    CASE WHEN d.incoterm = 'FOB' AND {present('d.valor_fob')} AND n_valor_fob > 0 THEN n_valor_fob * 1.15 END AS valor_cif_num
+    FROM {{v_doc}} d JOIN wide USING (doc_id))""",
     *FIXES,
 )
 _EDITED = ", ".join(
@@ -449,7 +467,7 @@ _EDITED = ", ".join(
 )
 oracle(
     "j8_edit_overlay",
-    f"""SELECT d.doc_id, e.doc_id IS NOT NULL AS edited, {_EDITED}, CASE WHEN e.doc_id IS NULL THEN d.valor_cif END AS valor_cif,
+    f"""SELECT d.doc_id, e.doc_id IS NOT NULL AS edited, {_EDITED}, CASE WHEN e.doc_id IS NULL THEN d.valor_cif ELSE '287.50' END AS valor_cif,
   CASE WHEN e.doc_id IS NOT NULL THEN 250.00::DOUBLE * 1.15::DOUBLE END AS valor_cif_num,
   conversion_fob_cif OR e.doc_id IS NOT NULL AS conversion_fob_cif FROM {{v_doc}} d LEFT JOIN {{v_edit}} e ON d.doc_id = e.doc_id""",
 )
@@ -697,11 +715,13 @@ oracle(
     "s10_typed_bl",
     """SELECT shipment_id, bl_number, booking_number, container_no, vessel_voyage, port_of_loading, port_of_discharge,
   place_of_delivery, date_laden_on_board, cargo_type, freight_cost, packages_count, gross_weight, gross_measurement,
-  exporter_name, consignee_address, CAST(NULL AS VARCHAR) AS error FROM {v_bl}""",
+  exporter_name, exporter_address, exporter_phone, consignee_name, consignee_address, consignee_phone,
+  CAST(NULL AS VARCHAR) AS error FROM {v_bl}""",
 )
 oracle(
     "s10_typed_items",
-    "SELECT shipment_id, invoice_idx, part_number, description, quantity, unit_price, total_price FROM {v_item}",
+    """SELECT shipment_id, invoice_idx, row_number() OVER (PARTITION BY shipment_id, invoice_idx ORDER BY item_idx, quantity) - 1 AS item_idx,
+  part_number, description, quantity, unit_price, total_price FROM {v_item}""",
 )
 oracle(
     "s11_session_payload",
@@ -807,27 +827,28 @@ oracle(
   CASE WHEN processing_status = 'completed' THEN '2024-02-01 12:30:00' ELSE strftime(updated_at, '%Y-%m-%d %H:%M:%S') END AS updated_at
   FROM {v_session}""",
 )
-SETS = """sets AS (SELECT session_name, min(user_notes) AS user_notes, count(*) AS n, count(edited_data) AS edits,
+SETS = """sets AS (SELECT set_id, min(session_name) AS session_name, min(user_notes) AS user_notes, count(*) AS n, count(edited_data) AS edits,
   CASE WHEN count(edited_data) = 0 AND arg_min(error IS NOT NULL, document_index) THEN 1 ELSE 0 END AS bad FROM {v_working_set}
-  GROUP BY session_name)"""
+  GROUP BY set_id)"""
 _META = """'{"total_documents":' || n || ',"documents_with_errors":' || bad || ',"edited_count":' || edits ||
   ',"timestamp":"2024-02-01T12:30:00","processing_complete":true,"validation_mode":' || (edits > 0) || ',"consolidated_flow":true}'"""
 oracle(
     "u1_save_sessions",
-    """SELECT md5('session|' || session_name) AS id, session_name, user_notes, n AS total_documents, CAST(bad AS BIGINT) AS documents_with_errors,
+    """SELECT md5('session|' || set_id || '|2024-02-01T12:30:00.000000') AS id, session_name, user_notes, n AS total_documents, CAST(bad AS BIGINT) AS documents_with_errors,
   'completed' AS processing_status, META AS session_data, '2024-02-01 12:30:00' AS created_at FROM sets""",
     SETS,
 )
 ORACLES["u1_save_sessions"] = ORACLES["u1_save_sessions"].replace("META", _META)
 oracle(
     "u1_save_documents",
-    """SELECT md5('document|' || session_name || '|' || document_index) AS id, md5('session|' || session_name) AS session_id, document_index,
+    """SELECT md5('document|' || set_id || '|2024-02-01T12:30:00.000000|' || document_index) AS id,
+  md5('session|' || set_id || '|2024-02-01T12:30:00.000000') AS session_id, document_index,
   coalesce(bl_number, 'Documento_' || (document_index + 1)) AS filename, original_data, edited_data,
   CASE WHEN edited_data IS NULL THEN 'original' ELSE 'edited' END AS validation_status, CAST(bad AS BIGINT) AS error_count
-  FROM {v_working_set} JOIN sets USING (session_name)""",
+  FROM {v_working_set} JOIN sets USING (set_id)""",
     SETS,
 )
-oracle("k10_session_append", "SELECT md5('session|' || session_name) AS id, session_name, n AS n_documents FROM sets", SETS)
+oracle("k10_session_append", "SELECT md5('session|' || set_id || '|2024-02-01T12:30:00.000000') AS id, session_name, n AS n_documents FROM sets", SETS)
 oracle(
     "e28_session_statistics",
     """SELECT count(*) AS total_sessions, CAST(sum(total_documents) AS BIGINT) AS total_documents_processed,
@@ -880,7 +901,8 @@ oracle(
     "k9_service_invoice",
     f"""SELECT c.invoice_id, CAST(0 AS BIGINT) AS part_no, {CLIENT}, {DATES}, n_lines, subtotal, isv, total_pagar, items
   FROM {{v_client}} c JOIN bills USING (invoice_id) JOIN (SELECT invoice_id,
-    string_agg(codigo || '/' || CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS items FROM lines GROUP BY 1) USING (invoice_id)""",
+    string_agg(concat_ws('/', codigo, line_no, descripcion, cantidad::DECIMAL(18,2), precio_unitario::DECIMAL(18,2),
+      total::DECIMAL(18,2)), ',' ORDER BY line_no, codigo, descripcion, cantidad, precio_unitario) AS items FROM lines GROUP BY 1) USING (invoice_id)""",
     LINES, BILLS,
 )
 

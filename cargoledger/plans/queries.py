@@ -63,7 +63,7 @@ def upload_of(load) -> DataFrame:
 
 
 def catalog_of(load, spark) -> DataFrame:
-    return tariff.merge_catalog(tariff.default_catalog(spark), tariff.usable_entries(upload_of(load)))
+    return tariff.merge_catalog(tariff.default_catalog(spark), tariff.usable_entries(upload_of(load), load="file_id"))
 
 
 def docs_of(load) -> DataFrame:
@@ -165,14 +165,22 @@ def f14_assembled_shipments(load, spark):
         lambda v: F.concat(
             v["invoice_idx"].cast("string"),
             F.lit("/"),
-            F.coalesce(v["currency"], F.lit("")),
+            F.concat_ws("/", v["invoice_number"], v["incoterm"], v["currency"], v["exporter_name"], v["error"]),
             F.lit(":"),
-            F.array_join(F.transform(v["items"], lambda i: i["item_idx"].cast("string")), ","),
+            F.array_join(
+                F.transform(
+                    v["items"],
+                    lambda i: F.concat_ws(
+                        "/", i["item_idx"].cast("string"), i["part_number"], i["description"], i["quantity"].cast("decimal(18,2)").cast("string")
+                    ),
+                ),
+                ",",
+            ),
         ),
     )
     return out.select(
         "shipment_id",
-        F.col("bl_data.bl_number").alias("bl_number"),
+        *[F.col(f"bl_data.{c}").alias(c) for c in ("bl_number", "container_no", "port_of_loading", "freight_cost", "error")],
         "part_no",
         F.coalesce(F.size("all_invoices_data"), F.lit(0)).alias("n_invoices"),
         F.coalesce(F.array_join(shown, ";"), F.lit("")).alias("invoices"),
@@ -218,21 +226,21 @@ def j2_header_match(load, spark):
 
 @query
 def p3_catalog_filter(load, spark):
-    return tariff.usable_entries(upload_of(load))
+    return tariff.usable_entries(upload_of(load), load="file_id")
 
 
 @query
 def j3_catalog_merge(load, spark):
-    return catalog_of(load, spark)
+    return catalog_of(load, spark).select("pos.*", "key", "code")
 
 
 @query
 def s5_catalog_csv(load, spark):
     """Write the uploads as CSV files with a header, scan them, and merge what they define."""
     folder = scratch_folder(spark, "catalog_csv")
-    upload_of(load).select("pos", "desc", "arancel").write.option("header", True).option("escape", '"').csv(folder)
-    read = files.read_catalog_csv(spark, folder, ["pos", "desc", "arancel"])
-    return tariff.merge_catalog(tariff.usable_entries(read))
+    upload_of(load).select("file_id", "pos", "desc", "arancel").write.option("header", True).option("escape", '"').csv(folder)
+    read = files.read_catalog_csv(spark, folder, ["file_id", "pos", "desc", "arancel"])
+    return tariff.merge_catalog(tariff.usable_entries(read, load="file_id")).select("pos.*", "key", "code")
 
 
 @query
@@ -274,13 +282,12 @@ def k4_invoice_summary(load, spark):
 
 @query
 def k4_summary_rows(load, spark):
-    rows = reports.invoice_summary_rows(_summary(load))
-    return rows.where(F.col("label").isin("FACTURA No.", "FECHA", "PROVEEDOR", "BULTOS")).drop("pos")
+    return reports.invoice_summary_rows(_summary(load))
 
 
 @query
 def k5_catalog(load, spark):
-    return tariff.catalog_report(catalog_of(load, spark))
+    return tariff.catalog_report(catalog_of(load, spark)).select("pos.*", "Descripción Producto (Español)", "Posicion_Arancelaria")
 
 
 def _consolidated(load) -> DataFrame:
@@ -346,26 +353,21 @@ def e15_common_errors(load, spark):
 FIXED = ["numero_bl", "numero_contenedor", "incoterm", *rules.fv.MONEY_FIELDS]
 
 
-def _without_cif_text(docs: DataFrame) -> DataFrame:
-    """Recalculated CIF values are compared as numbers; their printed form is left out."""
-    return docs.withColumn("valor_cif", F.when(F.col("valor_cif_num").isNull(), F.col("valor_cif")))
-
-
 @query
 def f15_auto_fix(load, spark):
-    out = _without_cif_text(rules.auto_fix(load("v_doc")))
+    out = rules.auto_fix(load("v_doc"))
     return out.select("doc_id", *FIXED, "valor_cif_num", "conversion_fob_cif")
 
 
 @query
 def f16_recalculate_cif(load, spark):
     out = rules.recalculate_cif(load("v_doc"))
-    return out.select("doc_id", "valor_cif_num", "conversion_fob_cif")
+    return out.select("doc_id", "valor_cif", "valor_cif_num", "conversion_fob_cif")
 
 
 @query
 def j8_edit_overlay(load, spark):
-    out = _without_cif_text(rules.overlay_edits(load("v_doc"), load("v_edit")))
+    out = rules.overlay_edits(load("v_doc"), load("v_edit"))
     return out.select("doc_id", "edited", *rules.FIELDS, "valor_cif_num", "conversion_fob_cif")
 
 
@@ -470,14 +472,6 @@ def k8_recommendations(load, spark):
 # --- intake ------------------------------------------------------------------------------------------
 
 
-def s1_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table files themselves, scanned as documents."""
-    return files.check_files(files.scan_documents(spark, sf_dir)).select("name", "length", "file_type")
-
-
-QUERIES["s1_file_scan"] = s1_file_scan
-
-
 @query
 def s2_file_check(load, spark):
     out = files.check_files(load("v_file"))
@@ -525,8 +519,8 @@ def s10_typed_bl(load, spark):
     return out.select(
         "shipment_id",
         *scalars,
-        F.col("exporter.name").alias("exporter_name"),
-        F.col("consignee.address").alias("consignee_address"),
+        *_party("exporter"),
+        *_party("consignee"),
         "error",
     )
 
@@ -542,7 +536,7 @@ def s10_typed_items(load, spark):
     texts = nested.select(
         "shipment_id", "invoice_idx", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("text")
     )
-    return answers.invoice_items(answers.typed_invoices(texts)).drop("item_idx")
+    return answers.invoice_items(answers.typed_invoices(texts))
 
 
 @query
@@ -780,7 +774,13 @@ def k9_service_invoice(load, spark):
     out = services.service_invoices(
         load("v_client"), load("v_selection"), F.col("issued"), "invoice_id", samples.ITEM_SPAN * 10
     )
-    shown = F.transform("items", lambda i: F.concat_ws("/", i["codigo"], i["line_no"].cast("string")))
+    money = lambda c: c.cast("decimal(18,2)").cast("string")
+    shown = F.transform(
+        "items",
+        lambda i: F.concat_ws(
+            "/", i["codigo"], i["line_no"].cast("string"), i["descripcion"], money(i["cantidad"]), money(i["precio_unitario"]), money(i["total"])
+        ),
+    )
     return out.select(
         "invoice_id", "part_no", "cliente", "rtn", "direccion", "bl_number", "fecha", "fecha_vencimiento", "n_lines",
         "subtotal", "isv", "total_pagar", F.array_join(shown, ",").alias("items"),

@@ -116,9 +116,13 @@ def invoice_summary(items: DataFrame, bl: DataFrame, invoices: DataFrame) -> Dat
 
 
 def invoice_summary_rows(summary: DataFrame) -> DataFrame:
-    columns = ["invoice_number", "invoice_date", "supplier", "packages", "weight", "fob", "freight", "insurance", "cif"]
-    pairs = [(label, F.col(c).cast("string")) for label, c in zip(fv.SUMMARY_LABELS, columns)]
-    return label_rows(summary, ["shipment_id"], pairs)
+    """Label rows of the summary: texts in ``text``, counts and amounts in ``amount``."""
+    texts = ["invoice_number", "invoice_date", "supplier"]
+    amounts = ["packages", "weight", "fob", "freight", "insurance", "cif"]
+    values = [F.struct(F.col(c).alias("text"), F.lit(None).cast("double").alias("amount")) for c in texts]
+    values += [F.struct(F.lit(None).cast("string").alias("text"), F.col(c).cast("double").alias("amount")) for c in amounts]
+    rows = label_rows(summary, ["shipment_id"], list(zip(fv.SUMMARY_LABELS, values, strict=True)))
+    return rows.select("shipment_id", "pos", "label", "value.text", "value.amount")
 
 
 def number_or_fail(c: Column) -> tuple[Column, Column]:

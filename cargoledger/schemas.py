@@ -1,27 +1,46 @@
 """Typed records of the extraction answers."""
 
-from pyspark.sql import types as T
-
-
-def _fields(text: str) -> list[T.StructField]:
-    kinds = {"s": T.StringType(), "d": T.DoubleType(), "l": T.LongType()}
-    return [T.StructField(name, kinds[kind]) for name, kind in (part.split(":") for part in text.split())]
-
-
-PARTY = T.StructType(_fields("name:s address:s phone:s"))
-
-ITEM = T.StructType(_fields("part_number:s description:s quantity:d unit_price:d total_price:d"))
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
+
+# --- Fixed values: names, types and order of the answers' fields -----
+PARTY = StructType().add("name", StringType()).add("address", StringType()).add("phone", StringType())
+
+ITEM = (
+    StructType()
+    .add("part_number", StringType())
+    .add("description", StringType())
+    .add("quantity", DoubleType())
+    .add("unit_price", DoubleType())
+    .add("total_price", DoubleType())
+)
 
-BL = T.StructType(
-    _fields(
-        "bl_number:s booking_number:s container_no:s vessel_voyage:s port_of_loading:s port_of_discharge:s "
-        "place_of_delivery:s date_laden_on_board:s cargo_type:s freight_cost:d packages_count:l gross_weight:d "
-        "gross_measurement:d"
-    )
-    + [T.StructField("exporter", PARTY), T.StructField("consignee", PARTY)]
+BL = (
+    StructType()
+    .add("bl_number", StringType())
+    .add("booking_number", StringType())
+    .add("container_no", StringType())
+    .add("vessel_voyage", StringType())
+    .add("port_of_loading", StringType())
+    .add("port_of_discharge", StringType())
+    .add("place_of_delivery", StringType())
+    .add("date_laden_on_board", StringType())
+    .add("cargo_type", StringType())
+    .add("freight_cost", DoubleType())
+    .add("packages_count", LongType())
+    .add("gross_weight", DoubleType())
+    .add("gross_measurement", DoubleType())
+    .add("exporter", PARTY)
+    .add("consignee", PARTY)
 )
 
-INVOICE = T.StructType(
-    _fields("invoice_number:s invoice_date:s incoterm:s currency:s total_value:d shipping_cost_invoice:d")
-    + [T.StructField("exporter", PARTY), T.StructField("items", T.ArrayType(ITEM))]
+INVOICE = (
+    StructType()
+    .add("invoice_number", StringType())
+    .add("invoice_date", StringType())
+    .add("incoterm", StringType())
+    .add("currency", StringType())
+    .add("total_value", DoubleType())
+    .add("shipping_cost_invoice", DoubleType())
+    .add("exporter", PARTY)
+    .add("items", ArrayType(ITEM))
 )

@@ -84,9 +84,9 @@ SELECT l.l_orderkey AS shipment_id, l.l_suppkey AS invoice_idx,
   CASE WHEN l.l_orderkey % 23 = 0 OR l.l_linenumber % 5 = 0 THEN 0.0
     WHEN l.l_linenumber = 7 AND l.l_partkey % 3 = 0 THEN NULL ELSE l.l_extendedprice END AS total_price
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
-    # Catalog uploads: five files; some names whole, some by their noun, some unusable.
+    # Catalog uploads: five files whose positions overlap; some names whole, some by their noun, some unusable.
     "v_catalog_upload": """
-SELECT p_size % 5 AS file_id, p_partkey AS row_no, CAST(p_size % 5 AS bigint) * 1000000000 + p_partkey AS pos,
+SELECT p_size % 5 AS file_id, p_partkey AS row_no, p_partkey AS pos,
   CASE WHEN p_partkey % 29 = 0 THEN NULL WHEN p_name LIKE '%rod' OR p_name LIKE '%anvil' THEN '   '
     WHEN p_name LIKE '%bolt' THEN upper(p_name) || '  '
     WHEN p_name LIKE 'red%' OR p_name LIKE 'old%' THEN substring(p_name, 5) ELSE p_name END AS descr,
@@ -216,9 +216,9 @@ SELECT CAST(user_id AS string) AS session_id, event_id AS document_index,
   CASE WHEN event_id % 17 = 0 THEN '"texto"' WHEN event_id % 23 = 0 THEN NULL ELSE props END AS original_data,
   CASE WHEN event_type = 'purchase' THEN props END AS edited_data
 FROM {events}""",
-    # Working sets to save: one per user.
+    # Working sets to save: one per user, some under the same name.
     "v_working_set": """
-SELECT 'Set_' || CAST(user_id AS string) AS session_name, 'n' || CAST(user_id AS string) AS user_notes,
+SELECT user_id AS set_id, 'Set_' || CAST(user_id % 50 AS string) AS session_name, 'n' || CAST(user_id AS string) AS user_notes,
   event_id AS document_index, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'BL-' || CAST(event_id AS string) END AS bl_number,
   CASE WHEN event_type = 'error' THEN 'falla' END AS error, props AS original_data,
   CASE WHEN event_type = 'purchase' AND user_id % 2 = 0 THEN props END AS edited_data

@@ -82,8 +82,13 @@ def test_catalog_merge_keeps_first_position_and_last_code(spark):
         [(0, " Blusa  para DAMA", "1"), (1, "zapato", "2"), (2, "Zapato ", "3"), (3, " ", "4"), (4, "x", "PENDIENTE"),
          (5, "y", None)], "pos long, desc string, arancel string")
     merged = tariff.merge_catalog(tariff.default_catalog(spark), tariff.usable_entries(upload))
-    rows = [(r["pos"], r["key"], r["code"]) for r in merged.orderBy("pos").collect()]
-    assert rows == [(-2, "blusa para dama", "1"), (-1, "calzado para dama", "6404.19.90.00.00"), (1, "zapato", "3")]
+    rows = [(tuple(r["pos"]), r["key"], r["code"]) for r in merged.orderBy("pos").collect()]
+    assert rows == [((0, 0, -2), "blusa para dama", "1"), ((0, 0, -1), "calzado para dama", "6404.19.90.00.00"),
+                    ((1, 0, 1), "zapato", "3")]
+    first = spark.createDataFrame([(5, "a", "X"), (9, "b", "old")], "pos long, key string, code string")
+    second = spark.createDataFrame([(1, 3, "a", "Y"), (0, 7, "a", "Z")], "load long, pos long, key string, code string")
+    later = tariff.merge_catalog(first, second).orderBy("pos").collect()
+    assert [(tuple(r["pos"]), r["key"], r["code"]) for r in later] == [((0, 0, 5), "a", "Y"), ((0, 0, 9), "b", "old")]
     assert tariff.usable_entries(upload.drop("arancel")).count() == 0
 
 
@@ -210,15 +215,16 @@ def working_set(spark):
         [("a", 0, "B0", "mal", '{"x": 1}', None), ("a", 1, None, None, '{"x": 2}', None),
          ("b", 0, "B9", "mal", '{"x": 3}', '{"y": 4}'), ("c", 0, None, None, '"no"', None)],
         "session_name string, document_index long, bl_number string, error string, original_data string, edited_data string",
-    ).withColumn("user_notes", F.lit("n"))
+    ).withColumn("user_notes", F.lit("n")).withColumn("set_id", F.col("session_name"))
 
 
 def test_save_load_and_delete_sessions(spark, tmp_path):
     now = F.lit(dt.datetime(2024, 1, 2, 3, 4, 5)).cast("timestamp_ntz")
     saved = sessions.build_sessions(working_set(spark), now)
     sessions.append_sessions(*saved, str(tmp_path))
+    again = F.lit(dt.datetime(2024, 1, 2, 3, 4, 6)).cast("timestamp_ntz")
     sessions.append_sessions(*sessions.build_sessions(
-        working_set(spark).withColumn("session_name", F.concat("session_name", F.lit("2"))), now), str(tmp_path))
+        working_set(spark).withColumn("session_name", F.concat("session_name", F.lit("2"))), again), str(tmp_path))
     table, documents = sessions.read_sessions(spark, str(tmp_path))
     assert (table.count(), documents.count()) == (6, 8)
     rows = {r["session_name"]: r for r in table.collect()}
