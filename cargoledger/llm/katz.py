@@ -42,6 +42,7 @@ REQUEST = "bucket int, batch bigint, grams binary, groups binary, totals array<b
 WORD = np.dtype([("key", "<u8"), ("added", "<u4")])
 PAIR = np.dtype([("low", "<u4"), ("high", "<u2"), ("added", "<u4"), ("count", "<u4")])
 GROUP = np.dtype([("key", "<u8"), ("size", "<u4")])
+COUNT = np.dtype([("count", "<u4")])
 SUMS = np.dtype([("of_count", "<u4", GT_LIMIT), ("larger", "<u4"), ("unigram", "<f8")])
 
 
@@ -137,7 +138,6 @@ class Batch:
         self.vocabulary, self.token = np.unique(hashes, return_inverse=True)
         self.added = np.bincount(self.token[trained], minlength=len(self.vocabulary))
         self.trained = trained
-        self.trained_texts = int((~self.held_out).sum())
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs as history and word numbers (the start has the number after the last word), the count
@@ -182,7 +182,7 @@ def word_answers(answers: pa.Table, batch: Batch, buckets: int) -> tuple[np.ndar
     counts = np.zeros(len(batch.vocabulary), np.int64)
     found = dict(zip(rows["bucket"].to_pylist(), rows["counts"].to_pylist(), strict=True))
     for bucket, (a, b) in zip(present.tolist(), ranges, strict=True):
-        counts[order[a:b]] = np.frombuffer(found[bucket], "<u4")
+        counts[order[a:b]] = _unpacked(found[bucket], COUNT)["count"]
     return counts, Unigrams(Totals.summed(rows["totals"].to_pylist()))
 
 
@@ -245,11 +245,11 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         order, present, ranges = _by_bucket(batch.vocabulary, buckets)
         grams = np.zeros(len(order), WORD)
         grams["key"], grams["added"] = batch.vocabulary[order], batch.added[order]
-        return _requests(present, rows["batch"][0].as_py(), [grams[a:b].tobytes() for a, b in ranges], [b""] * len(present), [])
+        return _requests(present, rows["batch"][0].as_py(), [_packed(grams[a:b]) for a, b in ranges], [b""] * len(present), [])
 
     def count_words(requests: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(requests))
-        parts = [np.frombuffer(g, WORD) for g in table["grams"].to_pylist()]
+        parts = [_unpacked(g, WORD) for g in table["grams"].to_pylist()]
         grams = np.concatenate(parts)
         keys, at = np.unique(grams["key"], return_inverse=True)
         counts = np.bincount(at, weights=grams["added"], minlength=len(keys)).astype(np.int64)
@@ -270,15 +270,15 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         return _requests(
             layout.present,
             rows["batch"][0].as_py(),
-            [_columns(grams[a:b]) for a, b in layout.gram_ranges],
-            [_columns(groups[a:b]) for a, b in layout.group_ranges],
+            [_packed(grams[a:b]) for a, b in layout.gram_ranges],
+            [_packed(groups[a:b]) for a, b in layout.group_ranges],
             unigrams.totals.packed(),
         )
 
     def count_pairs(requests: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(requests))
-        parts = [_rows(g, PAIR) for g in table["grams"].to_pylist()]
-        heads = [_rows(g, GROUP) for g in table["groups"].to_pylist()]
+        parts = [_unpacked(g, PAIR) for g in table["grams"].to_pylist()]
+        heads = [_unpacked(g, GROUP) for g in table["groups"].to_pylist()]
         unigrams = Unigrams(Totals.summed([table["totals"][0].as_py()]))
         grams, groups = np.concatenate(parts), np.concatenate(heads)
         keys, group = np.unique(groups["key"], return_inverse=True)
@@ -301,7 +301,7 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         sums["unigram"] = np.bincount(owner, weights=unigrams.probability(grams["count"][kept].astype(np.int64)), minlength=len(keys))
         cuts = np.cumsum([len(p) for p in parts])[:-1]
         head_cuts = np.cumsum([len(h) for h in heads])[:-1]
-        yield from _answers(table, 2, np.split(answer, cuts), [_columns(s) for s in np.split(sums[group], head_cuts)], totals)
+        yield from _answers(table, 2, np.split(answer, cuts), [_packed(s) for s in np.split(sums[group], head_cuts)], totals)
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         batch = Batch(rows)
@@ -314,14 +314,12 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         sums = np.zeros(len(batch.vocabulary) + 1, SUMS)
         for bucket, (a, b), (x, y) in zip(layout.present.tolist(), layout.group_ranges, layout.gram_ranges, strict=True):
             count, part = blobs[bucket]
-            times[layout.order[x:y]] = np.frombuffer(count, "<u4")
-            part, owner = _rows(part, SUMS), layout.group_history[layout.group_order[a:b]]
+            times[layout.order[x:y]] = _unpacked(count, COUNT)["count"]
+            part, owner = _unpacked(part, SUMS), layout.group_history[layout.group_order[a:b]]
             for name in ("of_count", "larger", "unigram"):
                 np.add.at(sums[name], owner, part[name])
-        starts = sums[-1]
-        of_history = np.append(counts, 0)
-        # The start's count is the number of its successors' occurrences; so is that of a word.
-        of_history[-1] = int(unigrams_starts(starts, counts, batch))
+        # Every training text has one start and one end.
+        of_history = np.append(counts, counts[np.searchsorted(batch.vocabulary, END)])
         known = of_history > 0
         factor, weight = backoff(sums, np.maximum(of_history, 1), pairs.discounts())
         discount = pairs.discounts()[np.minimum(times, GT_LIMIT + 1)]
@@ -349,23 +347,24 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     return rows.groupBy("batch").cogroup(counted.unionByName(paired).groupBy("batch")).applyInArrow(score, result)
 
 
-def unigrams_starts(starts: np.void, counts: np.ndarray, batch: Batch) -> int:
-    """Training texts: each has one end, so the count of the end is the count of the start."""
-    return int(counts[np.searchsorted(batch.vocabulary, END)])
-
-
-def _columns(rows: np.ndarray) -> bytes:
-    """Fields one after the other, which compresses better than rows."""
-    return b"".join(np.ascontiguousarray(rows[name]).tobytes() for name in rows.dtype.names)
-
-
-def _rows(blob: bytes, kind: np.dtype) -> np.ndarray:
-    n = len(blob) // kind.itemsize
-    out, at = np.zeros(n, kind), 0
-    for name in kind.names:
-        field = kind[name]
-        out[name] = np.frombuffer(blob, field.base, n * max(1, int(np.prod(field.shape))), at).reshape(n, *field.shape)
-        at += n * field.itemsize
+def _packed(rows: np.ndarray) -> bytes:
+    """Rows as compressed planes, all first bytes of a field, then all second ones: counts are mostly zeros there."""
+    planes = b"".join(
+        np.ascontiguousarray(rows[name]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for name in rows.dtype.names
+    ) if len(rows) else b""
+    return len(rows).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def _unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
+    out = np.zeros(int.from_bytes(blob[:8], "little"), kind)
+    if len(out):
+        planes = np.frombuffer(pa.decompress(blob[8:], len(out) * kind.itemsize, codec="zstd", asbytes=True), np.uint8)
+        at = 0
+        for name in kind.names:
+            size = kind[name].itemsize
+            field = np.ascontiguousarray(planes[at * len(out) : (at + size) * len(out)].reshape(size, len(out)).T)
+            out[name] = field.view(kind[name].base).reshape(len(out), *kind[name].shape)
+            at += size
     return out
 
 
@@ -376,7 +375,7 @@ def _answers(table: pa.Table, level: int, counts: list[np.ndarray], sums: list[b
             table["batch"].combine_chunks(),
             pa.array([level] * n, pa.int32()),
             table["bucket"].combine_chunks(),
-            pa.array([c.tobytes() for c in counts], pa.binary()),
+            pa.array([_packed(c.astype("<u4").view(COUNT)) for c in counts], pa.binary()),
             pa.array(sums, pa.binary()),
             pa.array([totals.packed()] * n, pa.list_(pa.int64())),
         ],
