@@ -16,15 +16,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = subword.encode(table(spark, sf_dir, "documents"), model, carried=("doc_id", "text"))
-    decoded = subword.decode(encoded, model, carried=("doc_id", "text", "ids")).toDF("doc_id", "original", "ids", "text")
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_pieces"),
-        F.xxhash64("ids").alias("ids_hash"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-        F.col("original").eqNullSafe(F.col("text")).alias("lossless"),
+    docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2("text", 256))
+    encoded = subword.encode(docs, model, carried=("doc_id", "text_sha256")).withColumns(
+        {"n_pieces": F.size("ids").cast("bigint"), "ids_hash": F.xxhash64("ids")}
     )
+    kept = ("doc_id", "n_pieces", "ids_hash", "text_sha256")
+    decoded = subword.decode(encoded, model, carried=kept).withColumn("decoded_sha256", F.sha2("text", 256))
+    lossless = F.col("text_sha256").eqNullSafe(F.col("decoded_sha256"))
+    return decoded.select("doc_id", "n_pieces", "ids_hash", "decoded_sha256", lossless.alias("lossless"))
 
 
 def op2_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

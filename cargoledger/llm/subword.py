@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from cargoledger.llm.common import CODES, mix, run_hashes, slices, text_buffer
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64(0xD1342543DE82EF95)
 
