@@ -98,21 +98,27 @@ def allocate_by_shipment(
 
 
 def allocate_by_invoice(
-    items: DataFrame, bl: DataFrame, invoices: DataFrame | None = None, slice_rows: int = SLICE_ROWS
+    items: DataFrame,
+    bl: DataFrame,
+    invoices: DataFrame | None = None,
+    carried: tuple[str, ...] = (),
+    base: DataFrame | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Share the whole freight of the shipment inside every invoice.
 
-    Only items of admitted shipments come out. Overwrites fob_value and freight_proportional only;
+    Only items of admitted shipments come out, with the ``carried`` columns of ``bl``. Totals are taken
+    from ``base`` where ``items`` is the same table with more columns. Overwrites fob_value and freight_proportional only;
     earlier insurance and CIF stay. With n invoices the freight is charged n times.
     """
     keys = ["shipment_id", "invoice_idx"]
-    totals = items.groupBy(*keys).agg(
+    totals = (items if base is None else base).groupBy(*keys).agg(
         sum_money(F.col("total_price")).alias("_invoice_fob"), F.count(F.lit(1)).alias("_rows")
     )
     weights = totals.groupBy("shipment_id").agg(F.count(F.lit(1)).alias("_rows"))
     priced = balanced_join(
         totals.withColumnRenamed("_rows", "_items"),
-        admitted(bl, invoices).select("shipment_id", or_zero(F.col("freight_cost")).alias("_freight")),
+        admitted(bl, invoices).select("shipment_id", *carried, or_zero(F.col("freight_cost")).alias("_freight")),
         ["shipment_id"],
         ["invoice_idx"],
         how="inner",

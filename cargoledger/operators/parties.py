@@ -138,6 +138,31 @@ def editable_invoices(invoices: DataFrame) -> DataFrame:
     )
 
 
+# Fields that the form of a BL and of an invoice overwrites; parties lose their phone there.
+BL_FORM = [
+    "bl_number", "booking_number", "container_no", "freight_cost", "port_of_loading", "port_of_discharge", "cargo_type",
+    "packages_count", "gross_weight", "exporter_details", "consignee_details",
+]
+INVOICE_FORM = ["incoterm", "invoice_number", "invoice_date", "currency", "total_value"]
+
+
+def overlay_form(rows: DataFrame, edits: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """``rows`` with the form fields of those that have an edit; a saved form replaces all of its fields."""
+    form = edits.select(*keys, F.struct(*fields).alias("_form"))
+    saved = F.col("_form").isNotNull()
+    return (
+        rows.join(form, keys, "left")
+        .withColumns({f: F.when(saved, F.col("_form")[f]).otherwise(F.col(f)) for f in fields})
+        .drop("_form")
+    )
+
+
+def replace_items(items: DataFrame, edited: DataFrame) -> DataFrame:
+    """Items with those of edited invoices replaced as a whole; ``edited`` has the same columns."""
+    key = ["shipment_id", "invoice_idx"]
+    return items.join(edited.select(*key).distinct(), key, "left_anti").unionByName(edited)
+
+
 def assemble_shipments(
     bl: DataFrame, invoices: DataFrame, items: DataFrame, invoice_span: int = SPAN, item_span: int = SPAN
 ) -> DataFrame:

@@ -7,7 +7,9 @@ one aggregation that yields one row, so their shuffle moves one partial row per
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +49,12 @@ def _listed(fields: list[str], names: dict[str, str] | None = None) -> Column:
 
 
 def _absent_count(fields: list[str]) -> Column:
-    return F.expr(" + ".join(f"int(_a_{f})" for f in fields))
+    return reduce(operator.add, [F.col(f"_a_{f}").cast("int") for f in fields])
 
 
 def with_absence(docs: DataFrame) -> DataFrame:
     """Documents with ``_a_<field>``: whether a field is null, '' or the sentinel."""
-    gone = {f"_a_{f}": F.expr(f"coalesce({f} IN ('', '{fv.NOT_DETECTED}'), true)") for f in FIELDS}
+    gone = {f"_a_{f}": F.coalesce(F.col(f).isin("", fv.NOT_DETECTED), F.lit(True)) for f in FIELDS}
     return docs.withColumns(gone)
 
 

@@ -32,9 +32,8 @@ def _given(field: str) -> Column:
 def with_field_values(docs: DataFrame, rules: list[tuple]) -> DataFrame:
     """Working columns of a check, per field: stripped text, whether it is given, and its number."""
     docs = docs.withColumns({f"_t_{rule[0]}": strip(F.col(rule[0])) for rule in rules})
-    markers = ", ".join(f"'{m}'" for m in fv.MISSING_TEXTS)
     docs = docs.withColumns(
-        {f"_g_{rule[0]}": F.expr(f"coalesce(_t_{rule[0]} NOT IN ({markers}), false)") for rule in rules}
+        {f"_g_{rule[0]}": F.coalesce(~_text(rule[0]).isin(fv.MISSING_TEXTS), F.lit(False)) for rule in rules}
     )
     kinds = {"integer": "int", "decimal": "float", "currency": "float"}
     numeric = {f"_n_{r[0]}": (f"_t_{r[0]}", kinds[r[2]]) for r in rules if r[2] in kinds}

@@ -273,13 +273,23 @@ SELECT file_id, target, CASE WHEN score >= 10 THEN col_name END AS col_name, sco
 
 oracle(
     "k1_aforo",
-    f"""SELECT a.shipment_id, row_number() OVER (PARTITION BY a.shipment_id ORDER BY a.invoice_idx, a.item_idx) AS "Item",
+    f"""SELECT a.shipment_id, row_number() OVER (PARTITION BY a.shipment_id ORDER BY a.invoice_idx, a.item_idx, a.quantity) AS "Item",
   a.quantity AS "Bultos", coalesce(CASE WHEN live THEN a.description_es ELSE raw END, 'No Desc') AS "Contenido", 'S/M' AS "Marca", fob_value AS "Fob", freight_proportional AS "Flete",
   fob_value * 0.015 AS "Seg", coalesce(fob_value, 0) + coalesce(freight_proportional, 0) + coalesce(fob_value * 0.015, 0) AS "CIF",
   '' AS "Peso", '' AS "Aduana", CASE WHEN live THEN code ELSE 'PENDIENTE' END AS "Posicion Arancelaria", '20%' AS "DAI", '0%' AS "SELECTIVO", '18%' AS "ISV"
   FROM alloc a JOIN codes ON d = {desc_key('a.description_es')}""",
     TRANSLATED, FOB.replace("{v_item}", "tr"), TOTALS, ALLOC, ENTRIES, CATALOG, codes("tr", "description_es"),
 )
+oracle(
+    "k1_aforo_invoice",
+    f"""SELECT a.shipment_id, row_number() OVER (PARTITION BY a.shipment_id ORDER BY a.invoice_idx, a.item_idx, a.quantity) AS "Item",
+  a.quantity AS "Bultos", coalesce(CASE WHEN s.shipment_id IS NOT NULL THEN a.description_es ELSE raw END, 'No Desc') AS "Contenido",
+  'S/M' AS "Marca", fob_value AS "Fob", freight_proportional AS "Flete", fob_value * 0.015 AS "Seg",
+  coalesce(fob_value, 0) + coalesce(freight_proportional, 0) + coalesce(fob_value * 0.015, 0) AS "CIF", '' AS "Peso", '' AS "Aduana",
+  CASE WHEN s.shipment_id IS NOT NULL THEN code ELSE 'PENDIENTE' END AS "Posicion Arancelaria", '20%' AS "DAI", '0%' AS "SELECTIVO", '18%' AS "ISV"
+  FROM byinv a JOIN codes ON d = {desc_key('a.description_es')} LEFT JOIN sound s ON s.shipment_id = a.shipment_id""",
+    TRANSLATED, FIRST, BY_INVOICE.replace("{v_item}", "tr"), ENTRIES, CATALOG, codes("tr", "description_es"),
+)
 oracle(
     "k2_deva",
     """SELECT shipment_id, invoice_idx, item_idx, coalesce(part_number, 'S/C') AS "CODIGO DE BARRAS",
@@ -472,6 +482,40 @@ oracle(
   conversion_fob_cif OR e.doc_id IS NOT NULL AS conversion_fob_cif FROM {{v_doc}} d LEFT JOIN {{v_edit}} e ON d.doc_id = e.doc_id""",
 )
 
+_FORM = ["bl_number", "booking_number", "container_no", "freight_cost", "port_of_loading", "port_of_discharge", "cargo_type",
+         "packages_count", "gross_weight"]
+
+
+def _over(columns: list[str], base: str = "b") -> str:
+    return ", ".join(f"CASE WHEN e.shipment_id IS NOT NULL THEN e.{c} ELSE {base}.{c} END AS {c}" for c in columns)
+
+
+oracle(
+    "j8_bl_edits",
+    f"""SELECT b.shipment_id, {_over(_FORM)},
+  {', '.join(f"CASE WHEN e.shipment_id IS NOT NULL THEN {'NULL' if c == 'phone' else f'e.{p}_{c}'} ELSE b.{p}_details_{c} END AS {p}_details_{c}"
+             for p in ('exporter', 'consignee') for c in ('name', 'address', 'phone'))}
+  FROM blp b LEFT JOIN {{v_bl_edit}} e ON e.shipment_id = b.shipment_id""",
+    FIRST, BL_PARTIES,
+)
+INVOICE_EDITS = f"""edited AS (SELECT v.shipment_id, v.invoice_idx,
+  {_over(['incoterm', 'invoice_number', 'invoice_date', 'currency', 'total_value'], 'v')}
+  FROM {{v_invoice}} v LEFT JOIN {{v_invoice_edit}} e ON e.shipment_id = v.shipment_id AND e.invoice_idx = v.invoice_idx)"""
+oracle("j8_invoice_edits", "SELECT * FROM edited", INVOICE_EDITS)
+ITEM_EDITS = """items AS (SELECT * FROM {v_item} i WHERE NOT EXISTS (SELECT 1 FROM {v_item_edit} e
+    WHERE e.shipment_id = i.shipment_id AND e.invoice_idx = i.invoice_idx) UNION ALL SELECT * FROM {v_item_edit})"""
+oracle("j8_item_edits", "SELECT * FROM items", ITEM_EDITS)
+oracle(
+    "f14_edited_shipments",
+    report_totals("byedit"),
+    FIRST, ITEM_EDITS,
+    f"""byedit AS (SELECT i.*, coalesce(total_price, 0.0) AS fob_value, CASE WHEN t.s > 0
+  THEN coalesce(total_price, 0.0) / t.s * coalesce(CASE WHEN e.shipment_id IS NOT NULL THEN e.freight_cost ELSE b.freight_cost END, 0.0)
+  ELSE 0.0 END AS freight_proportional
+  FROM items i JOIN (SELECT shipment_id, invoice_idx, {cents('total_price')} AS s FROM items GROUP BY 1, 2) t
+    USING (shipment_id, invoice_idx) JOIN open b USING (shipment_id) LEFT JOIN {{v_bl_edit}} e ON e.shipment_id = i.shipment_id)""",
+)
+
 # --- quality ------------------------------------------------------------------------------------------------------
 
 NAMES = {r[0]: r[1] for r in fv.FIELD_RULES}
@@ -642,6 +686,14 @@ def _advice() -> str:
 
 ADVICE = (*ALL_ERRORS, METRICS, RATES, _advice())
 oracle("q1_recommendations", "SELECT rank, priority, category, title, description, actions FROM advice", *ADVICE)
+POOR = [c.replace("{v_doc}", "{v_doc_poor}") for c in ADVICE]
+oracle("q1_recommendations_poor", "SELECT rank, priority, category, title, description, actions FROM advice", *POOR)
+oracle(
+    "e18_detection_rates_poor",
+    "SELECT field, rate, name, CASE WHEN rate >= 90 THEN 'Excelente' WHEN rate >= 70 THEN 'Bueno' ELSE 'Necesita Mejora' END "
+    "AS label FROM rates",
+    RATES.replace("{v_doc}", "{v_doc_poor}"),
+)
 oracle(
     "q6_overview",
     "SELECT success_rate, total_errors, documents_with_errors, average_completeness, quality_score FROM metrics",

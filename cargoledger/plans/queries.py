@@ -259,6 +259,14 @@ def k1_aforo(load, spark):
     )
 
 
+@query
+def k1_aforo_invoice(load, spark):
+    return reports.aforo(
+        load("v_item"), load("v_bl"), load("v_invoice"), glossary_of(load), catalog_of(load, spark),
+        samples.INVOICE_SPAN, samples.ITEM_SPAN, "invoice",
+    )
+
+
 @query
 def k2_deva(load, spark):
     return reports.deva(translated_of(load))
@@ -371,6 +379,45 @@ def j8_edit_overlay(load, spark):
     return out.select("doc_id", "edited", *rules.FIELDS, "valor_cif_num", "conversion_fob_cif")
 
 
+def _edited_party(name: str) -> Column:
+    return F.struct(F.col(f"{name}_name").alias("name"), F.col(f"{name}_address").alias("address"), F.lit(None).cast("string").alias("phone"))
+
+
+def _edited_bl(load) -> DataFrame:
+    edits = load("v_bl_edit").withColumns(
+        {"exporter_details": _edited_party("exporter"), "consignee_details": _edited_party("consignee")}
+    )
+    return parties.overlay_form(parties.bl_parties(bl_of(load), invoices_of(load)), edits, ["shipment_id"], parties.BL_FORM)
+
+
+def _edited_invoices(load) -> DataFrame:
+    return parties.overlay_form(load("v_invoice"), load("v_invoice_edit"), ["shipment_id", "invoice_idx"], parties.INVOICE_FORM)
+
+
+@query
+def j8_bl_edits(load, spark):
+    plain = [c for c in parties.BL_FORM if not c.endswith("details")]
+    return _edited_bl(load).select("shipment_id", *plain, *_party("exporter_details"), *_party("consignee_details"))
+
+
+@query
+def j8_invoice_edits(load, spark):
+    return _edited_invoices(load).select("shipment_id", "invoice_idx", *parties.INVOICE_FORM)
+
+
+@query
+def j8_item_edits(load, spark):
+    return parties.replace_items(load("v_item"), load("v_item_edit"))
+
+
+@query
+def f14_edited_shipments(load, spark):
+    """Shipments assembled anew after edits: freight of the BL, and per shipment what its invoices and items sum to."""
+    items = parties.replace_items(load("v_item"), load("v_item_edit"))
+    allocated = allocation.allocate_by_invoice(items, _edited_bl(load), _edited_invoices(load))
+    return allocation.shipment_totals(allocated)
+
+
 # --- quality ----------------------------------------------------------------------------------------
 
 ERROR_COLUMNS = ["doc_id", "category", "severity", "message", "field", "suggested_action", "impact"]
@@ -444,6 +491,22 @@ def q1_recommendations(load, spark):
     return out.select("rank", "priority", "category", "title", "description", F.array_join("actions", "|").alias("actions"))
 
 
+def poor_of(load) -> DataFrame:
+    return load("v_doc_poor").withColumn("errores", F.split("errores_txt", r"\|")).drop("errores_txt")
+
+
+@query
+def q1_recommendations_poor(load, spark):
+    """Documents on which every recommendation fires."""
+    out = quality.recommendations(quality.quality_metrics(poor_of(load)))
+    return out.select("rank", "priority", "category", "title", "description", F.array_join("actions", "|").alias("actions"))
+
+
+@query
+def e18_detection_rates_poor(load, spark):
+    return quality.detection_rates(quality.quality_metrics(poor_of(load))).drop("pos")
+
+
 @query
 def q6_overview(load, spark):
     return quality.overview(quality.quality_metrics(docs_of(load)))

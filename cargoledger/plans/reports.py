@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from cargoledger import fixed_values as fv
 from cargoledger.functions.numbers import or_zero, parse_float, sum_money
 from cargoledger.operators import quality
-from cargoledger.operators.allocation import ITEM_KEY, allocate_by_shipment, shipment_totals
+from cargoledger.operators.allocation import (
+    ITEM_KEY,
+    allocate_by_invoice,
+    allocate_by_shipment,
+    failed_shipments,
+    shipment_totals,
+)
 from cargoledger.operators.distribution import SPAN, number_rows
 from cargoledger.operators.parties import first_invoices
 from cargoledger.operators.tariff import catalog_report, classify_items, translate_items
@@ -22,21 +28,32 @@ def aforo(
     catalog: DataFrame,
     invoice_span: int = SPAN,
     item_span: int = SPAN,
+    level: str = "shipment",
 ) -> DataFrame:
     """Customs declaration: one row per item, numbered through all invoices of a shipment.
 
+    ``level`` names the freight rule: shares of the shipment's FOB, or of every invoice's, as
+    applied right before a report is made from the form.
+
     Three joins bring item numbers, shipment shares, and texts with tariff codes to the items. Each
     takes its key counts from the item table itself, so no join re-plans an earlier one.
     """
     key = ["shipment_id", *ITEM_KEY]
     numbered = number_rows(
-        items, "shipment_id", "invoice_idx", "item_idx", name="Item", outer_span=invoice_span, inner_span=item_span
+        items,
+        "shipment_id",
+        "invoice_idx",
+        "item_idx",
+        ties=[F.col("quantity")],
+        name="Item",
+        outer_span=invoice_span,
+        inner_span=item_span,
     )
-    shared = allocate_by_shipment(numbered, bl, invoices, base=items).withColumn("_raw", F.col("description"))
+    shared, live = shares(numbered, bl, invoices, level, items)
+    shared = shared.withColumn("_raw", F.col("description")).withColumn("_live", live)
     coded = classify_items(shared, items, glossary, catalog, key)
     fob, freight = F.col("fob_value"), F.col("freight_proportional")
-    # A shipment with a failed invoice is neither allocated nor translated.
-    live = fob.isNotNull()
+    live = F.col("_live")
     text = F.when(live, F.col("description_es")).otherwise(F.col("_raw"))
     insurance = fob * fv.INSURANCE_RATE
     duty, selective, tax = fv.DUTY_RATES
@@ -59,6 +76,23 @@ def aforo(
     )
 
 
+def shares(
+    items: DataFrame, bl: DataFrame, invoices: DataFrame, level: str, base: DataFrame | None = None
+) -> tuple[DataFrame, Column]:
+    """Items with their freight under a rule, and whether their shipment was translated.
+
+    A shipment with a failed invoice is not translated; by shipment it is not allocated either.
+    """
+    if level == "shipment":
+        return allocate_by_shipment(items, bl, invoices, base=base), F.col("fob_value").isNotNull()
+    if level == "invoice":
+        header = bl.join(failed_shipments(invoices), "shipment_id", "left")
+        return allocate_by_invoice(items, header, invoices, ("invoice_failed",), base), ~F.coalesce(
+            "invoice_failed", F.lit(False)
+        )
+    raise ValueError(f"level is 'shipment' or 'invoice', not {level!r}")
+
+
 def deva(items: DataFrame) -> DataFrame:
     """Price list; its total is quantity times unit price, not the stated total."""
     return items.select(
@@ -251,12 +285,13 @@ def final_report(
     catalog: DataFrame,
     invoice_span: int = SPAN,
     item_span: int = SPAN,
+    level: str = "shipment",
 ) -> dict[str, DataFrame]:
-    """The five relations of the customs report. ``bl`` carries exporter_details."""
+    """The five relations of the customs report, all under one freight rule. ``bl`` carries exporter_details."""
     translated = translate_items(items, glossary, ["shipment_id", *ITEM_KEY])
-    allocated = allocate_by_shipment(items, bl, invoices)
+    allocated, _ = shares(items, bl, invoices, level)
     return {
-        "aforo": aforo(items, bl, invoices, glossary, catalog, invoice_span, item_span),
+        "aforo": aforo(items, bl, invoices, glossary, catalog, invoice_span, item_span, level),
         "listado_deva": deva(translated),
         "traduccion": translation(translated),
         "resumen_factura": invoice_summary_rows(invoice_summary(allocated, bl, invoices)),

@@ -116,7 +116,7 @@ SELECT o_orderkey AS doc_id, 'doc_' || CAST(o_orderkey AS string) || '.pdf' AS a
     WHEN 4 THEN 'FACTURA' ELSE 'BL' END AS tipo_documento,
   CASE o_orderkey % 21 WHEN 0 THEN 'Texto ILEGIBLE|otro' WHEN 1 THEN 'imagen borrosa' WHEN 2 THEN 'Baja CALIDAD|sin texto'
     WHEN 3 THEN 'muy Borroso' END AS errores_txt,
-  o_orderkey % 4 = 0 AS conversion_fob_cif,
+  o_orderkey % 3 = 0 AS conversion_fob_cif,
   CASE WHEN o_orderkey % 29 = 0 OR o_orderkey % 13 = 1 THEN NULL WHEN o_orderkey % 13 = 0 THEN 'No detectado'
     WHEN o_orderkey % 13 = 2 THEN 'bl-' || CAST(o_orderkey AS string) || ' ' WHEN o_orderkey % 13 = 3 THEN ''
     ELSE 'BL-' || CAST(o_orderkey AS string) END AS numero_bl,
@@ -152,6 +152,29 @@ SELECT o_orderkey AS doc_id, 'doc_' || CAST(o_orderkey AS string) || '.pdf' AS a
     WHEN o_orderkey % 8 = 2 THEN 'usd' WHEN o_orderkey % 8 = 3 THEN 'GBP' WHEN o_orderkey % 5 = 0 THEN 'EUR'
     WHEN o_orderkey % 5 = 1 THEN 'ARS' ELSE 'USD' END AS moneda
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
+    # The same documents with little more than the BL number read.
+    "v_doc_poor": """
+SELECT doc_id, archivo, metodo_procesamiento, tipo_documento, errores_txt, conversion_fob_cif, numero_bl,
+  CASE WHEN doc_id % 3 <> 0 THEN exportador END AS exportador, consignatario,
+  CASE WHEN doc_id % 5 = 0 THEN valor_flete END AS valor_flete, CASE WHEN doc_id % 5 = 0 THEN bultos END AS bultos,
+  CASE WHEN doc_id % 5 = 0 THEN kilos END AS kilos, CASE WHEN doc_id % 5 = 0 THEN numero_contenedor END AS numero_contenedor,
+  CASE WHEN doc_id % 5 = 0 THEN incoterm END AS incoterm, CASE WHEN doc_id % 5 = 0 THEN valor_factura END AS valor_factura,
+  CASE WHEN doc_id % 5 = 0 THEN valor_fob END AS valor_fob, CASE WHEN doc_id % 5 = 0 THEN valor_cif END AS valor_cif, moneda
+FROM {v_doc}""",
+    # Saved forms of BLs and invoices, and the item tables of some invoices.
+    "v_bl_edit": """
+SELECT shipment_id, bl_number || '-R' AS bl_number, booking_number, container_no, coalesce(freight_cost, 0.0) + 10.0 AS freight_cost,
+  port_of_loading, 'LA CEIBA' AS port_of_discharge, cargo_type, CAST(3 AS bigint) AS packages_count, gross_weight,
+  'Editado S.A.' AS exporter_name, 'Calle 1' AS exporter_address, 'Receptor' AS consignee_name, consignee_address
+FROM {v_bl} WHERE shipment_id % 5 = 0""",
+    "v_invoice_edit": """
+SELECT shipment_id, invoice_idx, 'FOB' AS incoterm, invoice_number || 'B' AS invoice_number, invoice_date, 'USD' AS currency,
+  coalesce(total_value, 0.0) + 1.5 AS total_value
+FROM {v_invoice} WHERE invoice_idx % 4 = 1""",
+    "v_item_edit": """
+SELECT shipment_id, invoice_idx, item_idx, part_number, 'editado' AS description, quantity + 1 AS quantity, unit_price,
+  (quantity + 1) * unit_price AS total_price
+FROM {v_item} WHERE invoice_idx % 4 = 1 AND quantity > 10""",
     # Saved edits: one document in five has a full form.
     "v_edit": """
 SELECT doc_id, numero_bl || 'X' AS numero_bl, 'Editado S.A.' AS exportador, consignatario, valor_flete, '7' AS bultos,

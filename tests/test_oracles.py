@@ -8,8 +8,6 @@ import pytest
 
 import __spark_entry__ as entry
 
-# Repeated item keys exist at the smallest scale only, where ties make item numbers ambiguous.
-DIRS = {"k1_aforo": "/root/testdata/sf0.01"}
 SMALL = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -34,7 +32,7 @@ def duck(sf_dir, sql):
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_oracle(spark, name):
-    sf_dir = DIRS.get(name, SMALL)
+    sf_dir = SMALL
     df = entry.queries()[name](spark, sf_dir)
     columns, rows = duck(sf_dir, entry.oracle_sql()[name])
     assert sorted(columns) == sorted(df.columns)
