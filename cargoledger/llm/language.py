@@ -100,12 +100,22 @@ def fit(texts: list[str], labels: list[str], landmarks: int, ridge: float, sharp
 
 
 def training_sample(docs: DataFrame, id_column: str, text_column: str, lang_column: str, per_lang: int, max_langs: int) -> DataFrame:
-    """At most ``per_lang`` labelled texts with letters of each language, by a hash of the id."""
-    labelled = docs.select(
-        F.col(lang_column).alias("lang"), F.lower(F.col(text_column)).alias("text"), F.xxhash64(id_column, text_column).alias("order")
-    ).where(F.col("lang").isNotNull() & has_letters(F.col("text")))
+    """At most ``per_lang`` labelled texts with letters of each of the ``max_langs`` most frequent languages.
+
+    Rows are drawn by a hash. A threshold on it from the number of rows of a language leaves a few times
+    ``per_lang`` rows before any text is shuffled, however large the table.
+    """
+    lang = F.col(lang_column)
+    numbers = docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    frequent = numbers.orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    drawn = F.lit(0.0)
+    for row in frequent:
+        drawn = F.when(lang == row["lang"], F.lit(4 * per_lang / row["n"])).otherwise(drawn)
+    order = F.xxhash64(id_column, text_column)
+    kept = docs.where(lang.isNotNull() & (F.pmod(order, F.lit(1 << 30)) < drawn * (1 << 30)) & has_letters(F.col(text_column)))
+    labelled = kept.select(lang.alias("lang"), F.lower(F.col(text_column)).alias("text"), order.alias("order"))
     first = labelled.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("order", "text"))).where(F.col("n") <= per_lang)
-    return first.orderBy("n", "lang", "order").limit(per_lang * max_langs).select("lang", "text")
+    return first.orderBy("n", "lang", "order").select("lang", "text")
 
 
 def has_letters(text: Column) -> Column:
