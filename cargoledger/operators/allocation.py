@@ -148,7 +148,32 @@ def shipment_totals(items: DataFrame) -> DataFrame:
 
 
 def cif_by_shipment(items: DataFrame, bl: DataFrame, invoices: DataFrame | None = None) -> DataFrame:
-    return shipment_totals(allocate_by_shipment(items, bl, invoices))
+    """Report totals per shipment under the shipment rule, in one aggregation of the items.
+
+    The freight of a shipment is its BL's in the share that its lines have in the FOB total; a failed
+    invoice leaves its amounts at 0.
+    """
+    stated, computed = sum_money(F.col("total_price")), sum_money(line_value())
+    sums = items.groupBy("shipment_id").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        sum_money(item_fob()).alias("_lines"),
+        F.when(stated == 0, computed).otherwise(stated).alias("_total"),
+    )
+    joined = sums.join(admitted(bl).select("shipment_id", "freight_cost"), "shipment_id")
+    live = F.lit(True)
+    if invoices is not None:
+        joined = joined.join(failed_shipments(invoices), "shipment_id", "left")
+        live = ~F.coalesce("invoice_failed", F.lit(False))
+    share = F.col("_lines") / F.col("_total")
+    freight = F.round((or_zero(F.col("freight_cost")) * share).cast("decimal(28,6)"), 2).cast("double")
+    fob, insurance = F.col("fob"), F.col("fob") * fv.INSURANCE_RATE
+    return (
+        joined.withColumn("fob", F.when(live, F.col("_lines")).otherwise(0.0))
+        .withColumn("freight", F.when(live & (F.col("_total") > 0), freight).otherwise(0.0))
+        .select(
+            "shipment_id", "n_items", "fob", "freight", insurance.alias("insurance"), (fob + F.col("freight") + insurance).alias("cif")
+        )
+    )
 
 
 def complete_fob_cif(incoterm: Column, total_value: Column, freight: Column) -> tuple[Column, Column]:

@@ -13,7 +13,7 @@ from cargoledger import fixed_values as fv
 from cargoledger.functions.files import check_file, file_type
 from cargoledger.functions.numbers import money
 from cargoledger.functions.text import strip
-from cargoledger.operators.distribution import first_rows, nest_rows
+from cargoledger.operators.distribution import first_rows
 
 
 def process_files(files: DataFrame, processed_at: Column) -> DataFrame:
@@ -55,17 +55,15 @@ def job_counts(job_files: DataFrame) -> DataFrame:
 
 
 def job_results(job_files: DataFrame) -> DataFrame:
-    """Successful files nested per job, 50 file positions to a part as in one upload."""
-    done = job_files.where("success").select("job_id", "file_index", "filename")
-    return nest_rows(done, ["job_id"], "file_index", ["filename"], "results", fv.MAX_BATCH_FILES)
+    """Successful files of every job, one row each, in the order of ``file_index``."""
+    return job_files.where("success").select("job_id", "file_index", "filename")
 
 
 def job_errors(job_files: DataFrame) -> DataFrame:
-    """Failed files nested per job as (file_index, filename, error)."""
-    failed = job_files.where("NOT success").select(
+    """Failed files of every job with their error, one row each, in the order of ``file_index``."""
+    return job_files.where("NOT success").select(
         "job_id", "file_index", "filename", F.coalesce("error", F.lit("Unknown error")).alias("error")
     )
-    return nest_rows(failed, ["job_id"], "file_index", ["filename", "error"], "errors", fv.MAX_BATCH_FILES)
 
 
 def job_progress(jobs: DataFrame, as_of: Column | None = None) -> DataFrame:

@@ -97,7 +97,21 @@ def report_totals(source: str) -> str:
   FROM {source} GROUP BY shipment_id)"""
 
 
-oracle("cif_by_shipment", report_totals("alloc"), FOB, TOTALS, ALLOC)
+def cents_of(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(28,6)), 2) AS DOUBLE)"
+
+
+# Per shipment: its lines' FOB, and its freight in the share that they have in the FOB total.
+oracle(
+    "cif_by_shipment",
+    f"""SELECT *, fob * 0.015 AS insurance, fob + freight + fob * 0.015 AS cif FROM (SELECT b.shipment_id, n AS n_items,
+  CASE WHEN live THEN lines ELSE 0.0 END AS fob, CASE WHEN live AND total_fob > 0
+    THEN {cents_of('coalesce(freight_cost, 0) * (lines / total_fob)')} ELSE 0.0 END AS freight
+  FROM {{v_bl}} b JOIN tot USING (shipment_id) JOIN (SELECT shipment_id, count(*) AS n, {cents('f')} AS lines FROM fob GROUP BY 1)
+    USING (shipment_id) LEFT JOIN (SELECT shipment_id, NOT bool_or(error IS NOT NULL) AS live FROM {{v_invoice}} GROUP BY 1)
+    USING (shipment_id) WHERE b.error IS NULL)""",
+    FOB, TOTALS,
+)
 oracle("e1_fob_totals", "SELECT * FROM tot", TOTALS)
 oracle(
     "e4_freight_shipment",
@@ -828,14 +842,9 @@ oracle(
 )
 oracle(
     "e26_job_errors",
-    """SELECT job_id, CAST(floor(file_index / 50) AS BIGINT) AS part_no, string_agg(CAST(file_index AS VARCHAR) || ':' || filename || ':' ||
-  coalesce(error, 'Unknown error'), '|' ORDER BY file_index) AS errors FROM {v_job_file} WHERE NOT success GROUP BY 1, 2""",
-)
-oracle(
-    "e26_job_results",
-    """SELECT job_id, CAST(floor(file_index / 50) AS BIGINT) AS part_no, string_agg(filename, '|' ORDER BY file_index) AS results
-  FROM {v_job_file} WHERE success GROUP BY 1, 2""",
+    "SELECT job_id, file_index, filename, coalesce(error, 'Unknown error') AS error FROM {v_job_file} WHERE NOT success",
 )
+oracle("e26_job_results", "SELECT job_id, file_index, filename FROM {v_job_file} WHERE success")
 oracle(
     "e27_upload_summary",
     """SELECT job_id, count(*) AS n_files, CAST(sum(size) AS DOUBLE) / 1048576 AS total_mb, count(*) * 10 / 60 AS minutes_low,
@@ -988,3 +997,11 @@ oracle(
   FROM (SELECT id, txt, {_AMOUNT} AS a FROM {{v_value}})""",
 )
 oracle("f9_number_parser", "SELECT id, as_float, as_int FROM nums", numbers_of("{v_value}", "id", ["txt"], "nums"))
+
+# Other ways to the same rows.
+for _name, _same in {
+    "e4_freight_sliced": "e4_freight_shipment",
+    "e6_freight_sliced": "e6_freight_invoice",
+    "n1_item_numbers_sliced": "n1_item_numbers",
+}.items():
+    ORACLES[_name] = ORACLES[_same]

@@ -94,6 +94,13 @@ def e4_freight_shipment(load, spark):
     return out.select(*ITEM_KEY, *allocation.DERIVED)
 
 
+@query
+def e4_freight_sliced(load, spark):
+    """The same shares with every shipment of more than two items cut into slices."""
+    out = allocation.allocate_by_shipment(load("v_item"), load("v_bl"), load("v_invoice"), slice_rows=2)
+    return out.select(*ITEM_KEY, *allocation.DERIVED)
+
+
 @query
 def p4_error_gate(load, spark):
     out = allocation.allocate_by_shipment(load("v_item"), load("v_bl"), load("v_invoice"))
@@ -108,6 +115,12 @@ def e6_freight_invoice(load, spark):
     return out.select(*ITEM_KEY, "fob_value", "freight_proportional")
 
 
+@query
+def e6_freight_sliced(load, spark):
+    out = allocation.allocate_by_invoice(load("v_item"), load("v_bl"), load("v_invoice"), slice_rows=2)
+    return out.select(*ITEM_KEY, "fob_value", "freight_proportional")
+
+
 @query
 def e7_report_totals(load, spark):
     return allocation.shipment_totals(allocation.allocate_by_invoice(load("v_item"), load("v_bl"), load("v_invoice")))
@@ -200,6 +213,15 @@ def n1_item_numbers(load, spark):
     return numbered.select(*ITEM_KEY, "item_number")
 
 
+@query
+def n1_item_numbers_sliced(load, spark):
+    """The same numbers, ranked in runs for every shipment of more than two items."""
+    numbered = distribution.number_rows(
+        load("v_item").select(*ITEM_KEY), "shipment_id", "invoice_idx", "item_idx", outer_span=8, inner_span=1000, slice_rows=2
+    )
+    return numbered.select(*ITEM_KEY, "item_number")
+
+
 @query
 def w2_first_invoice(load, spark):
     return parties.first_invoices(load("v_invoice")).select("shipment_id", "invoice_idx", "invoice_number")
@@ -659,18 +681,12 @@ def e26_job_counts(load, spark):
 
 @query
 def e26_job_errors(load, spark):
-    out = batch.job_errors(load("v_job_file"))
-    shown = F.transform(
-        "errors", lambda e: F.concat_ws(":", e["file_index"].cast("string"), e["filename"], e["error"])
-    )
-    return out.select("job_id", "part_no", F.array_join(shown, "|").alias("errors"))
+    return batch.job_errors(load("v_job_file"))
 
 
 @query
 def e26_job_results(load, spark):
-    out = batch.job_results(load("v_job_file"))
-    shown = F.transform("results", lambda e: e["filename"])
-    return out.select("job_id", "part_no", F.array_join(shown, "|").alias("results"))
+    return batch.job_results(load("v_job_file"))
 
 
 @query
