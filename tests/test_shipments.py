@@ -299,3 +299,59 @@ def test_process_documents(spark, tmp_path):
     assert (aforo[2]["Posicion Arancelaria"], aforo[2]["Contenido"], aforo[2]["Fob"]) == ("PENDIENTE", "Red Ring", None)
     summary = spark.read.parquet(str(tmp_path / "book" / "resumen_factura")).where("shipment_id = 1")
     assert [r["value"] for r in summary.orderBy("pos").collect()][-4:] == ["100.0", "10.0", "1.5", "111.5"]
+
+
+def gated(spark):
+    party = "struct<name:string,address:string,phone:string>"
+    bl = spark.createDataFrame(
+        [(i, f"B{i}", 10.0, 1, 2.0, "c", None, None, "mal" if i == 2 else None) for i in (1, 2, 3, 4, 5)],
+        f"shipment_id long, bl_number string, freight_cost double, packages_count long, gross_weight double, container_no string, "
+        f"exporter {party}, consignee {party}, error string",
+    ).selectExpr("*", "'a' AS booking_number", "'b' AS port_of_loading", "'c' AS port_of_discharge", "'d' AS cargo_type")
+    invoices = spark.createDataFrame(
+        [(1, 0, None), (1, 1, "mal"), (2, 0, None), (3, 0, "mal"), (3, 1, None), (4, 0, None)],
+        "shipment_id long, invoice_idx long, error string",
+    ).selectExpr(
+        "*", "'FOB' AS incoterm", "100.0D AS total_value", "'USD' AS currency", "'n' AS invoice_number", "'d' AS invoice_date",
+        "named_struct('name', 'x', 'address', 'y', 'phone', 'z') AS exporter",
+    )
+    items = spark.createDataFrame([(s, i, 0, 10.0, 1.0, 10.0) for s, i in [(1, 0), (1, 1), (2, 0), (3, 0), (3, 1), (4, 0)]],
+                                  "shipment_id long, invoice_idx long, item_idx long, total_price double, quantity double, unit_price double")
+    return bl, invoices, items
+
+
+def test_failed_papers_stop_before_form_and_reports(spark):
+    bl, invoices, items = gated(spark)
+    ids = lambda df: {r["shipment_id"] for r in df.collect()}
+    open_bl = parties.bl_parties(bl, invoices)
+    assert ids(open_bl) == {1, 4, 5}
+    assert ids(parties.editable_bl(open_bl)) == {1, 4, 5}
+    assert ids(parties.consolidated_documents(open_bl, invoices)) == {1, 4}
+    assert ids(allocation.allocate_by_invoice(items, bl, invoices)) == {1, 4}
+    summary = reports.invoice_summary(allocation.allocate_by_invoice(items, bl, invoices), open_bl, invoices)
+    assert ids(summary) == {1, 4, 5}
+    docs = parties.consolidated_documents(open_bl, invoices)
+    assert ids(reports.template_data(docs, "comercial")) == {1, 4}
+    assert reports.template_totals(docs).first()["n_documents"] == 2
+    names = {r["shipment_id"]: r["exporter_details"] for r in open_bl.collect()}
+    assert names[4]["name"] == "x" and names[1] is None
+
+
+def test_forms_and_item_tables_replace_what_they_edit(spark):
+    bl, invoices, items = gated(spark)
+    form = spark.createDataFrame([(1, 0, None, "N", "D", "EUR", 5.0)],
+                                 "shipment_id long, invoice_idx long, incoterm string, invoice_number string, invoice_date string, "
+                                 "currency string, total_value double")
+    rows = {(r["shipment_id"], r["invoice_idx"]): r for r in parties.overlay_form(
+        invoices, form, ["shipment_id", "invoice_idx"], parties.INVOICE_FORM).collect()}
+    assert (rows[1, 0]["incoterm"], rows[1, 0]["currency"], rows[1, 1]["currency"]) == (None, "EUR", "USD") and len(rows) == 6
+    table = spark.createDataFrame([(1, 0, 7, 1.0, 1.0, 1.0)], items.schema)
+    assert [r["item_idx"] for r in parties.replace_items(items, table).where("shipment_id = 1 AND invoice_idx = 0").collect()] == [7]
+
+
+def test_the_reference_service_invoice(spark):
+    lines = services.invoice_lines(spark.createDataFrame(
+        [(1, 0, "Servicio de Trámite Aduanal", 1.0, 100.0)],
+        "invoice_id long, line_no long, descripcion string, quantity double, price double"))
+    total = services.invoice_totals(lines, "invoice_id").first()
+    assert (total["subtotal"], total["isv"], total["total_pagar"]) == (100.0, 15.0, 115.0)
