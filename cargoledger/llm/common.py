@@ -13,6 +13,7 @@ from cargoledger.sources.scratch import scratch_folder
 
 # Bytes of text that one step of a vectorised loop works on; bounds the memory of a Python worker.
 SLICE_BYTES = 4 << 20
+HASHED_BYTES = 1 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Bytes 0x09 to 0x0D and 0x20 separate words.
@@ -101,18 +102,19 @@ FOLDED_CODES = _byte_codes(fold_case=True)
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte runs ``data[starts[i]:ends[i]]``, which must not be empty or overlap."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
+    out = np.zeros(len(starts), np.uint64)
     lengths = ends - starts
-    powers = np.ones(int(lengths.max()), np.uint64)
-    powers[1:] = _MULTIPLIER
+    powers = np.full(int(lengths.max(initial=1)), _MULTIPLIER)
+    powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint64)
-    first = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)[:-1]))
-    total = int(lengths.sum())
-    within = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
-    at = within + np.repeat(starts, lengths)
-    sums = np.add.reduceat(codes[data[at]] * powers[within], first)
-    return mix(sums + lengths.astype(np.uint64) * _MULTIPLIER)
+    for a, b in slices(np.concatenate(([0], np.cumsum(lengths))), HASHED_BYTES):
+        size = lengths[a:b]
+        first = np.cumsum(size) - size
+        within = np.arange(int(size.sum())) - np.repeat(first, size)
+        at = within + np.repeat(starts[a:b], size)
+        sums = np.add.reduceat(codes[data[at]] * powers[within], first)
+        out[a:b] = mix(sums + size.astype(np.uint64) * _MULTIPLIER)
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

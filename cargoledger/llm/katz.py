@@ -231,7 +231,7 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     rows; other columns are not read.
     """
     buckets = shuffle_partitions(docs.sparkSession)
-    n_batches = batches or 2 * buckets
+    n_batches = batches or buckets
     remainder = split_hash(id_column, folds)
     rows = docs.select(
         F.pmod(F.xxhash64(id_column, text_column), F.lit(n_batches)).cast("bigint").alias("batch"),
