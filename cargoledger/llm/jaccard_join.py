@@ -46,6 +46,8 @@ FAMILY_BLOCK = 20_000
 # Below 2 ** CERTAIN_BAND shingles every shingle is a word of its own.
 CERTAIN_BAND = 5
 ROWS_AT_ONCE = 60_000
+# Bytes of text whose shingles are made at once.
+TEXT_BYTES = 2 << 20
 
 ENTRY = np.dtype([("key", "<u4"), ("row", "<u2")])
 _K = [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -150,7 +152,7 @@ def features(rows: DataFrame) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, TEXT_BYTES):
                 row, hashed = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = np.bincount(row, minlength=j - i)
                 yield pa.RecordBatch.from_arrays(
@@ -175,7 +177,7 @@ def sharing_groups(rows: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             ids = np.asarray(batch.column("doc_id"), dtype=np.int64)
-            for i, j in ((a, b) for x, y in slices(offsets) for a in range(x, y, ROWS_AT_ONCE) for b in [min(y, a + ROWS_AT_ONCE)]):
+            for i, j in ((a, b) for x, y in slices(offsets, TEXT_BYTES) for a in range(x, y, ROWS_AT_ONCE) for b in [min(y, a + ROWS_AT_ONCE)]):
                 row, hashed = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = np.bincount(row, minlength=j - i)
                 sums = _row_totals(row, mix(hashed ^ _K[2]), j - i, np.add)
@@ -337,7 +339,7 @@ def shingle_table(rows: DataFrame, carried: list[str]) -> DataFrame:
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, TEXT_BYTES):
                 row, hashed = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 bounds = (8 * np.searchsorted(row, np.arange(j - i + 1))).tolist()
                 raw = hashed.tobytes()

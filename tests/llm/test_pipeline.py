@@ -67,3 +67,29 @@ def test_native_operators_use_no_python_in_tasks():
     for name in ("exact_dedup", "line_dedup", "preference"):
         source = (ROOT / "cargoledger" / "llm" / f"{name}.py").read_text()
         assert not any(word in source for word in ("InArrow", "InPandas", "udf", ".rdd", "numpy", "pandas", "pyarrow"))
+
+
+CLASHING = ["row", "id", "kept", "rest", "left", "spans", "component_id", "digest", "dropped id", "carried", "score", "n", "piece", "key"]
+
+
+def test_stages_keep_columns_with_clashing_names(spark, docs):
+    wide = docs.selectExpr("*", *[f"'x{i}' AS `{c}`" for i, c in enumerate(CLASHING)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns, name
+        assert all(tuple(r[-len(CLASHING) :]) == tuple(f"x{i}" for i in range(len(CLASHING))) for r in out.collect()), name
+    assert corpus_pipeline.pack_sequences(spark, wide, "").count() > 0
+
+
+def test_stages_on_an_empty_table(spark, docs):
+    empty = docs.where("doc_id < 0")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+
+
+def test_stages_on_rows_of_nulls(spark, docs):
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 3 + [(1, "some words in a text", None, None, None)], docs.schema)
+    nulls = nulls.unionByName(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        count = stage(spark, nulls, "").where("doc_id IS NULL").count()
+        assert count == {"language": 0, "exact_dedup": 0, "near_dedup": 3, "passages": 3, "packing": 3}[name], name
