@@ -70,10 +70,10 @@ def ocr_rules() -> list[Rule]:
     ]
 
 
-def validation_rules() -> list[Rule]:
+def validation_rules(field_rules: list[tuple] = fv.FIELD_RULES) -> list[Rule]:
     """One rule per possible message of the field checks."""
     out = []
-    for rule in fv.FIELD_RULES:
+    for rule in field_rules:
         kind = "field_required" if rule[3] else "field_optional"
         for name in message_names(rule):
             message = F.col(name)
@@ -129,11 +129,15 @@ ANALYZERS = {
 }
 
 
-def _with_inputs(docs: DataFrame, analyzers: list[str]) -> DataFrame:
+def _rules(analyzer: str, field_rules: list[tuple]) -> list[Rule]:
+    return validation_rules(field_rules) if analyzer == "field_validation" else ANALYZERS[analyzer]()
+
+
+def _with_inputs(docs: DataFrame, analyzers: list[str], field_rules: list[tuple]) -> DataFrame:
     """Documents with the working columns that the rules of some analyzers read."""
     read = with_absence(docs)
     if "field_validation" in analyzers:
-        read = with_messages(read, fv.FIELD_RULES)
+        read = with_messages(read, field_rules)
     if "calculation_errors" in analyzers:
         read = with_loose_numbers(read, {f"_x_{f}": f for f in fv.NUMERIC_FIELDS})
     if "ocr_quality" in analyzers:
@@ -143,12 +147,14 @@ def _with_inputs(docs: DataFrame, analyzers: list[str]) -> DataFrame:
     return read
 
 
-def with_errors(docs: DataFrame, analyzers: list[str] | None = None) -> DataFrame:
-    """Documents with the array of all their error records, in rule order."""
+def with_errors(
+    docs: DataFrame, analyzers: list[str] | None = None, field_rules: list[tuple] = fv.FIELD_RULES
+) -> DataFrame:
+    """Documents with the array of all their error records, in rule order; field checks follow ``field_rules``."""
     wanted = list(analyzers or ANALYZERS)
     none = F.array().cast(f"array<{ERROR}>")
-    read = _with_inputs(docs, wanted)
-    rules = [rule for a in wanted for rule in ANALYZERS[a]()]
+    read = _with_inputs(docs, wanted, field_rules)
+    rules = [rule for a in wanted for rule in _rules(a, field_rules)]
     parts = [F.when(r.applies, F.array(r.record())).otherwise(none) for r in rules]
     if "ocr_quality" in wanted:
         said = F.transform("_complaints", lambda m: Rule("ocr_text", F.lit(True), m).record())
@@ -158,15 +164,15 @@ def with_errors(docs: DataFrame, analyzers: list[str] | None = None) -> DataFram
     return read.select(*docs.columns, F.concat(*parts).alias("errors"))
 
 
-def with_error_counts(docs: DataFrame) -> DataFrame:
+def with_error_counts(docs: DataFrame, field_rules: list[tuple] = fv.FIELD_RULES) -> DataFrame:
     """Documents with the number of their errors of every kind, without building the errors."""
-    read = _with_inputs(docs, list(ANALYZERS))
-    rules = [rule for analyzer in ANALYZERS.values() for rule in analyzer()]
+    read = _with_inputs(docs, list(ANALYZERS), field_rules)
+    rules = [rule for analyzer in ANALYZERS for rule in _rules(analyzer, field_rules)]
     flags = {f"_r_{i}": rule.applies for i, rule in enumerate(rules)}
     counts = {}
     for kind in KINDS:
         own = [f"int(coalesce(_r_{i}, false))" for i, rule in enumerate(rules) if rule.kind == kind]
-        counts[f"kind_{kind}"] = F.expr(" + ".join(own or ["coalesce(size(_complaints), 0)"]))
+        counts[f"kind_{kind}"] = F.expr("coalesce(size(_complaints), 0)" if kind == "ocr_text" else " + ".join(own or ["0"]))
     kept = [*docs.columns, *[f"_a_{f}" for f in FIELDS]]
     return read.withColumns(flags).select(*kept, *[c.alias(name) for name, c in counts.items()])
 
@@ -181,14 +187,16 @@ def error_texts(spark: SparkSession) -> DataFrame:
     )
 
 
-def error_list(docs: DataFrame, analyzers: list[str] | None = None) -> DataFrame:
+def error_list(
+    docs: DataFrame, analyzers: list[str] | None = None, field_rules: list[tuple] = fv.FIELD_RULES
+) -> DataFrame:
     """Long form: one row per document and error, numbered from 1 inside the document.
 
     The outer generator is deliberate: for an inner one Spark derives a filter on the array's size
     and evaluates every rule a second time to test it.
     """
     listed = (
-        with_errors(docs, analyzers)
+        with_errors(docs, analyzers, field_rules)
         .select("doc_id", F.posexplode_outer("errors").alias("at", "e"))
         .where(F.col("at").isNotNull())
         .select("doc_id", (F.col("at") + 1).alias("seq"), "e.*")
@@ -210,12 +218,12 @@ def _total(part: int, code: str) -> Column:
     return F.expr(" + ".join(f"kind_{k}" for k in KINDS if fv.ERROR_TEXTS[k][part] == code))
 
 
-def quality_metrics(docs: DataFrame) -> DataFrame:
+def quality_metrics(docs: DataFrame, field_rules: list[tuple] = fv.FIELD_RULES) -> DataFrame:
     """All document-level metrics in one row and one pass.
 
     Counts per category and severity keep their zeros. Rates are null when there is no document.
     """
-    seen = with_error_counts(docs)
+    seen = with_error_counts(docs, field_rules)
     n_errors = F.expr(" + ".join(f"kind_{k}" for k in KINDS))
     counted = seen.agg(
         F.count(F.lit(1)).alias("total_documents"),

@@ -234,3 +234,13 @@ def test_fixed_dimensions_cover_every_error_text():
     categories = {c[0] for c in fv.ERROR_CATEGORIES}
     severities = {s[0] for s in fv.ERROR_SEVERITIES}
     assert all(t[0] in categories and t[1] in severities for t in fv.ERROR_TEXTS.values())
+
+
+def test_other_field_rules_reach_list_and_metrics(spark):
+    df = docs(spark, {"numero_bl": "it's"}, {"numero_bl": "AB"})
+    rules = [("numero_bl", "Nº BL", "text", True, {"options": ["it's", "AB\"C"]}, "")]
+    listed = quality.error_list(df, ["field_validation"], rules).collect()
+    assert [r["field"] for r in listed] == ["numero_bl"] and "it's" in listed[0]["message"]
+    metrics = quality.quality_metrics(df, rules).first()
+    assert metrics["kind_field_required"] == 1 and metrics["kind_field_optional"] == 0
+    assert quality.quality_metrics(df, []).first()["kind_field_required"] == 0
