@@ -38,6 +38,27 @@ def read_catalog_csv(spark: SparkSession, path: str, columns: list[str] | None =
     return reader.schema(schema).csv(path)
 
 
+def read_catalog_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Uploaded catalog files in the order of ``paths``, each with a header of its own.
+
+    ``cells(file_id, row_no, pos, cells)`` holds every row as a map from header to text, and
+    ``headers(file_id, col_pos, col_name)`` the headers. ``file_id`` is the order of the uploads and ``pos``
+    grows along a file: Spark numbers the splits of one file in their order.
+    """
+    cells, headers = None, []
+    for file_id, path in enumerate(paths):
+        rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+        headers += [(file_id, i, name) for i, name in enumerate(rows.columns)]
+        pairs = [part for name in rows.columns for part in (F.lit(name), F.col(f"`{name}`").cast("string"))]
+        held = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+        place = F.monotonically_increasing_id()
+        part = rows.select(F.lit(file_id).alias("file_id"), place.alias("row_no"), place.alias("pos"), held.alias("cells"))
+        cells = part if cells is None else cells.unionByName(part)
+    if cells is None:
+        cells = spark.createDataFrame([], "file_id int, row_no long, pos long, cells map<string,string>")
+    return cells, spark.createDataFrame(headers, "file_id int, col_pos int, col_name string")
+
+
 def preview_catalogs(uploads: DataFrame, n: int = 5) -> DataFrame:
     """The first rows of every uploaded file, keyed by (file_id, row_no)."""
     return first_rows(uploads, ["file_id"], [F.col("row_no")], n)

@@ -355,3 +355,13 @@ def test_the_reference_service_invoice(spark):
         "invoice_id long, line_no long, descripcion string, quantity double, price double"))
     total = services.invoice_totals(lines, "invoice_id").first()
     assert (total["subtotal"], total["isv"], total["total_pagar"]) == (100.0, 15.0, 115.0)
+
+
+def test_catalog_files_from_upload_to_merge(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Código,Descripción del producto\n1.1,Zapato\n1.2,blusa para dama\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("Producto,Posicion_Arancelaria,Nota\nbolsa,2.1,x\n ZAPATO ,2.2,y\nnada,,z\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("uno,dos\nzapato,3.3\n", encoding="utf-8")
+    cells, headers = files.read_catalog_files(spark, [str(tmp_path / n) for n in ("a.csv", "b.csv", "c.csv")])
+    merged = tariff.merge_catalog(tariff.default_catalog(spark), tariff.mapped_entries(cells, headers)).orderBy("pos")
+    assert [(r["key"], r["code"]) for r in merged.collect()] == [
+        ("blusa para dama", "1.2"), ("calzado para dama", "6404.19.90.00.00"), ("zapato", "2.2"), ("bolsa", "2.1")]
