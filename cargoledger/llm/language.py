@@ -24,12 +24,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cargoledger.llm.common import mix, split_hash, text_buffer
+from cargoledger.llm.common import slices, split_hash, text_buffer
 
 SPANS = (2, 3, 4)
 # N-grams are told apart by a hash into so many slots.
 SLOTS = 1 << 16
 UNDETERMINED = "und"
+# Bytes of text whose sets are held at once.
+TEXT_BYTES = 1 << 20
 
 # Byte classes after lower-casing: letters stay (ASCII letters and all bytes of other characters), the rest is space.
 _LETTER = np.zeros(256, dtype=bool)
@@ -140,6 +142,25 @@ def train(
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], landmarks, ridge, sharpness)
 
 
+def _predicted(texts: pa.Array, letters: np.ndarray, fitted: tuple | None) -> tuple[list[str], np.ndarray]:
+    """Best language and its share for every text; ``letters`` tells which texts have any."""
+    n = len(letters)
+    if fitted is None:
+        return [UNDETERMINED] * n, np.zeros(n)
+    languages, weights, sharpness = fitted
+    slots, sizes = presence(texts)
+    margins = np.zeros((n, len(languages)))
+    full = np.flatnonzero(sizes)
+    starts = np.cumsum(sizes) - sizes
+    if len(full):
+        # The presence matrix has a one per listed slot; its product with the table is a sum per row.
+        margins[full] = np.add.reduceat(weights[slots], starts[full], axis=0, dtype=np.float64) / np.sqrt(sizes[full])[:, None]
+    weight = np.exp(sharpness * (margins - margins.max(axis=1, keepdims=True)))
+    best, share = margins.argmax(axis=1), weight.max(axis=1) / weight.sum(axis=1)
+    names = [languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+    return names, np.where(letters, share, 0.0)
+
+
 def predict(docs: DataFrame, model: LanguageModel | None, text_column: str = "text", carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carried`` columns with ``lang_pred`` and ``score``, from the whole text of every row.
 
@@ -154,32 +175,14 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_column: str = "te
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in batches:
-            n = batch.num_rows
-            best, share = np.zeros(n, int), np.zeros(n)
-            letters = np.asarray(batch.column("letters"), dtype=bool)
-            if fitted is None:
-                letters = np.zeros(n, bool)
-            else:
-                slots, sizes = presence(batch.column("text"))
-                languages, weights, sharpness = fitted
-                margins = np.zeros((n, len(languages)))
-                full = np.flatnonzero(sizes)
-                if len(full):
-                    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                    # The presence matrix has a one per listed slot; its product with the table is a sum per row.
-                    for i in range(0, len(full), 256):
-                        rows = full[i : i + 256]
-                        begin, end = starts[rows[0]], starts[rows[-1]] + sizes[rows[-1]]
-                        margins[rows] = np.add.reduceat(weights[slots[begin:end]], starts[rows] - begin, axis=0, dtype=np.float64)
-                    margins[full] /= np.sqrt(sizes[full])[:, None]
-                weight = np.exp(sharpness * (margins - margins.max(axis=1, keepdims=True)))
-                best, share = margins.argmax(axis=1), weight.max(axis=1) / weight.sum(axis=1)
-            names = [languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("carried"), pa.array(names, pa.string()), pa.array(np.where(letters, share, 0.0))],
-                names=["carried", "lang_pred", "score"],
-            )
+        for whole in batches:
+            _, offsets = text_buffer(whole.column("text"))
+            for i, j in slices(offsets, TEXT_BYTES):
+                batch = whole.slice(i, j - i)
+                names, share = _predicted(batch.column("text"), np.asarray(batch.column("letters"), dtype=bool), fitted)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("carried"), pa.array(names, pa.string()), pa.array(share)], names=["carried", "lang_pred", "score"]
+                )
 
     schema = T.StructType([inputs.schema["carried"]]).add("lang_pred", "string").add("score", "double")
     return inputs.mapInArrow(score, schema).select("carried.*", "lang_pred", "score")

@@ -33,7 +33,9 @@ from cargoledger.llm.common import CODES, mix, shuffle_partitions, slices, text_
 
 GRAM = 24
 # Bytes of contexts whose suffixes one sort takes.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
+# Bytes of text that are hashed at once.
+GRAM_BYTES = 1 << 19
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -69,17 +71,18 @@ def sliding_argmin(values: np.ndarray, window: int) -> np.ndarray:
 def contexts(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: row, first window start and last, in the row, and the anchor's hash."""
     rows, firsts, lasts, hashes = [], [], [], []
-    grams = gram_hashes(data)
-    for row in np.flatnonzero(np.diff(offsets) >= width):
-        begin, end = int(offsets[row]), int(offsets[row + 1])
-        own = grams[begin : end - GRAM + 1]
-        anchor = sliding_argmin(own, width - GRAM + 1)
-        cut = np.flatnonzero(np.diff(anchor)) + 1
-        first = np.concatenate(([0], cut))
-        rows.append(np.full(len(first), row, np.int64))
-        firsts.append(first)
-        lasts.append(np.concatenate((cut - 1, [len(anchor) - 1])))
-        hashes.append(own[anchor[first]])
+    for a, b in slices(offsets, GRAM_BYTES):
+        grams = gram_hashes(data[offsets[a] : offsets[b]])
+        for row in (a + np.flatnonzero(np.diff(offsets[a : b + 1]) >= width)).tolist():
+            begin, end = int(offsets[row] - offsets[a]), int(offsets[row + 1] - offsets[a])
+            own = grams[begin : end - GRAM + 1]
+            anchor = sliding_argmin(own, width - GRAM + 1)
+            cut = np.flatnonzero(np.diff(anchor)) + 1
+            first = np.concatenate(([0], cut))
+            rows.append(np.full(len(first), row, np.int64))
+            firsts.append(first)
+            lasts.append(np.concatenate((cut - 1, [len(anchor) - 1])))
+            hashes.append(own[anchor[first]])
     if not rows:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
