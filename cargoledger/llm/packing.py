@@ -134,9 +134,17 @@ class ChunkCodes:
         return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] != hashes
 
     def add(self, hashes: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> None:
-        """Encode chunks, which follow one another in ``data``, joined to texts of some length."""
+        """Encode chunks, which follow one another in ``data``, joined to texts of some length.
+
+        Chunks of white space only, which end a row, would join with the white space of the next chunk
+        and are encoded by themselves.
+        """
         ends = np.cumsum(lengths)
-        groups = np.flatnonzero(np.diff(ends // JOINED_BYTES, prepend=-1)) if len(ends) else ends
+        blank = WORD_SPACE[data[ends - 1]]
+        opens = np.diff(ends // JOINED_BYTES, prepend=-1) > 0
+        opens |= blank
+        opens[1:] |= blank[:-1]
+        groups = np.flatnonzero(opens)
         bounds = np.append((ends - lengths)[groups], len(data)).tolist()
         raw = data.tobytes()
         codes = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in zip(bounds[:-1], bounds[1:], strict=True)], add_special_tokens=False)
@@ -173,8 +181,9 @@ def _encode_texts(codes: ChunkCodes, column: pa.Array) -> Iterator[tuple[int, np
 
     A chunk is a run of ASCII white space with the run of other characters after it. The tokenizer's
     pattern never joins a character to white space after it, so chunks may be encoded apart or joined in
-    any order, if all begin with white space. A row's first chunk may not, and rows that hold other
-    white space or a special token are encoded whole.
+    any order, if all begin with white space and hold other characters. A row's first chunk may not begin
+    so, its last may be white space only, and rows that hold other white space or a special token are
+    encoded whole.
     """
     data, offsets = text_buffer(column)
     for first, last in slices(offsets):

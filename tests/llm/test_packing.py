@@ -95,3 +95,13 @@ def test_chunks_are_encoded_as_in_whole_texts(spark):
     tokenizer = Tokenizer.from_file(PATH)
     got = [ids.tolist() for _, ids in packing._encode_texts(packing.ChunkCodes(tokenizer), pa.array(texts))]
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_texts_that_end_in_white_space_beside_empty_lines():
+    import pyarrow as pa
+
+    ends = ["\n", "\n\n", " ", " \n", "\r\n", "\t", "\n\n\n\n"]
+    texts = [f"a{i}\n\nb{i}\n\n c{i}!{ends[i % len(ends)]}" for i in range(400)] + ends
+    tokenizer = Tokenizer.from_file(PATH)
+    got = [ids.tolist() for _, ids in packing._encode_texts(packing.ChunkCodes(tokenizer), pa.array(texts))]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
