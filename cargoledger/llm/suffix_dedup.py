@@ -6,12 +6,15 @@ equal windows have equal anchors at the same place in them. Runs of windows with
 context: the windows' starts and ``width - 1`` bytes after them. Three steps follow:
 
 1. Anchor hashes, packed per batch and hash bucket, are counted. Windows of an anchor whose hash
-   occurs once are unique, and most text ends here.
-2. The contexts of the other anchors are cut out of the documents and dealt out by anchor hash. A task
-   builds the suffix array of its contexts by two-stage sorting, compares adjacent suffixes, and marks
-   every window that has an equal one elsewhere. Identical contexts of a batch travel as one row with
-   the list of their places, so a passage that a third of all documents share is one context per batch.
-3. The marks come back to the documents, where covered bytes are removed.
+   occurs once are unique, and most text ends here. A hash that occurs again within one slice of a batch
+   needs no counting: one place of it goes to its bucket, for other slices to see, and the rest is dealt
+   out over all tasks.
+2. The contexts of the other anchors are cut out of the documents and dealt out by anchor hash, without
+   their places: identical contexts of a batch are one row with their number. A task builds the suffix
+   array of its distinct contexts by two-stage sorting, compares adjacent suffixes, and marks every
+   window that has an equal one elsewhere.
+3. The marks of a context are joined to its places by its digest and a slot, of which the places of one
+   context have up to ``SLOTS``, and come back to the documents, where covered bytes are removed.
 
 Two-stage sorting sorts directly only the suffixes that are smaller than their successors; a scan over
 the buckets of first bytes, in ascending order, then induces all others from the suffix that follows
@@ -36,6 +39,8 @@ GRAM = 24
 SORT_BYTES = 1 << 20
 # Bytes of text that are hashed at once.
 GRAM_BYTES = 1 << 19
+# The places of one context are dealt to so many slots by their document.
+SLOTS = 64
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -206,6 +211,21 @@ def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
     return (hashes >> np.uint64(17)) % np.uint64(n)
 
 
+def _repeats(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every hash, whether it occurs again, and whether it occurred before."""
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    again, later = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+    later[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    return again | later, later
+
+
+def _spread(ids: pa.Array, tags: np.ndarray) -> np.ndarray:
+    """A hash per document, from its id and text, so that a task that runs again deals alike."""
+    return mix(np.asarray(ids.fill_null(-1), dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ tags.view(np.uint64))
+
+
 def anchor_counts(rows: DataFrame, width: int, buckets: int) -> DataFrame:
     """Contexts whose anchor hash occurs again: ``doc_id, text_hash, first, last, hash``."""
 
@@ -213,11 +233,14 @@ def anchor_counts(rows: DataFrame, width: int, buckets: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             ids, tags = batch.column("doc_id"), np.asarray(batch.column("text_hash"), dtype=np.int64)
+            spread = _spread(ids, tags)
             for i, j in slices(offsets):
                 row, first, last, hashes = contexts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 bucket = _buckets(hashes, buckets)
+                known, later = _repeats(hashes)
+                bucket[later] = np.uint64(buckets) + (bucket[later] + spread[row[later] + i]) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
-                row, first, last, hashes, bucket = row[order], first[order], last[order], hashes[order], bucket[order]
+                row, first, last, hashes, bucket, known = row[order], first[order], last[order], hashes[order], bucket[order], known[order]
                 present, begins = np.unique(bucket, return_index=True)
                 edges = [*begins.tolist(), len(bucket)]
                 blobs = [[], [], [], [], [], []]
@@ -225,6 +248,7 @@ def anchor_counts(rows: DataFrame, width: int, buckets: int) -> DataFrame:
                     held, local = np.unique(row[a:b], return_inverse=True)
                     packed = np.zeros(b - a, dtype=ENTRY)
                     packed["hash"], packed["row"], packed["first"], packed["run"] = hashes[a:b], local, first[a:b], last[a:b] - first[a:b]
+                    packed["known"] = known[a:b]
                     blobs[0].append(ids.take(pa.array(held + i)).to_pylist())
                     blobs[1].append(tags[held + i].tolist())
                     blobs[2].append(packed.tobytes())
@@ -233,78 +257,113 @@ def anchor_counts(rows: DataFrame, width: int, buckets: int) -> DataFrame:
                     names=["bucket", "ids", "tags", "entries"],
                 )
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hits(entry: np.ndarray, owner: np.ndarray, ids: list, tags: list) -> pa.RecordBatch:
+        first = entry["first"].astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids, pa.int64()).take(pa.array(owner)),
+                pa.array(tags, pa.int64()).take(pa.array(owner)),
+                pa.array(first),
+                pa.array(first + entry["run"]),
+                pa.array(entry["hash"].view(np.int64)),
+            ],
+            names=["doc_id", "text_hash", "first", "last", "hash"],
+        )
+
+    def find(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners, parts, ids, tags = [], [], [], []
         base = 0
         for batch in batches:
             for held, tag, blob in zip(batch.column("ids").to_pylist(), batch.column("tags").to_pylist(), batch.column("entries"), strict=True):
                 entry = np.frombuffer(blob.as_py(), ENTRY)
+                if key[0].as_py() >= buckets:
+                    yield hits(entry, entry["row"].astype(np.int64), held, tag)
+                    continue
                 parts.append(entry)
                 owners.append(entry["row"].astype(np.int64) + base)
                 ids += held
                 tags += tag
                 base += len(held)
+        if not parts:
+            return
         entry, owner = np.concatenate(parts), np.concatenate(owners)
         order = np.argsort(entry["hash"], kind="stable")
         hashes = entry["hash"][order]
         same = hashes[1:] == hashes[:-1]
-        again = np.zeros(len(order), bool)
+        again = entry["known"][order] > 0
         again[1:] |= same
         again[:-1] |= same
         hit = order[again]
-        first = entry["first"][hit].astype(np.int64)
-        at = owner[hit]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()).take(pa.array(at)),
-                pa.array(tags, pa.int64()).take(pa.array(at)),
-                pa.array(first),
-                pa.array(first + entry["run"][hit]),
-                pa.array(entry["hash"][hit].view(np.int64)),
-            ],
-            names=["doc_id", "text_hash", "first", "last", "hash"],
-        )
+        yield hits(entry[hit], owner[hit], ids, tags)
 
     packed = rows.mapInArrow(pack, "bucket int, ids array<bigint>, tags array<bigint>, entries binary")
     return packed.groupBy("bucket").applyInArrow(find, "doc_id bigint, text_hash bigint, first bigint, last bigint, hash bigint")
 
 
-ENTRY = np.dtype([("hash", "<u8"), ("row", "<u4"), ("first", "<u4"), ("run", "<u2")])
+ENTRY = np.dtype([("hash", "<u8"), ("row", "<u4"), ("first", "<u4"), ("run", "<u2"), ("known", "u1")])
+
+
+def _digest(piece: bytes) -> bytes:
+    return hashlib.blake2b(piece, digest_size=16).digest()
 
 
 def context_marks(cut: DataFrame, width: int, buckets: int) -> DataFrame:
     """Covered byte spans per document: ``doc_id, text_hash, begin, end``; ``cut`` has each document's contexts."""
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list]]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            ids, tags = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
-            found: dict[tuple[int, bytes], list] = {}
+            tags = np.asarray(batch.column("text_hash"), dtype=np.int64)
+            slots = _spread(batch.column("doc_id"), tags) % np.uint64(SLOTS)
+            places = []
             for i, runs in enumerate(batch.column("runs").to_pylist()):
                 for run in runs:
                     begin = int(offsets[i]) + run["first"]
-                    piece = data[begin : begin + run["last"] - run["first"] + width].tobytes()
-                    found.setdefault((run["hash"], piece), []).append((ids[i], tags[i], run["first"]))
-            if found:
-                hashes = np.array([h for h, _ in found], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(_buckets(hashes.view(np.uint64), buckets).astype(np.int32)),
-                        pa.array(hashes),
-                        pa.array([p for _, p in found], pa.binary()),
-                        pa.array([[x[0] for x in v] for v in found.values()], pa.list_(pa.int64())),
-                        pa.array([[x[1] for x in v] for v in found.values()], pa.list_(pa.int64())),
-                        pa.array([[x[2] for x in v] for v in found.values()], pa.list_(pa.int64())),
-                    ],
-                    names=["bucket", "hash", "piece", "ids", "tags", "firsts"],
-                )
+                    places.append((i, run["first"], run["hash"], data[begin : begin + run["last"] - run["first"] + width].tobytes()))
+            yield batch, slots, places
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, slots, places in found(batches):
+            bits = [1 << s for s in slots.tolist()]
+            counts: dict[tuple[int, bytes], list[int]] = {}
+            for i, _, h, piece in places:
+                seen = counts.setdefault((h, piece), [0, 0])
+                seen[0] += 1
+                seen[1] |= bits[i]
+            hashes = np.array([h for h, _ in counts], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(_buckets(hashes.view(np.uint64), buckets).astype(np.int32)),
+                    pa.array(hashes),
+                    pa.array([p for _, p in counts], pa.binary()),
+                    pa.array([n for n, _ in counts.values()], pa.int64()),
+                    pa.array(np.array([s for _, s in counts.values()], np.uint64).view(np.int64)),
+                ],
+                names=["bucket", "hash", "piece", "n", "slots"],
+            )
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, slots, places in found(batches):
+            row = np.array([i for i, _, _, _ in places], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([_digest(p) for _, _, _, p in places], pa.binary()),
+                    pa.array(slots[row].astype(np.int32)),
+                    batch.column("doc_id").take(pa.array(row)),
+                    batch.column("text_hash").take(pa.array(row)),
+                    pa.array([f for _, f, _, _ in places], pa.int64()),
+                ],
+                names=["digest", "slot", "doc_id", "text_hash", "first"],
+            )
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged: dict[tuple[int, bytes], list] = {}
+        merged: dict[tuple[int, bytes], list[int]] = {}
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("hash", "piece", "ids", "tags", "firsts")]
-            for h, piece, ids, tags, firsts in zip(*columns, strict=True):
-                merged.setdefault((h, piece), []).extend(zip(ids, tags, firsts, strict=True))
+            columns = [batch.column(c).to_pylist() for c in ("hash", "piece", "n", "slots")]
+            for h, piece, n, slots in zip(*columns, strict=True):
+                seen = merged.setdefault((h, piece), [0, 0])
+                seen[0] += n
+                seen[1] |= slots & 0xFFFFFFFFFFFFFFFF
         keys = sorted(merged, key=lambda k: k[0])
         i = 0
         while i < len(keys):
@@ -314,19 +373,31 @@ def context_marks(cut: DataFrame, width: int, buckets: int) -> DataFrame:
                 size += len(keys[j][1])
                 j += 1
             group = keys[i:j]
-            marks = repeated_windows([p for _, p in group], [len(merged[k]) for k in group], width)
-            out: list[list] = [[], [], [], []]
+            marks = repeated_windows([p for _, p in group], [merged[k][0] for k in group], width)
+            out: list[list] = [[], [], []]
             for key, marked in zip(group, marks, strict=True):
                 begins, ends = _spans(marked)
-                for b, e in zip(begins.tolist(), (ends + width - 1).tolist(), strict=True):
-                    for doc_id, tag, first in merged[key]:
-                        for column, value in zip(out, (doc_id, tag, first + b, first + e), strict=True):
+                if not len(begins):
+                    continue
+                digest, held = _digest(key[1]), merged[key][1]
+                covered = [{"b": b, "e": e} for b, e in zip(begins.tolist(), (ends + width - 1).tolist(), strict=True)]
+                for slot in range(SLOTS):
+                    if held >> slot & 1:
+                        for column, value in zip(out, (digest, slot, covered), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "text_hash", "begin", "end"])
+            span = pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))
+            columns = [pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int32(), span), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "slot", "covered"])
             i = j
 
-    pieces = cut.mapInArrow(extract, "bucket int, hash bigint, piece binary, ids array<bigint>, tags array<bigint>, firsts array<bigint>")
-    return pieces.groupBy("bucket").applyInArrow(mark, "doc_id bigint, text_hash bigint, begin bigint, end bigint")
+    pieces = cut.mapInArrow(extract, "bucket int, hash bigint, piece binary, n bigint, slots bigint")
+    marks = pieces.groupBy("bucket").applyInArrow(mark, "digest binary, slot int, covered array<struct<b: bigint, e: bigint>>")
+    places = cut.mapInArrow(locate, "digest binary, slot int, doc_id bigint, text_hash bigint, first bigint")
+    return (
+        places.join(marks, ["digest", "slot"])
+        .select("doc_id", "text_hash", "first", F.inline("covered"))
+        .select("doc_id", "text_hash", (F.col("first") + F.col("b")).alias("begin"), (F.col("first") + F.col("e")).alias("end"))
+    )
 
 
 def covered_spans(rows: DataFrame, width: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cargoledger.llm import exact_dedup, line_dedup, suffix_dedup
 
@@ -155,3 +157,29 @@ def test_dropped_passages_leave_valid_text_and_other_columns(spark):
     got = {r["doc_id"]: (r["text"], r["lang"], r["kept"]) for r in out.collect()}
     assert got[1] == ("Átail", "l", "k") and got[2] == ("àother", "l", "k")
     assert got[3] == (None, "l", "k") and got[None] == ("ünique", "l", "k")
+
+
+def test_places_of_one_context_are_spread(spark):
+    rng = random.Random(9)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+    passage = word(900)
+    rows = [(i, word(100) + passage + word(100)) for i in range(1, 2001)] + [(None, passage)]
+    texts = docs(spark, rows, 4).selectExpr("doc_id", "text", "xxhash64(text) AS text_hash")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hits = suffix_dedup.anchor_counts(texts, 200, 8)
+        found = [(r["hash"], r["task"]) for r in hits.selectExpr("hash", "spark_partition_id() AS task").collect()]
+        runs = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last", "hash")).alias("runs"))
+        marks = suffix_dedup.context_marks(texts.where("doc_id IS NOT NULL").join(runs, ["doc_id", "text_hash"]), 200, 8)
+        ends = [(r["end"] - r["begin"], r["task"]) for r in marks.selectExpr("begin", "end", "spark_partition_id() AS task").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    per_hash = Counter(h for h, _ in found)
+    assert max(per_hash.values()) == 2001
+    assert max(Counter(found).values()) < 1200
+    # All places of a mark come out, from several tasks.
+    assert max(Counter(n for n, _ in ends).values()) >= 2000
+    assert max(Counter(t for _, t in ends).values()) < len(ends) * 0.6
+    out = suffix_dedup.repeated_bytes(docs(spark, rows, 4)).collect()
+    by_hand = bytes_by_hand([t for _, t in rows], 200)
+    assert sorted((str(r["doc_id"]), bytes(r["kept"])) for r in out) == sorted((str(i), k) for (i, _), k in zip(rows, by_hand, strict=True))
