@@ -8,8 +8,9 @@ in a text's set, so landmarks, Nyström map and ridge weights fold into one tabl
 n-gram slot and language, and a batch of texts is scored as a product of its presence matrix and
 that table.
 
-The model is fitted on the driver on a bounded sample, ``per_lang`` texts of at most ``max_langs``
-languages, and sent to the executors at a fixed size: ``SLOTS`` rows by the number of languages.
+The model is fitted on the driver on a bounded sample, ``per_lang * max_langs`` texts of all languages,
+at most ``per_lang`` of each and at least one, and sent to the executors at ``SLOTS`` rows by the
+number of languages.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SLOTS = 1 << 16
 UNDETERMINED = "und"
 # Bytes of text whose sets are held at once.
 TEXT_BYTES = 1 << 20
+# Languages whose scores are summed at once.
+LANGUAGES_AT_ONCE = 32
 
 # Byte classes after lower-casing: letters stay (ASCII letters and all bytes of other characters), the rest is space.
 _LETTER = np.zeros(256, dtype=bool)
@@ -79,8 +82,9 @@ def presence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: list[str], labels: list[str], landmarks: int, ridge: float, sharpness: float) -> LanguageModel:
-    """Fit on lower-case texts; the first ``landmarks`` of them, taken evenly from all, are the landmarks."""
+    """Fit on lower-case texts; ``landmarks`` of them, taken evenly from all, or as many as languages if these are more, are the landmarks."""
     languages = sorted(set(labels))
+    landmarks = max(landmarks, len(languages))
     slots, sizes = presence(pa.array(texts, pa.large_string()))
     ends = np.cumsum(sizes)
     norms = np.sqrt(np.maximum(sizes, 1)).astype(np.float64)
@@ -102,17 +106,19 @@ def fit(texts: list[str], labels: list[str], landmarks: int, ridge: float, sharp
 
 
 def training_sample(docs: DataFrame, id_column: str, text_column: str, lang_column: str, per_lang: int, max_langs: int) -> DataFrame:
-    """At most ``per_lang`` labelled texts with letters of each of the ``max_langs`` most frequent languages.
+    """Labelled texts with letters of every language, at most ``per_lang`` of each.
 
-    Rows are drawn by a hash. A threshold on it from the number of rows of a language leaves a few times
-    ``per_lang`` rows before any text is shuffled, however large the table.
+    With more than ``max_langs`` languages each has an even share of ``per_lang * max_langs`` texts, at
+    least one. Rows are drawn by a hash. A threshold on it from the number of rows of a language leaves a
+    few times its texts before any text is shuffled, however large the table.
     """
     lang = F.col(lang_column)
     numbers = docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    frequent = numbers.orderBy(F.desc("n"), "lang").limit(max_langs).collect()
-    drawn = F.lit(0.0)
-    for row in frequent:
-        drawn = F.when(lang == row["lang"], F.lit(4 * per_lang / row["n"])).otherwise(drawn)
+    found = numbers.collect()
+    per_lang = min(per_lang, max(1, per_lang * max_langs // max(1, len(found))))
+    # With few texts a language, more are drawn, so that none is left without.
+    shares = [F.lit(x) for row in found for x in (row["lang"], max(4 * per_lang, 64) / row["n"])]
+    drawn = F.coalesce(F.create_map(*shares)[lang], F.lit(0.0)) if shares else F.lit(0.0)
     order = F.xxhash64(id_column, text_column)
     kept = docs.where(lang.isNotNull() & (F.pmod(order, F.lit(1 << 30)) < drawn * (1 << 30)) & has_letters(F.col(text_column)))
     labelled = kept.select(lang.alias("lang"), F.lower(F.col(text_column)).alias("text"), order.alias("order"))
@@ -154,7 +160,9 @@ def _predicted(texts: pa.Array, letters: np.ndarray, fitted: tuple | None) -> tu
     starts = np.cumsum(sizes) - sizes
     if len(full):
         # The presence matrix has a one per listed slot; its product with the table is a sum per row.
-        margins[full] = np.add.reduceat(weights[slots], starts[full], axis=0, dtype=np.float64) / np.sqrt(sizes[full])[:, None]
+        for c in range(0, len(languages), LANGUAGES_AT_ONCE):
+            some = slice(c, c + LANGUAGES_AT_ONCE)
+            margins[full, some] = np.add.reduceat(weights[:, some][slots], starts[full], axis=0, dtype=np.float64) / np.sqrt(sizes[full])[:, None]
     weight = np.exp(sharpness * (margins - margins.max(axis=1, keepdims=True)))
     best, share = margins.argmax(axis=1), weight.max(axis=1) / weight.sum(axis=1)
     names = [languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]

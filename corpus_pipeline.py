@@ -15,21 +15,23 @@ from cargoledger.llm import exact_dedup, jaccard_join, language, packing, suffix
 from cargoledger.llm.common import table, written
 
 SEQUENCE_TOKENS = 2048
-# Documents are rejected if no language is likelier than this. With four languages an even guess has 0.25.
-LEAST_LANGUAGE_SCORE = 0.3
+# Documents are rejected if no language is likelier than so many times an even guess: 0.3 with four languages.
+LEAST_LANGUAGE_LEAD = 1.2
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told from their text; all columns stay as they are.
 
     Documents without a letter, null and empty ones too, are rejected, and those whose best language scores at or
-    below LEAST_LANGUAGE_SCORE. The classifier learns from a bounded sample of the labelled documents;
-    without any label it knows no language and rejects all.
+    below LEAST_LANGUAGE_LEAD times an even guess. The classifier learns from a bounded sample of the labelled
+    documents; without any label it knows no language and rejects all, with a single one no text scores lower.
     """
     model = language.train(docs)
     tagged = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     found = language.predict(tagged, model, "text", ("row",))
-    kept = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") > LEAST_LANGUAGE_SCORE)
+    n = len(model.languages) if model else 0
+    least = LEAST_LANGUAGE_LEAD / n if n > 1 else 0.0
+    kept = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") > least)
     return found.where(kept).select("row.*")
 
 

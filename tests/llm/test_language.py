@@ -1,5 +1,9 @@
 """Language identification: held-out accuracy, and rows that have no language."""
 
+import random
+
+import corpus_pipeline
+
 from cargoledger.llm import language
 from cargoledger.llm.queries import QUERIES
 
@@ -35,3 +39,36 @@ def test_rows_without_a_language(spark):
     unlabelled = language.identify(docs.selectExpr("doc_id", "text", "cast(null as string) AS lang")).collect()
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
     assert language.identify(docs.where("doc_id > 99")).count() == 0
+
+
+def many_languages(n, texts):
+    rng = random.Random(4)
+    rows = []
+    for k in range(n):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)]
+        # Later languages are rarer.
+        rows += [(k * 1000 + i, " ".join(rng.choices(words, k=40)), f"l{k:02}") for i in range(texts + (n - k) // 8)]
+    return rows
+
+
+def test_every_label_is_learned(spark):
+    rows = many_languages(40, 12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model.languages == sorted({lang for _, _, lang in rows})
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    assert sum(found[i] == lang for i, _, lang in rows) >= 0.98 * len(rows)
+    # The whole sample is bounded, with a text of every language.
+    few = language.training_sample(docs, "doc_id", "text", "lang", 5, 16).groupBy("lang").count().collect()
+    assert {r["count"] for r in few} == {2} and len(few) == 40
+
+
+def test_rejection_follows_the_number_of_languages(spark):
+    rows = many_languages(2, 30)
+    # Half of one, half of the other: neither language leads.
+    mixed = [(9000 + i, f"{a[1]} {b[1]}", None) for i, (a, b) in enumerate(zip(rows[:20], rows[-20:], strict=True))]
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, docs, "").collect()}
+    assert {i for i, _, _ in rows} <= kept
+    assert len(kept & {i for i, _, _ in mixed}) < 20
+    assert corpus_pipeline.LEAST_LANGUAGE_LEAD / 4 == 0.3
