@@ -10,7 +10,8 @@ that table.
 
 The model is fitted on the driver on a bounded sample, ``per_lang * max_langs`` texts of all languages,
 at most ``per_lang`` of each and at least one, and sent to the executors at ``SLOTS`` rows by the
-number of languages.
+number of languages. Tasks make the sets of the sample, so the driver collects at most ``SLOTS`` bits
+a text, however long the texts are.
 """
 
 from __future__ import annotations
@@ -81,19 +82,51 @@ def presence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows) if rows else np.zeros(0, np.int64)), sizes
 
 
-def fit(texts: list[str], labels: list[str], landmarks: int, ridge: float, sharpness: float) -> LanguageModel:
-    """Fit on lower-case texts; ``landmarks`` of them, taken evenly from all, or as many as languages if these are more, are the landmarks."""
+def packed_set(slots: np.ndarray) -> bytes:
+    """A presence set as 16-bit numbers or, if that is shorter, as ``SLOTS`` bits."""
+    if 2 * len(slots) < SLOTS // 8:
+        return slots.astype("<u2").tobytes()
+    present = np.zeros(SLOTS, bool)
+    present[slots] = True
+    return np.packbits(present).tobytes()
+
+
+def unpacked_set(packed: bytes) -> np.ndarray:
+    if len(packed) < SLOTS // 8:
+        return np.frombuffer(packed, "<u2").astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8)))
+
+
+def presence_sets(sample: DataFrame) -> DataFrame:
+    """``lang, packed`` from ``lang, text``, in the same order."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            _, offsets = text_buffer(whole.column("text"))
+            for i, j in slices(offsets, TEXT_BYTES):
+                batch = whole.slice(i, j - i)
+                slots, sizes = presence(batch.column("text"))
+                packed = [packed_set(s) for s in np.split(slots, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], names=["lang", "packed"])
+
+    schema = T.StructType([sample.schema["lang"]]).add("packed", "binary")
+    return sample.select("lang", "text").mapInArrow(pack, schema)
+
+
+def fit(sets: list[np.ndarray], labels: list[str], landmarks: int, ridge: float, sharpness: float) -> LanguageModel:
+    """Fit on presence sets; ``landmarks`` of them, taken evenly from all, or as many as languages if these are more, are the landmarks."""
     languages = sorted(set(labels))
     landmarks = max(landmarks, len(languages))
-    slots, sizes = presence(pa.array(texts, pa.large_string()))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    slots = np.concatenate(sets)
     ends = np.cumsum(sizes)
     norms = np.sqrt(np.maximum(sizes, 1)).astype(np.float64)
-    chosen = np.unique(np.linspace(0, len(texts) - 1, min(landmarks, len(texts))).astype(int)) if texts else np.zeros(0, int)
+    chosen = np.unique(np.linspace(0, len(sets) - 1, min(landmarks, len(sets))).astype(int))
     table = np.zeros((SLOTS, len(chosen)), np.float32)
     for column, i in enumerate(chosen):
         table[slots[ends[i] - sizes[i] : ends[i]], column] = 1 / norms[i]
-    kernel = np.zeros((len(texts), len(chosen)))
-    for i in range(len(texts)):
+    kernel = np.zeros((len(sets), len(chosen)))
+    for i in range(len(sets)):
         kernel[i] = table[slots[ends[i] - sizes[i] : ends[i]]].sum(axis=0) / norms[i]
     values, vectors = np.linalg.eigh(kernel[chosen])
     solid = values > 1e-8
@@ -142,10 +175,10 @@ def train(
     sharpness: float = 4.0,
 ) -> LanguageModel | None:
     """A model from a bounded sample of labelled rows, or None if no row has a label and a letter."""
-    rows = training_sample(docs, id_column, text_column, lang_column, per_lang, max_langs).collect()
+    rows = presence_sets(training_sample(docs, id_column, text_column, lang_column, per_lang, max_langs)).collect()
     if not rows:
         return None
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows], landmarks, ridge, sharpness)
+    return fit([unpacked_set(r["packed"]) for r in rows], [r["lang"] for r in rows], landmarks, ridge, sharpness)
 
 
 def _predicted(texts: pa.Array, letters: np.ndarray, fitted: tuple | None) -> tuple[list[str], np.ndarray]:

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 
 from cargoledger.llm import language
 from cargoledger.llm.queries import QUERIES
@@ -72,3 +74,15 @@ def test_rejection_follows_the_number_of_languages(spark):
     assert {i for i, _, _ in rows} <= kept
     assert len(kept & {i for i, _, _ in mixed}) < 20
     assert corpus_pipeline.LEAST_LANGUAGE_LEAD / 4 == 0.3
+
+
+def test_the_driver_collects_sets_of_bounded_size(spark):
+    rng = random.Random(6)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    rows = [(0, "", "en"), (1, word(300), "en"), (2, word(2_000_000), "es"), (3, word(20_000), "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    packed = language.presence_sets(docs).collect()
+    assert max(len(r["packed"]) for r in packed) <= language.SLOTS // 8
+    for (_, text, lang), r in zip(rows, packed, strict=True):
+        assert r["lang"] == lang
+        assert np.array_equal(language.unpacked_set(r["packed"]), language.presence(pa.array([text]))[0])
