@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoledger.llm import exact_dedup, jaccard_join, katz, language, line_dedup, neighbours, packing, preference, subword, suffix_dedup
+from cargoledger.llm import (
+    automaton,
+    exact_dedup,
+    infill,
+    jaccard_join,
+    katz,
+    language,
+    line_dedup,
+    neighbours,
+    packing,
+    preference,
+    subword,
+    suffix_dedup,
+)
 from cargoledger.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +77,21 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    kept = ("doc_id", "n_tokens", "ids_sha256")
+    encoded = automaton.encode(table(spark, sf_dir, "documents"), tokenizer, digests=True)
+    return automaton.decode(encoded, tokenizer, carried=kept).select(*kept, F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = F.sha2(infill.restore(F.col("output"), F.col("form")), 256)
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), restored.alias("restored_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_sampled_pieces": op1_sampled_pieces,
     "op2_projected_neighbours": op2_projected_neighbours,
@@ -75,4 +103,6 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_windows": op9_line_windows,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_automaton_bpe": op11_automaton_bpe,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
