@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargoledger.llm import (
+    alignment,
     automaton,
     exact_dedup,
     infill,
@@ -84,6 +85,11 @@ def op11_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.decode(encoded, tokenizer, carried=kept).select(*kept, F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *files, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = infill.fill_in_middle(table(spark, sf_dir, "documents"))
     restored = F.sha2(infill.restore(F.col("output"), F.col("form")), 256)
@@ -104,5 +110,6 @@ QUERIES: dict[str, Query] = {
     "op9_line_windows": op9_line_windows,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_automaton_bpe": op11_automaton_bpe,
+    "op12_token_alignment": op12_token_alignment,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
