@@ -220,7 +220,8 @@ def mapped_entries(cells: DataFrame, headers: DataFrame, slice_rows: int = SLICE
     """Entries of catalog files whose columns are found by their headers.
 
     ``cells(file_id, row_no, pos, cells map<string,string>)`` holds the rows as column to text. A
-    file without both columns defines nothing.
+    file without both columns defines nothing. The result has ``load, pos, key, code``: positions count
+    within a file, and ``load`` is the file's id.
     """
     desc_target, code_target = fv.CATALOG_HEADER_KEYWORDS
     found = match_headers(headers).groupBy("file_id").agg(

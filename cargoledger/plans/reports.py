@@ -294,7 +294,9 @@ def final_report(
         "aforo": aforo(items, bl, invoices, glossary, catalog, invoice_span, item_span, level),
         "listado_deva": deva(translated),
         "traduccion": translation(translated),
-        "resumen_factura": invoice_summary_rows(invoice_summary(allocated, bl, invoices)),
+        "resumen_factura": invoice_summary_rows(invoice_summary(allocated, bl, invoices)).withColumn(
+            "value", F.coalesce("text", F.col("amount").cast("string"))
+        ),
         "catalogo": catalog_report(catalog),
     }
 

@@ -264,7 +264,7 @@ def test_mapped_entries(spark):
         [(1, 0, 10, {"Producto": "Zapato", "Partida": "64"}), (1, 1, 11, {"Producto": "Blusa", "Partida": None}),
          (2, 0, 20, {"x": "Gorra", "Partida": "65"})],
         "file_id int, row_no int, pos long, cells map<string,string>")
-    assert [tuple(r) for r in tariff.mapped_entries(cells, headers).collect()] == [(10, "zapato", "64")]
+    assert [tuple(r) for r in tariff.mapped_entries(cells, headers).collect()] == [(1, 10, "zapato", "64")]
 
 
 def test_process_documents(spark, tmp_path):
