@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cargoledger.llm.common import slices, written
+from cargoledger.llm.packing import ChunkCodes, _encode_texts
 
 PIECE_SPACE = "▁"
-# Characters of one batch of documents, and of those that are encoded at once; a longer text comes alone.
+# Characters of one batch of documents, and of those that B encodes at once; a longer text comes alone.
 BATCH_CHARS = 4 << 20
 STEP_CHARS = 1 << 18
 # Groups of more links are expanded by distinct ids, weighted by how often these occur.
@@ -72,6 +73,7 @@ class Tokenizers:
         self.a.no_truncation()
         self.a.no_padding()
         self.a.encode_special_tokens = True
+        self.chunks = ChunkCodes(self.a)  # encodes a distinct chunk of text once, with the ids of whole texts
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         symbols, vocabulary = byte_symbols(), self.a.get_vocab()
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -85,8 +87,9 @@ class Tokenizers:
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
         """A ids, B ids and the group ends in both for every text; empty lists where the bytes of either differ from the text's."""
         spaced = [" " + t for t in texts]
-        a_lists = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        b_lists = self.b.encode(texts, num_threads=1)
+        a_lists = (ids.tolist() for _, ids in _encode_texts(self.chunks, pa.array(spaced, pa.string())))
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+        b_lists = (ids for x, y in slices(offsets, STEP_CHARS) for ids in self.b.encode(texts[x:y], num_threads=1))
         for text, whole, a, b in zip(texts, spaced, a_lists, b_lists, strict=True):
             a_tokens, b_tokens = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
             raw = whole.encode("utf-8")
@@ -256,11 +259,9 @@ def align(
             sizes = pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False)
             offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
             for first, last in slices(offsets, BATCH_CHARS):
-                encoded = []
-                for x, y in slices(offsets[first : last + 1], STEP_CHARS):
-                    step = texts.slice(first + x, y - x).to_pylist()
-                    # Arrays take a quarter of the memory of lists of numbers.
-                    encoded += [tuple(np.asarray(part, np.int32) for part in found) for found in both.encode(step)]
+                found = both.encode(texts.slice(first, last - first).to_pylist())
+                # Arrays take a quarter of the memory of lists of numbers.
+                encoded = [tuple(np.asarray(part, np.int32) for part in parts) for parts in found]
                 batch = Batch(encoded, len(both.a_bytes), len(both.b_bytes))
                 for found in batch_rows(batch, number, rows.column(0).slice(first, last - first), digest):
                     n = len(found["batch"])
