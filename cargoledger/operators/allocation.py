@@ -52,12 +52,20 @@ def admitted(bl: DataFrame, invoices: DataFrame | None = None) -> DataFrame:
     shipment without invoices goes on.
     """
     sound = bl.where(~has_error(F.col("error"))) if "error" in bl.columns else bl
-    if invoices is None:
+    if invoices is None or "error" not in invoices.columns:
         return sound
     first = invoices.groupBy("shipment_id").agg(F.min_by(has_error(F.col("error")), "invoice_idx").alias("_stops"))
     return sound.join(first.where("_stops").select("shipment_id"), "shipment_id", "left_anti")
 
 
+def admitted_rows(
+    rows: DataFrame, bl: DataFrame, invoices: DataFrame, row_key: list[str], slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """The invoices or items of admitted shipments; ``row_key`` tells the rows of a shipment apart."""
+    header = admitted(bl, invoices).select("shipment_id")
+    return balanced_join(rows, header, ["shipment_id"], row_key, how="left_semi", slice_rows=slice_rows)
+
+
 def _with_shares(joined: DataFrame, live: Column) -> DataFrame:
     total = F.col("total_fob")
     fob = F.col("fob_value")

@@ -168,10 +168,11 @@ def assemble_shipments(
 ) -> DataFrame:
     """Nested shipments: ``bl_data`` and ``all_invoices_data``, each invoice with its items, in order.
 
-    A shipment whose invoices do not fit one span continues in further parts (part_no), and an
+    Only admitted shipments are assembled. A shipment whose invoices do not fit one span continues in further parts (part_no), and an
     invoice whose items do not fit repeats with the next items_part. Without invoices part_no is null.
     """
     key = ["shipment_id", "invoice_idx"]
+    bl = admitted(bl, invoices)
     held = nest_rows(items, key, "item_idx", [c for c in items.columns if c not in key], "items", item_span)
     full = invoices.join(held.withColumnRenamed("part_no", "items_part"), key, "left")
     fields = [c for c in full.columns if c not in (*key, "items_part")]

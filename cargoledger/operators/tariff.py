@@ -195,6 +195,22 @@ def attach_translations(
     return _attach(items, translations(counts, glossary), row_key, counts, slice_rows)
 
 
+def translate_live_items(
+    items: DataFrame, base: DataFrame, glossary: DataFrame, row_key: list[str], live: Column, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """``attach_translations`` where ``live`` holds; other items keep their description and have no translated texts."""
+    texts = attach_translations(
+        items.withColumns({"_raw": F.col("description"), "_live": live}), base, glossary, row_key, slice_rows
+    )
+    return texts.withColumns(
+        {
+            "description_original": F.when(F.col("_live"), F.col("description_original")),
+            "description_es": F.when(F.col("_live"), F.col("description_es")),
+            "description": F.when(F.col("_live"), F.col("description")).otherwise(F.col("_raw")),
+        }
+    ).drop("_raw", "_live")
+
+
 def classify_items(
     items: DataFrame,
     base: DataFrame,

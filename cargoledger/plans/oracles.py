@@ -189,18 +189,22 @@ oracle(
     "f13_editable_invoices",
     """SELECT shipment_id, invoice_idx, upper(coalesce(incoterm, 'NOT_FOUND')) AS incoterm, coalesce(invoice_number, '') AS inv_num,
   coalesce(invoice_date, '') AS inv_date, coalesce(currency, '') AS inv_curr, coalesce(total_value, 0.0) AS total_val
-  FROM {v_invoice}""",
+  FROM {v_invoice} WHERE shipment_id IN (SELECT shipment_id FROM open)""",
+    FIRST,
 )
-oracle(
-    "f14_assembled_shipments",
-    """SELECT shipment_id, bl_number, container_no, port_of_loading, freight_cost, error, CASE WHEN n IS NOT NULL THEN 0::BIGINT END AS part_no, CAST(coalesce(n, 0) AS INTEGER) AS n_invoices,
-  coalesce(invoices, '') AS invoices FROM {v_bl} LEFT JOIN (SELECT shipment_id, count(*) AS n,
+
+
+def assembled(bl: str, invoices: str, items: str) -> str:
+    return f"""SELECT shipment_id, bl_number, container_no, port_of_loading, freight_cost, error, CASE WHEN n IS NOT NULL THEN 0::BIGINT END AS part_no, CAST(coalesce(n, 0) AS INTEGER) AS n_invoices,
+  coalesce(invoices, '') AS invoices FROM {bl} LEFT JOIN (SELECT shipment_id, count(*) AS n,
     string_agg(invoice_idx || '/' || concat_ws('/', invoice_number, incoterm, currency, exporter_name, error) || ':' || items, ';'
       ORDER BY invoice_idx) AS invoices
     FROM (SELECT shipment_id, invoice_idx, string_agg(concat_ws('/', item_idx, part_number, description, quantity::DECIMAL(18,2)), ','
-      ORDER BY item_idx, quantity) AS items FROM {v_item}
-      GROUP BY 1, 2) JOIN {v_invoice} USING (shipment_id, invoice_idx) GROUP BY shipment_id) USING (shipment_id)""",
-)
+      ORDER BY item_idx, quantity) AS items FROM {items}
+      GROUP BY 1, 2) JOIN {invoices} USING (shipment_id, invoice_idx) GROUP BY shipment_id) USING (shipment_id)"""
+
+
+oracle("f14_assembled_shipments", assembled("open", "{v_invoice}", "{v_item}"), FIRST)
 oracle(
     "n1_item_numbers",
     """SELECT shipment_id, invoice_idx, item_idx,
@@ -304,18 +308,21 @@ oracle(
   FROM byinv a JOIN codes ON d = {desc_key('a.description_es')} LEFT JOIN sound s ON s.shipment_id = a.shipment_id""",
     TRANSLATED, FIRST, BY_INVOICE.replace("{v_item}", "tr"), ENTRIES, CATALOG, codes("tr", "description_es"),
 )
+# Stopped shipments reach no report; one failed invoice ends the processing before any item is translated.
+REPORTED = """reported AS (SELECT t.*, CASE WHEN s.shipment_id IS NULL THEN '' ELSE description_original END AS original,
+  CASE WHEN s.shipment_id IS NULL THEN '' ELSE description_es END AS texto
+  FROM tr t LEFT JOIN sound s ON s.shipment_id = t.shipment_id WHERE t.shipment_id IN (SELECT shipment_id FROM open))"""
 oracle(
     "k2_deva",
     """SELECT shipment_id, invoice_idx, item_idx, coalesce(part_number, 'S/C') AS "CODIGO DE BARRAS",
-  description_es AS "DESCRIPCION COMERCIAL", 'S/M' AS "MARCA", 'S/M' AS "MODELO/ESTILO", 'CHINA' AS "PAIS DE ORIGEN",
-  quantity AS "UNIDADES", unit_price AS "PRECIO UNITARIO", quantity * unit_price AS "TOTAL" FROM tr""",
-    TRANSLATED,
+  texto AS "DESCRIPCION COMERCIAL", 'S/M' AS "MARCA", 'S/M' AS "MODELO/ESTILO", 'CHINA' AS "PAIS DE ORIGEN",
+  quantity AS "UNIDADES", unit_price AS "PRECIO UNITARIO", quantity * unit_price AS "TOTAL" FROM reported""",
+    FIRST, TRANSLATED, REPORTED,
 )
 oracle(
     "k3_translation",
-    'SELECT shipment_id, invoice_idx, item_idx, description_original AS "DESCRIPCION INGLES", '
-    'description_es AS "DESCRIPCION ESPAÑOL" FROM tr',
-    TRANSLATED,
+    'SELECT shipment_id, invoice_idx, item_idx, original AS "DESCRIPCION INGLES", texto AS "DESCRIPCION ESPAÑOL" FROM reported',
+    FIRST, TRANSLATED, REPORTED,
 )
 SUMMARY = (
     FIRST, BL_PARTIES, BY_INVOICE, f"rt AS ({report_totals('byinv')})",
@@ -515,10 +522,17 @@ oracle(
 INVOICE_EDITS = f"""edited AS (SELECT v.shipment_id, v.invoice_idx,
   {_over(['incoterm', 'invoice_number', 'invoice_date', 'currency', 'total_value'], 'v')}
   FROM {{v_invoice}} v LEFT JOIN {{v_invoice_edit}} e ON e.shipment_id = v.shipment_id AND e.invoice_idx = v.invoice_idx)"""
-oracle("j8_invoice_edits", "SELECT * FROM edited", INVOICE_EDITS)
+oracle("j8_invoice_edits", "SELECT * FROM edited WHERE shipment_id IN (SELECT shipment_id FROM open)", FIRST, INVOICE_EDITS)
 ITEM_EDITS = """items AS (SELECT * FROM {v_item} i WHERE NOT EXISTS (SELECT 1 FROM {v_item_edit} e
     WHERE e.shipment_id = i.shipment_id AND e.invoice_idx = i.invoice_idx) UNION ALL SELECT * FROM {v_item_edit})"""
-oracle("j8_item_edits", "SELECT * FROM items", ITEM_EDITS)
+oracle("j8_item_edits", "SELECT * FROM items WHERE shipment_id IN (SELECT shipment_id FROM open)", FIRST, ITEM_EDITS)
+oracle(
+    "f14_edited_nested",
+    assembled("papers", "(SELECT e.*, v.exporter_name, v.error FROM edited e JOIN {v_invoice} v USING (shipment_id, invoice_idx))", "items"),
+    FIRST, INVOICE_EDITS, ITEM_EDITS,
+    f"papers AS (SELECT b.shipment_id, b.error, {_over(['bl_number', 'container_no', 'port_of_loading', 'freight_cost'])} "
+    "FROM open b LEFT JOIN {v_bl_edit} e ON e.shipment_id = b.shipment_id)",
+)
 oracle(
     "f14_edited_shipments",
     report_totals("byedit"),

@@ -71,6 +71,10 @@ def docs_of(load) -> DataFrame:
     return docs.withColumn("errores", F.split("errores_txt", r"\|")).drop("errores_txt")
 
 
+def reported_of(load) -> DataFrame:
+    return reports.reported_items(load("v_item"), load("v_bl"), load("v_invoice"), glossary_of(load))
+
+
 def translated_of(load) -> DataFrame:
     return tariff.translate_items(load("v_item"), glossary_of(load), ITEM_KEY)
 
@@ -158,6 +162,10 @@ def j6_consolidated_documents(load, spark):
     return parties.consolidated_documents(parties.bl_parties(bl_of(load), invoices), invoices)
 
 
+def _form_invoices(load) -> DataFrame:
+    return allocation.admitted_rows(load("v_invoice"), load("v_bl"), load("v_invoice"), ["invoice_idx"])
+
+
 @query
 def f13_editable_bl(load, spark):
     return parties.editable_bl(parties.bl_parties(bl_of(load), invoices_of(load)))
@@ -165,14 +173,17 @@ def f13_editable_bl(load, spark):
 
 @query
 def f13_editable_invoices(load, spark):
-    return parties.editable_invoices(load("v_invoice"))
+    return parties.editable_invoices(_form_invoices(load))
 
 
 @query
 def f14_assembled_shipments(load, spark):
-    out = parties.assemble_shipments(
-        load("v_bl"), load("v_invoice"), load("v_item"), distribution.SPAN, samples.ITEM_SPAN * 10
-    )
+    return _shown_shipments(load("v_bl"), load("v_invoice"), load("v_item"))
+
+
+def _shown_shipments(bl: DataFrame, invoices: DataFrame, items: DataFrame) -> DataFrame:
+    """Assembled shipments with their nested invoices and items written out as one text."""
+    out = parties.assemble_shipments(bl, invoices, items, distribution.SPAN, samples.ITEM_SPAN * 10)
     shown = F.transform(
         "all_invoices_data",
         lambda v: F.concat(
@@ -291,12 +302,12 @@ def k1_aforo_invoice(load, spark):
 
 @query
 def k2_deva(load, spark):
-    return reports.deva(translated_of(load))
+    return reports.deva(reported_of(load))
 
 
 @query
 def k3_translation(load, spark):
-    return reports.translation(translated_of(load))
+    return reports.translation(reported_of(load))
 
 
 def _summary(load) -> DataFrame:
@@ -413,7 +424,12 @@ def _edited_bl(load) -> DataFrame:
 
 
 def _edited_invoices(load) -> DataFrame:
-    return parties.overlay_form(load("v_invoice"), load("v_invoice_edit"), ["shipment_id", "invoice_idx"], parties.INVOICE_FORM)
+    return parties.overlay_form(_form_invoices(load), load("v_invoice_edit"), ["shipment_id", "invoice_idx"], parties.INVOICE_FORM)
+
+
+def _edited_items(load) -> DataFrame:
+    items = parties.replace_items(load("v_item"), load("v_item_edit"))
+    return allocation.admitted_rows(items, load("v_bl"), load("v_invoice"), ["invoice_idx", "item_idx"])
 
 
 @query
@@ -429,17 +445,23 @@ def j8_invoice_edits(load, spark):
 
 @query
 def j8_item_edits(load, spark):
-    return parties.replace_items(load("v_item"), load("v_item_edit"))
+    return _edited_items(load)
 
 
 @query
 def f14_edited_shipments(load, spark):
     """Shipments assembled anew after edits: freight of the BL, and per shipment what its invoices and items sum to."""
-    items = parties.replace_items(load("v_item"), load("v_item_edit"))
+    items = _edited_items(load)
     allocated = allocation.allocate_by_invoice(items, _edited_bl(load), _edited_invoices(load))
     return allocation.shipment_totals(allocated)
 
 
+@query
+def f14_edited_nested(load, spark):
+    """The nested shipments themselves after the same edits."""
+    return _shown_shipments(_edited_bl(load), _edited_invoices(load), _edited_items(load))
+
+
 # --- quality ----------------------------------------------------------------------------------------
 
 ERROR_COLUMNS = ["doc_id", "category", "severity", "message", "field", "suggested_action", "impact"]

@@ -10,14 +10,15 @@ from cargoledger.functions.numbers import or_zero, parse_float, sum_money
 from cargoledger.operators import quality
 from cargoledger.operators.allocation import (
     ITEM_KEY,
+    admitted,
     allocate_by_invoice,
     allocate_by_shipment,
     failed_shipments,
     shipment_totals,
 )
-from cargoledger.operators.distribution import SPAN, number_rows
+from cargoledger.operators.distribution import SLICE_ROWS, SPAN, balanced_join, number_rows
 from cargoledger.operators.parties import first_invoices
-from cargoledger.operators.tariff import catalog_report, classify_items, translate_items
+from cargoledger.operators.tariff import catalog_report, classify_items, translate_live_items
 
 
 def aforo(
@@ -93,8 +94,18 @@ def shares(
     raise ValueError(f"level is 'shipment' or 'invoice', not {level!r}")
 
 
+def reported_items(
+    items: DataFrame, bl: DataFrame, invoices: DataFrame, glossary: DataFrame, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Items of admitted shipments with their translations; one failed invoice leaves all of its shipment's untranslated."""
+    header = admitted(bl, invoices).select("shipment_id").join(failed_shipments(invoices), "shipment_id", "left")
+    held = balanced_join(items, header, ["shipment_id"], ITEM_KEY, how="inner", slice_rows=slice_rows)
+    live = ~F.coalesce("invoice_failed", F.lit(False))
+    return translate_live_items(held, items, glossary, ["shipment_id", *ITEM_KEY], live).drop("invoice_failed")
+
+
 def deva(items: DataFrame) -> DataFrame:
-    """Price list; its total is quantity times unit price, not the stated total."""
+    """Price list of ``reported_items``; its total is quantity times unit price, not the stated total."""
     return items.select(
         "shipment_id",
         *ITEM_KEY,
@@ -110,6 +121,7 @@ def deva(items: DataFrame) -> DataFrame:
 
 
 def translation(items: DataFrame) -> DataFrame:
+    """Descriptions of ``reported_items`` before and after translation."""
     return items.select(
         "shipment_id",
         *ITEM_KEY,
@@ -287,8 +299,12 @@ def final_report(
     item_span: int = SPAN,
     level: str = "shipment",
 ) -> dict[str, DataFrame]:
-    """The five relations of the customs report, all under one freight rule. ``bl`` carries exporter_details."""
-    translated = translate_items(items, glossary, ["shipment_id", *ITEM_KEY])
+    """The five relations of the customs report, all under one freight rule and for the same shipments.
+
+    ``bl`` carries exporter_details. Shipments that are not admitted are in none of the relations.
+    """
+    bl = admitted(bl, invoices)
+    translated = reported_items(items, bl, invoices, glossary)
     allocated, _ = shares(items, bl, invoices, level)
     return {
         "aforo": aforo(items, bl, invoices, glossary, catalog, invoice_span, item_span, level),

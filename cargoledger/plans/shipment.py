@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cargoledger.operators.allocation import ITEM_KEY, allocate_by_shipment
 from cargoledger.operators.parties import bl_parties, invoice_parties
-from cargoledger.operators.tariff import attach_translations
+from cargoledger.operators.tariff import translate_live_items
 from cargoledger.sources.answers import invoice_items, typed_bl, typed_invoices
 
 
@@ -24,16 +24,9 @@ class Shipments:
 
 def price_items(items: DataFrame, bl: DataFrame, invoices: DataFrame, glossary: DataFrame) -> DataFrame:
     """Translated and allocated items; a failed invoice leaves all of its shipment's items as they were."""
-    priced = allocate_by_shipment(items, bl, invoices).withColumn("_raw", F.col("description"))
-    texts = attach_translations(priced, items, glossary, ["shipment_id", *ITEM_KEY])
+    priced = allocate_by_shipment(items, bl, invoices)
     live = F.col("fob_value").isNotNull()
-    return texts.withColumns(
-        {
-            "description_original": F.when(live, F.col("description_original")),
-            "description_es": F.when(live, F.col("description_es")),
-            "description": F.when(live, F.col("description")).otherwise(F.col("_raw")),
-        }
-    ).drop("_raw")
+    return translate_live_items(priced, items, glossary, ["shipment_id", *ITEM_KEY], live)
 
 
 def process_documents(bl_answers: DataFrame, invoice_answers: DataFrame, glossary: DataFrame) -> Shipments:

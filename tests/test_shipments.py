@@ -335,6 +335,20 @@ def test_failed_papers_stop_before_form_and_reports(spark):
     assert reports.template_totals(docs).first()["n_documents"] == 2
     names = {r["shipment_id"]: r["exporter_details"] for r in open_bl.collect()}
     assert names[4]["name"] == "x" and names[1] is None
+    assert ids(parties.editable_invoices(allocation.admitted_rows(invoices, bl, invoices, ["invoice_idx"]))) == {1, 4}
+    assert ids(parties.assemble_shipments(bl, invoices, items)) == {1, 4, 5}
+    named = items.selectExpr("*", "'Red Ring' AS description", "'P' AS part_number")
+    glossary = spark.createDataFrame([("red ring", "anillo rojo")], "key string, text_es string")
+    reported = reports.reported_items(named, bl, invoices, glossary, slice_rows=1)
+    told = {(r["shipment_id"], r["invoice_idx"]): tuple(r)[3:] for r in reports.translation(reported).collect()}
+    assert told == {(1, 0): ("", ""), (1, 1): ("", ""), (4, 0): ("Red Ring", "anillo rojo")}
+    assert {r["DESCRIPCION COMERCIAL"] for r in reports.deva(reported).where("shipment_id = 1").collect()} == {""}
+    catalog = spark.createDataFrame([(0, "anillo", "7113")], "pos long, key string, code string")
+    for level in ("shipment", "invoice"):
+        book = reports.final_report(named, bl.withColumn("exporter_details", F.col("exporter")), invoices, glossary, catalog, level=level)
+        for name in ("aforo", "listado_deva", "traduccion"):
+            assert ids(book[name]) == {1, 4}
+        assert ids(book["resumen_factura"]) == {1, 4, 5}
 
 
 def test_forms_and_item_tables_replace_what_they_edit(spark):
