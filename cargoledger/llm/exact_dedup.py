@@ -1,6 +1,7 @@
 """Exact deduplication by a tree of merges over sorted digest runs.
 
-Every document goes to one of ``runs`` runs by a hash of its id. A run is the sorted list of its
+Every document goes to one of ``runs`` runs by a hash of its id and its place in the digest table, so
+rows that repeat an id are spread too. A run is the sorted list of its
 distinct digests, each with the one id to keep and the number of documents it stands for. In each
 round the runs whose numbers agree but for their last bits are merged into one, as in a binomial
 exchange: every digest keeps the best of the ids that its parts kept and the sum of their counts.
@@ -42,8 +43,8 @@ def _preferred(keep: str) -> Column:
 
 
 def merge_tree(entries: DataFrame, key: list[str], id_column: str, keep: str, runs: int, fan_in_bits: int) -> DataFrame:
-    """``entries`` with ``keep_id`` and ``group_size`` of their key; entries are distinct (id, key) rows."""
-    run = F.pmod(F.xxhash64(id_column, *key), F.lit(runs)).cast("int")
+    """``entries`` with ``keep_id`` and ``group_size`` of their key; their stored ``place`` tells equal rows apart."""
+    run = F.pmod(F.xxhash64(id_column, *key, "place"), F.lit(runs)).cast("int")
     levels = [
         entries.select(run.alias("run"), *key, F.col(id_column).alias("best"))
         .groupBy("run", *key)
@@ -77,17 +78,18 @@ def exact_groups(
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the
-    document with the smallest or largest id is kept. A row that repeats both the id and the text of
-    another is the same document and comes out once. Documents without an id are documents like any
-    other (all null ids of one text are one document); they are kept only if no equal text has an
-    id. An empty table gives no rows; other columns are not read. ``runs`` defaults to the power of
+    document with the smallest or largest id is kept. Every row comes out and counts, also one that repeats
+    the id and text of another; such rows are all marked kept if that id is (``drop_exact_copies`` keeps
+    one of them). Rows without an id are documents like any other; they are kept only if no equal text
+    has an id. An empty table gives no rows; other columns are not read. ``runs`` defaults to the power of
     two above the shuffle width. The digests are computed once, into the shared folder, and every
     round reads them from there.
     """
     if runs is None:
         runs = 1 << max(6, (shuffle_partitions(docs.sparkSession) - 1).bit_length())
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    entries = written(with_text_key(rows, F.col("text")).select("doc_id", *TEXT_KEY).distinct(), "digests")
+    digests = with_text_key(rows, F.col("text")).select("doc_id", *TEXT_KEY, F.monotonically_increasing_id().alias("place"))
+    entries = written(digests, "digests")
     return merge_tree(entries, TEXT_KEY, "doc_id", keep, runs, fan_in_bits).select(
         "doc_id",
         "keep_id",

@@ -75,8 +75,9 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     Lines end at line feeds; null text is one empty line. A window is ``width`` consecutive lines of
     one document; documents with fewer lines have none and stay whole. Of equal windows, in the same
     document or others, the first by id and position stays and all lines of the others go, judged on
-    the input. Documents without an id come last in that order. A row that repeats id and text of
-    another is the same document and comes out once. No input rows give no rows.
+    the input. Documents without an id come last in that order. Rows that repeat both id and text are one document to
+    that order, so they do not repeat each other's windows; each comes out, all with the same result. No
+    input rows give no rows.
     """
     documents = _documents(docs, id_column, text_column)
     runs = (
@@ -85,8 +86,7 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
         .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
     )
     joined = (
-        documents.dropDuplicates(["key", "text_hash"])
-        .join(runs, ["key", "text_hash"], "left")
+        documents.join(runs, ["key", "text_hash"], "left")
         .withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")))
     )
     begins = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["last"] + 1))

@@ -29,8 +29,10 @@ FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d
     "op7_preference_formatting": """
 WITH replies AS (
   SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS reply FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+ring AS (
+  SELECT *, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next_id FROM replies),
 pairs AS (
-  SELECT a.conv_id AS pair_id, a.last_turn, a.reply, b.reply AS other FROM replies a JOIN replies b ON b.conv_id = a.conv_id + 1),
+  SELECT a.conv_id AS pair_id, a.last_turn, a.reply, b.reply AS other FROM ring a JOIN replies b ON b.conv_id = a.next_id),
 turns AS (
   SELECT p.*, turn, role, text FROM pairs p JOIN conversations t ON t.conv_id = p.pair_id AND t.turn <= p.last_turn),
 parts AS (
@@ -41,7 +43,7 @@ SELECT pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || text || '<|
   part <> 'prompt' AND role = 'assistant' AS trained
 FROM parts""",
     "op9_line_windows": """
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+WITH d AS (SELECT DISTINCT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 w AS (
   SELECT doc_id, unnest(range(0, greatest(len(lines) - 2, 0))) AS pos, lines FROM d),
 h AS (SELECT doc_id, pos, md5(lines[pos + 1] || chr(10) || lines[pos + 2] || chr(10) || lines[pos + 3]) AS digest FROM w),
@@ -49,10 +51,12 @@ later AS (SELECT doc_id, pos FROM h QUALIFY row_number() OVER (PARTITION BY dige
 covered AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, range(0, 3) r(k)),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM d),
 flagged AS (SELECT l.*, c.pos IS NOT NULL AS gone FROM l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.pos = c.pos),
-runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM flagged)
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM flagged),
+found AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM runs GROUP BY doc_id""",
+FROM runs GROUP BY doc_id)
+SELECT found.* FROM documents JOIN found USING (doc_id)""",
     "op10_suffix_array_dedup": """
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS bytes, strlen(coalesce(text, '')) AS n FROM documents),
 strings AS (

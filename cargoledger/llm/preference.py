@@ -1,5 +1,6 @@
 """Preference formatting: one prompt and two masked completions from a chosen and a rejected conversation.
 
+Cleaned turns are written once to the shared folder, and both sides of a pair meet in one aggregation.
 The two conversations are compared turn by turn, each turn in its own row, so the longest common
 prefix is an aggregate (the smallest turn at which they differ) and no conversation is ever gathered.
 The result keeps that form: one row per rendered turn, ordered by ``turn`` within its part.
@@ -8,10 +9,15 @@ The result keeps that form: one row per rendered turn, ordered by ``turn`` withi
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cargoledger.llm.common import written
+
 # What is known of a conversation is repeated per slot of its turns, so a very long one is spread.
 SLOTS = 16
+# Ids are ordered in groups that share all but this many bits, so a window holds at most 65,536 of them.
+ID_BITS = 16
 
 
 def clean_turns(turns: DataFrame, key: str) -> DataFrame:
@@ -32,18 +38,41 @@ def with_slot(rows: DataFrame) -> DataFrame:
     return rows.withColumn("slot", F.pmod(F.col("turn"), F.lit(SLOTS)).cast("int"))
 
 
+def next_ids(ids: DataFrame) -> DataFrame:
+    """``pair_id, next_id`` for distinct integer ids in their order; the last one is followed by the first.
+
+    An id's successor is sought among the ids that share its upper 48 bits; the last id of such a group
+    is followed by the first of the next group, which is sought in the same way 16 bits higher up. No
+    ids give no rows, and a single id follows itself.
+    """
+    groups = ids.select(F.col("pair_id").cast("bigint").alias("first"), F.col("pair_id").cast("bigint").alias("last"))
+    found = []
+    for bits in range(0, 64, ID_BITS):
+        above = F.shiftright("first", bits + ID_BITS) if bits + ID_BITS < 64 else F.lit(0)
+        placed = groups.withColumn("above", above)
+        following = F.lead("first").over(W.partitionBy("above").orderBy("first"))
+        found.append(placed.select(F.col("last").alias("pair_id"), following.alias("next_id")).where("next_id IS NOT NULL"))
+        groups = placed.groupBy("above").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("above")
+    out = groups.select(F.col("last").alias("pair_id"), F.col("first").alias("next_id"))
+    for level in found:
+        out = out.unionByName(level)
+    return out
+
+
 def swapped_replies(turns: DataFrame, key: str = "conv_id") -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected conversations from plain ones, both with ``pair_id, turn, role, text``.
 
     The chosen conversation runs up to its last assistant turn. In the rejected one that turn says
-    what the last assistant turn of the conversation with the next id says. Conversations without an
-    assistant turn, or without such a successor, give no pair; ``pair_id`` is the chosen one's id.
+    what the last assistant turn of the next conversation by id that has one says; the last such
+    conversation takes that of the first. Ids are integers. Conversations without an assistant turn give
+    no pair; ``pair_id`` is the chosen one's id.
     """
-    said = clean_turns(turns, key)
+    said = written(clean_turns(turns, key), "turns")
     replies = said.where("said.role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", "said")).alias("last"))
     replies = replies.select("pair_id", F.col("last.turn").alias("end"), F.col("last.said").alias("reply"))
-    other = replies.select((F.col("pair_id") - 1).alias("pair_id"), F.col("reply").alias("other"))
-    pairs = per_slot(replies.join(other, "pair_id"))
+    replies = written(replies, "replies")
+    other = replies.select(F.col("pair_id").alias("next_id"), F.col("reply").alias("other"))
+    pairs = per_slot(replies.join(next_ids(replies), "pair_id").join(other, "next_id").drop("next_id"))
     upto = with_slot(said).join(pairs, ["pair_id", "slot"]).where("turn <= end")
     rejected = F.when(F.col("turn") == F.col("end"), F.col("other")).otherwise(F.col("said"))
     return (
@@ -64,10 +93,16 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame, trained_roles: tuple
     numbers count once (the smallest role and text). Empty tables give no rows; other columns are
     not read.
     """
-    c = clean_turns(chosen, "pair_id").withColumnRenamed("said", "c")
-    r = clean_turns(rejected, "pair_id").withColumnRenamed("said", "r")
-    both = c.join(r, ["pair_id", "turn"], "full")
-    ends = both.groupBy("pair_id").agg(F.min(F.when(~F.col("c").eqNullSafe(F.col("r")), F.col("turn"))).alias("differs"))
+    side = ["pair_id", "turn", "role", "text"]
+    sides = chosen.select(*side, F.lit(True).alias("_chosen")).unionByName(rejected.select(*side, F.lit(False).alias("_chosen")))
+    said = F.struct(F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = (
+        sides.where("pair_id IS NOT NULL AND turn IS NOT NULL")
+        .groupBy("pair_id", "turn")
+        .agg(F.min(F.when(F.col("_chosen"), said)).alias("c"), F.min(F.when(~F.col("_chosen"), said)).alias("r"))
+    )
+    both = written(turns.withColumn("same", F.col("c").eqNullSafe(F.col("r"))), "pairs")
+    ends = both.groupBy("pair_id").agg(F.min(F.when(~F.col("same"), F.col("turn"))).alias("differs"))
     in_prompt = F.col("differs").isNull() | (F.col("turn") < F.col("differs"))
     parts = F.when(in_prompt, F.array(F.struct(F.lit("prompt").alias("part"), F.col("c").alias("said")))).otherwise(
         F.array(

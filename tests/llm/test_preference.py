@@ -30,8 +30,25 @@ def test_longest_common_prefix(spark):
 def test_swapped_replies(spark):
     turns = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "thanks"), (2, 0, "user", "q2"), (2, 1, "assistant", "a2"), (4, 0, "user", "q4")]
     chosen, rejected = preference.swapped_replies(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
-    assert sorted(map(tuple, chosen.collect())) == [(1, 0, "user", "q1"), (1, 1, "assistant", "a1")]
-    assert sorted(map(tuple, rejected.collect())) == [(1, 0, "user", "q1"), (1, 1, "assistant", "a2")]
+    second = [(2, 0, "user", "q2")]
+    assert sorted(map(tuple, chosen.collect())) == [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), *second, (2, 1, "assistant", "a2")]
+    assert sorted(map(tuple, rejected.collect())) == [(1, 0, "user", "q1"), (1, 1, "assistant", "a2"), *second, (2, 1, "assistant", "a1")]
+
+
+def test_next_ids_at_every_distance(spark):
+    ids = sorted({0, 1, 2, 9, 65_535, 65_536, 1 << 20, (1 << 20) + 5, 1 << 40, (1 << 40) + 70_000, (1 << 62) + 3, -1, -5, -(1 << 50)} | set(range(500, 900, 7)))
+    table = spark.createDataFrame([(i,) for i in ids], "pair_id long")
+    found = sorted((r["pair_id"], r["next_id"]) for r in preference.next_ids(table).collect())
+    assert found == list(zip(ids, ids[1:] + ids[:1], strict=True))
+    assert [tuple(r) for r in preference.next_ids(table.where("pair_id = 9")).collect()] == [(9, 9)]
+    assert preference.next_ids(table.where("pair_id = 3")).count() == 0
+
+
+def test_every_conversation_with_a_reply_is_formatted(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").where("conv_id % 2 = 0")
+    wanted = turns.where("role = 'assistant'").select("conv_id").distinct().count()
+    rows = preference.preference_rows(*preference.swapped_replies(turns))
+    assert wanted > 1 and rows.select("pair_id").distinct().count() == wanted
 
 
 def test_a_very_long_conversation_and_no_rows(spark):
