@@ -142,19 +142,22 @@ def training_sample(docs: DataFrame, id_column: str, text_column: str, lang_colu
     """Labelled texts with letters of every language, at most ``per_lang`` of each.
 
     With more than ``max_langs`` languages each has an even share of ``per_lang * max_langs`` texts, at
-    least one. Rows are drawn by a hash. A threshold on it from the number of rows of a language leaves a
-    few times its texts before any text is shuffled, however large the table.
+    least one. Rows are drawn by a hash of id and text, and rows that repeat both are one text. A threshold
+    on the hash from the number of different rows of a language that have a letter leaves a few times its
+    texts before any text is shuffled, however large the table.
     """
     lang = F.col(lang_column)
-    numbers = docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    order = F.xxhash64(id_column, text_column)
+    docs = docs.where(lang.isNotNull() & has_letters(F.col(text_column)))
+    numbers = docs.groupBy(lang.alias("lang")).agg(F.approx_count_distinct(order).alias("n"))
     found = numbers.collect()
     per_lang = min(per_lang, max(1, per_lang * max_langs // max(1, len(found))))
     # With few texts a language, more are drawn, so that none is left without.
     shares = [F.lit(x) for row in found for x in (row["lang"], max(4 * per_lang, 64) / row["n"])]
     drawn = F.coalesce(F.create_map(*shares)[lang], F.lit(0.0)) if shares else F.lit(0.0)
-    order = F.xxhash64(id_column, text_column)
-    kept = docs.where(lang.isNotNull() & (F.pmod(order, F.lit(1 << 30)) < drawn * (1 << 30)) & has_letters(F.col(text_column)))
-    labelled = kept.select(lang.alias("lang"), F.lower(F.col(text_column)).alias("text"), order.alias("order"))
+    kept = docs.where(F.pmod(order, F.lit(1 << 30)) < drawn * (1 << 30))
+    drawn_once = kept.groupBy(lang.alias("lang"), order.alias("order")).agg(F.min(text_column).alias("text"))
+    labelled = drawn_once.withColumn("text", F.lower("text"))
     first = labelled.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("order", "text"))).where(F.col("n") <= per_lang)
     return first.orderBy("n", "lang", "order").select("lang", "text")
 

@@ -65,6 +65,17 @@ def test_every_label_is_learned(spark):
     assert {r["count"] for r in few} == {2} and len(few) == 40
 
 
+def test_a_label_of_copies_is_learned(spark):
+    """Whatever its one text, a label whose rows repeat a single row is in the sample, once."""
+    rows = [(i, f"the cat number {'abcdefghij'[i % 10]} sits there {'xyzuvw'[i % 6]}", "en") for i in range(400)]
+    rows += [(5000 + i, f"{i} 99 !!", "es") for i in range(500)]
+    for text in ("el gato", "la niña", "un perro", "los libros"):
+        docs = spark.createDataFrame(rows + [(9000, text, "es")] * 2000, "doc_id long, text string, lang string")
+        drawn = language.training_sample(docs, "doc_id", "text", "lang", 20, 4).collect()
+        assert [r["text"] for r in drawn if r["lang"] == "es"] == [text]
+        assert sum(r["lang"] == "en" for r in drawn) == 20
+
+
 def test_rejection_follows_the_number_of_languages(spark):
     rows = many_languages(2, 30)
     # Half of one, half of the other: neither language leads.
