@@ -6,7 +6,10 @@ Two tables as Parquet directories or DataFrames: ``work_sessions`` (one row per
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +106,68 @@ def read_sessions(spark, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{folder}/work_sessions"), spark.read.parquet(f"{folder}/session_documents")
 
 
+# The list of published saves; a save is there for readers from the moment its row is.
+SAVES = "save_id string, attempt string"
+
+
+def _store(sessions: DataFrame, documents: DataFrame, folder: str) -> None:
+    """Empty tables and an empty list of saves below ``folder``, unless they are there."""
+    place = "save_id=save-none/attempt=try-none"
+    documents.limit(0).write.mode("ignore").parquet(f"{folder}/session_documents/{place}")
+    sessions.limit(0).write.mode("ignore").parquet(f"{folder}/work_sessions/{place}")
+    sessions.sparkSession.createDataFrame([], SAVES).write.mode("ignore").parquet(f"{folder}/saves")
+
+
+def _save_key(save_id: str) -> str:
+    return "save-" + hashlib.md5(save_id.encode()).hexdigest()
+
+
+def stage_sessions(sessions: DataFrame, documents: DataFrame, folder: str, save_id: str) -> str:
+    """Write both frames of a save into folders of their own, which no reader looks at yet; returns the attempt's name."""
+    _store(sessions, documents, folder)
+    attempt = "try-" + uuid.uuid4().hex
+    place = f"save_id={_save_key(save_id)}/attempt={attempt}"
+    documents.write.parquet(f"{folder}/session_documents/{place}")
+    sessions.write.parquet(f"{folder}/work_sessions/{place}")
+    return attempt
+
+
+def publish_save(spark: SparkSession, folder: str, save_id: str, attempt: str) -> None:
+    """Make a staged save visible in both tables at once: one row, in one file, is added to the list of saves."""
+    row = spark.createDataFrame([(_save_key(save_id), attempt)], SAVES)
+    row.coalesce(1).write.mode("append").parquet(f"{folder}/saves")
+
+
+def published_saves(spark: SparkSession, folder: str) -> DataFrame:
+    """One attempt per published save; of several, which hold the same rows, the one with the smallest name."""
+    return spark.read.schema(SAVES).parquet(f"{folder}/saves").groupBy("save_id").agg(F.min("attempt").alias("attempt"))
+
+
+def save_sessions(sessions: DataFrame, documents: DataFrame, folder: str, save_id: str) -> bool:
+    """Save both frames as one act; false if a save of that id is there already, which leaves the store as it is.
+
+    A save that stops anywhere before its last step leaves files that no reader sees, and can simply be
+    repeated under its id. Writers never change files of others, so they need no lock.
+    """
+    _store(sessions, documents, folder)
+    spark = sessions.sparkSession
+    if not published_saves(spark, folder).where(F.col("save_id") == _save_key(save_id)).isEmpty():
+        return False
+    publish_save(spark, folder, save_id, stage_sessions(sessions, documents, folder, save_id))
+    return True
+
+
+def saved_sessions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables as the published saves leave them; the list of saves prunes the folders that are read."""
+    saves = published_saves(spark, folder)
+
+    def visible(table: str) -> DataFrame:
+        place = ["save_id", "attempt"]
+        return spark.read.parquet(f"{folder}/{table}").join(saves, place, "left_semi").drop(*place)
+
+    return visible("work_sessions"), visible("session_documents")
+
+
 def is_json_object(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^\s*\{"), F.lit(False))
 

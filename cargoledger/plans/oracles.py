@@ -923,7 +923,8 @@ oracle(
   FROM {v_working_set} JOIN sets USING (set_id)""",
     SETS,
 )
-oracle("k10_session_append", "SELECT md5('session|' || set_id || '|2024-02-01T12:30:00.000000') AS id, session_name, n AS n_documents FROM sets", SETS)
+for _name in ("k10_session_append", "k10_committed_sessions"):
+    oracle(_name, "SELECT md5('session|' || set_id || '|2024-02-01T12:30:00.000000') AS id, session_name, n AS n_documents FROM sets", SETS)
 oracle(
     "e28_session_statistics",
     """SELECT count(*) AS total_sessions, CAST(sum(total_documents) AS BIGINT) AS total_documents_processed,

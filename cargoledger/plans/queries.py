@@ -804,6 +804,19 @@ def k10_session_append(load, spark):
     return saved.select("id", "session_name").join(counted, "id")
 
 
+@query
+def k10_committed_sessions(load, spark):
+    """Save as one act, save again under the same id, leave another save unpublished, and read what is visible."""
+    folder = scratch_folder(spark, "session_store")
+    saved, documents = _saved(load)
+    sessions.save_sessions(saved, documents, folder, "first")
+    sessions.save_sessions(saved, documents, folder, "first")
+    sessions.stage_sessions(saved.where("documents_with_errors > 0"), documents.where("error_count > 0"), folder, "second")
+    saved, documents = sessions.saved_sessions(spark, folder)
+    counted = documents.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("n_documents"))
+    return saved.select("id", "session_name").join(counted, "id")
+
+
 @query
 def e28_session_statistics(load, spark):
     out = sessions.statistics(load("v_session"), F.lit(AS_OF))

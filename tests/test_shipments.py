@@ -243,6 +243,32 @@ def test_save_load_and_delete_sessions(spark, tmp_path):
     assert (meta["edited_count"], meta["consolidated_flow"], meta["timestamp"]) == ("1", "true", "2024-01-02T03:04:05")
 
 
+def test_a_save_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    at = lambda second: F.lit(dt.datetime(2024, 1, 2, 3, 4, second)).cast("timestamp_ntz")
+    first, second = (sessions.build_sessions(working_set(spark), at(s)) for s in (5, 6))
+
+    def seen():
+        return tuple(df.count() for df in sessions.saved_sessions(spark, folder))
+
+    assert sessions.save_sessions(*first, folder, "one") and seen() == (3, 4)
+    # A job that fails between the two tables, and one that stops before it is published.
+    broken = second[0].withColumn("user_notes", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        sessions.save_sessions(broken, second[1], folder, "two")
+    assert seen() == (3, 4)
+    left = sessions.stage_sessions(*second, folder, "two")
+    assert seen() == (3, 4)
+    assert sessions.save_sessions(*second, folder, "two") and seen() == (6, 8)
+    # Repeats add nothing, not even two attempts that are both published.
+    assert not sessions.save_sessions(*second, folder, "two")
+    sessions.publish_save(spark, folder, "two", left)
+    assert seen() == (6, 8)
+    table, documents = sessions.saved_sessions(spark, folder)
+    assert sessions.orphan_documents(table, documents).count() == 0
+    assert sorted(table.columns) == sorted(first[0].columns)
+
+
 def test_session_statistics(spark):
     ts = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame(
