@@ -42,9 +42,14 @@ def _preferred(keep: str) -> Column:
     raise ValueError(f"keep is 'smallest' or 'largest', not {keep!r}")
 
 
-def merge_tree(entries: DataFrame, key: list[str], id_column: str, keep: str, runs: int, fan_in_bits: int) -> DataFrame:
-    """``entries`` with ``keep_id`` and ``group_size`` of their key; their stored ``place`` tells equal rows apart."""
-    run = F.pmod(F.xxhash64(id_column, *key, "place"), F.lit(runs)).cast("int")
+def merge_tree(
+    entries: DataFrame, key: list[str], id_column: str, keep: str, runs: int, fan_in_bits: int, place: tuple[str, ...] = ()
+) -> DataFrame:
+    """``entries`` with ``keep_id`` and ``group_size`` of their key.
+
+    Entries are distinct (id, key) rows, or ``place`` names a stored column that tells equal ones apart.
+    """
+    run = F.pmod(F.xxhash64(id_column, *key, *place), F.lit(runs)).cast("int")
     levels = [
         entries.select(run.alias("run"), *key, F.col(id_column).alias("best"))
         .groupBy("run", *key)
@@ -90,7 +95,7 @@ def exact_groups(
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     digests = with_text_key(rows, F.col("text")).select("doc_id", *TEXT_KEY, F.monotonically_increasing_id().alias("place"))
     entries = written(digests, "digests")
-    return merge_tree(entries, TEXT_KEY, "doc_id", keep, runs, fan_in_bits).select(
+    return merge_tree(entries, TEXT_KEY, "doc_id", keep, runs, fan_in_bits, ("place",)).select(
         "doc_id",
         "keep_id",
         "group_size",
