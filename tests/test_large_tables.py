@@ -32,6 +32,12 @@ def shipment(spark):
     return bl, invoices, items
 
 
+def test_nested_rows_are_joined_where_they_lie(spark, shuffles):
+    bl, invoices, items = shipment(spark)
+    # Items, invoices, invoices with their items, BLs.
+    assert shuffles(parties.assemble_shipments(bl, invoices, items, gated=True)) == 4
+
+
 def test_heavy_keys_are_found_by_their_buckets(spark):
     facts = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(600)] + [(None, i) for i in range(90)], "k string, i int")
     weights = facts.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
