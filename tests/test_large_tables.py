@@ -32,6 +32,12 @@ def shipment(spark):
     return bl, invoices, items
 
 
+def test_invoices_of_many_suppliers_stay_in_one_part(spark):
+    row = queries._shown_shipments(*shipment(spark)).collect()
+    assert len(row) == 1 and (row[0]["part_no"], row[0]["n_invoices"]) == (0, 4)
+    assert [v.split("/")[0] for v in row[0]["invoices"].split(";")] == ["7", "9999", "10000", "59999"]
+
+
 def test_nested_rows_are_joined_where_they_lie(spark, shuffles):
     bl, invoices, items = shipment(spark)
     # Items, invoices, invoices with their items, BLs.
