@@ -76,3 +76,14 @@ def test_first_failed_invoice_stops_a_shipment_without_a_second_pass(spark, shuf
     out = parties.bl_parties(bl, invoices.selectExpr("*", "named_struct('name', 'x', 'address', 'y', 'phone', 'z') AS exporter"))
     assert {r["shipment_id"] for r in out.collect()} == {1, 4}
     assert shuffles(out) == 2
+
+
+def test_first_invoices_sort_no_more_than_they_show(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 5, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", dt.datetime(2024, 1, 1)), (1, 1, 3, 2, 1.0, 1.0, 0.0, 0.0, "N", "O", dt.datetime(2024, 1, 1))],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(3, "s3", 0, 1.0), (5, "s5", 0, 1.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "n", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    out = queries.QUERIES["w2_first_invoice"](spark, str(tmp_path))
+    assert [tuple(r) for r in out.collect()] == [(1, 3, "INV-1-3")]
+    assert "exporter_address" not in out._jdf.queryExecution().optimizedPlan().toString()
