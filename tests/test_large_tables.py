@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cargoledger.operators import allocation, distribution, parties
+from cargoledger.operators import allocation, distribution, parties, quality, rules
 from cargoledger.plans import queries
 
 
@@ -87,3 +87,16 @@ def test_first_invoices_sort_no_more_than_they_show(spark, tmp_path):
     out = queries.QUERIES["w2_first_invoice"](spark, str(tmp_path))
     assert [tuple(r) for r in out.collect()] == [(1, 3, "INV-1-3")]
     assert "exporter_address" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_field_checks_stay_in_methods_that_the_jvm_compiles(spark, shuffles):
+    text = {f: v for f, v in zip(rules.FIELDS, ["BL-1", "X", "  ", "1.234,56", "12,5", "abc", "ABC123", "FOB", "USD 500", "-10", "$7", "GBP"])}
+    docs = spark.createDataFrame([(1, "fallback", "BL", ["sin texto"], True, *text.values())],
+                                 "doc_id long, metodo_procesamiento string, tipo_documento string, errores array<string>, conversion_fob_cif boolean, "
+                                 + ", ".join(f"{f} string" for f in text))
+    for out, rows in ((rules.field_results(docs), 12), (quality.error_list(docs), 12)):
+        code = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+        # Longer methods are interpreted for every row.
+        assert sizes and max(sizes) < 8000
+        assert out.count() == rows
